@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_query
+from .path_join import op8_query
 from .relative_lz_dedup import op10_query
 from .ring_shards import op4_query
 from .suffix_dedup import op5_query
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_ring_shards": op4_query,
     "op5_suffix_dedup": op5_query,
     "op7_trie_bpe": op7_query,
+    "op8_path_join": op8_query,
     "op9_chat_format": op9_query,
     "op10_relative_lz_dedup": op10_query,
 }
