@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_query
+from .crf_pii import op2_query
+from .edit_leaks import op1_query
+from .noisy_toxicity import op6_query
 from .path_join import op8_query
 from .relative_lz_dedup import op10_query
 from .ring_shards import op4_query
+from .score_aware_search import op3_query
 from .suffix_dedup import op5_query
 from .trie_bpe import op7_query
 
 QUERIES = {
+    "op1_edit_leaks": op1_query,
+    "op2_crf_pii": op2_query,
+    "op3_score_aware_search": op3_query,
     "op4_ring_shards": op4_query,
     "op5_suffix_dedup": op5_query,
+    "op6_noisy_toxicity": op6_query,
     "op7_trie_bpe": op7_query,
     "op8_path_join": op8_query,
     "op9_chat_format": op9_query,
