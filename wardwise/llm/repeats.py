@@ -46,7 +46,7 @@ class Plan:
     buckets: int
 
 
-def plan_for(docs: DataFrame, unit: str, window: int, gram: int, group_mb: int = 4, bucket_mb: int = 8) -> Plan:
+def plan_for(docs: DataFrame, unit: str, window: int, gram: int, group_mb: int = 4, bucket_mb: int = 16) -> Plan:
     size = text_size(docs)
     return Plan(unit, window, gram, max(1, size // (group_mb << 20)), max(4, size // (bucket_mb << 20)))
 
@@ -258,7 +258,7 @@ def shared_runs(plan: Plan):
             digest = rolling.of(begin[ok], begin[ok] + length[ok] + plan.window - 1)
             ids, anchor = ids[ok], anchor[ok]
             once = np.unique(keyed(ids, digest), return_index=True)[1]
-            parts.append(dealt(anchor[once], ids[once], [anchor[once], digest[once]], plan, _key(key)))
+            parts.append(dealt(anchor[once], ids[once], [(anchor[once] >> U64(32)).astype(np.uint32), digest[once]], plan, _key(key)))
         return merged(parts)
 
     return run
@@ -266,7 +266,7 @@ def shared_runs(plan: Plan):
 
 def settled_runs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """kind 1: a smaller document has the whole run; 2: the run is to be compared by window."""
-    groups, (docs, anchor, digest) = entries(t, [U64, U64])
+    groups, (docs, anchor, digest) = entries(t, [np.uint32, U64])
     low, _ = least_by(digest, docs)
     covered = docs > low
     # Of an anchor: documents that first have one of its runs, and whether it has more than one run.
