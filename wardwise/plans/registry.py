@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .queries import QUERIES
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
