@@ -1 +1 @@
-""""""
+"""Readers of open-data files."""

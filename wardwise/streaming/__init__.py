@@ -1 +1 @@
-""""""
+"""Maintenance of tables from streams."""
