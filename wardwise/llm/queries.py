@@ -6,6 +6,7 @@ from .chat_format import OP9_SQL, op9_query
 from .crf_pii import op2_query
 from .edit_leaks import op1_query
 from .noisy_toxicity import op6_query
+from .oracle import OP5_SQL, OP8_SQL, OP10_SQL
 from .path_join import op8_query
 from .relative_lz_dedup import op10_query
 from .ring_shards import op4_query
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_relative_lz_dedup": op10_query,
 }
 
-SQL: dict[str, str] = {"op9_chat_format": OP9_SQL}
+SQL: dict[str, str] = {
+    "op5_suffix_dedup": OP5_SQL,
+    "op8_path_join": OP8_SQL,
+    "op9_chat_format": OP9_SQL,
+    "op10_relative_lz_dedup": OP10_SQL,
+}
