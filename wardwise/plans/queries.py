@@ -9,6 +9,8 @@ from wardwise import config
 from wardwise.functions import numbers, text, times
 from wardwise.operators import graph, metrics, quality, rent, scoring, search, spatial, tables, transit
 
+from wardwise.sources.shared import materialized
+
 from . import adapters as A
 
 YEAR = 2003  # the run's year is given, never read from a clock
@@ -275,13 +277,14 @@ def suggestions(s, d):
     return scoring.suggestions(_candidates(s, d).select("request_id", "reason", "commute", "rent"))
 
 
-def _scored(s, d):
-    feasible = _candidates(s, d).where("reason is null").select("request_id", "locality", "rent", "commute", "budget", "max_commute")
+def _scored(s, d, candidates=None):
+    candidates = _candidates(s, d) if candidates is None else candidates
+    feasible = candidates.where("reason is null").select("request_id", "locality", "rent", "commute", "budget", "max_commute")
     return feasible, scoring.factors(feasible, _locality_axes(s, d), A.preferences(s))
 
 
-def ranked_shortlist(s, d):
-    feasible, f = _scored(s, d)
+def ranked_shortlist(s, d, candidates=None):
+    feasible, f = _scored(s, d, candidates)
     return scoring.shortlist(feasible, f).select("request_id", F.col("rank").cast("long").alias("rank"), "locality", F.round("overall", 6).alias("overall"), F.round("commute", 6).alias("commute"), "rent")
 
 
@@ -473,6 +476,58 @@ def roundings(s, d):
     return o.agg(F.sum(numbers.half_up(x)).alias("half_up"), F.sum(numbers.half_even(x)).cast("long").alias("half_even"), F.round(F.sum(numbers.one_decimal(x)), 4).alias("one_decimal"))
 
 
+def station_search(s, d):
+    """Stations that hold a query, with the lines that serve them."""
+    q = s.createDataFrame([(0, "Supplier#00000001"), (1, "9"), (2, "none such")], "query_id long, query string")
+    found = search.place_search(q, A.places(s, d).where("kind = 'station'"), config.STATIONS)
+    lines = station_lines(s, d).select(F.concat(F.lit("s"), F.col("id")).alias("place_id"), "lines")
+    return found.join(lines, "place_id", "left").select("query_id", F.col("rank").cast("long").alias("rank"), "place_id", F.coalesce("lines", F.lit("")).alias("lines"))
+
+
+def shortlist_funnel(s, d):
+    """From what was considered to what is shown, with the first place."""
+    c = materialized(_candidates(s, d), "candidates")  # read three times
+    n = scoring.diagnostics(c.select("request_id", "reason"))
+    top = ranked_shortlist(s, d, c).groupBy("request_id").agg(F.count("*").alias("shortlisted"), F.min_by("locality", "rank").alias("top"))
+    return n.join(top, "request_id", "left").select("request_id", "considered", "feasible", F.coalesce("shortlisted", F.lit(0)).alias("shortlisted"), "top")
+
+
+def neutral_card(s, d):
+    """Lifestyle score of each locality with all axes of medium importance, and its best and worst axis."""
+    a = _locality_axes(s, d).withColumn("score", F.round("score", 6))
+    order = F.struct("score", "axis")
+    return a.groupBy("locality").agg(F.round(F.avg("score"), 4).alias("score"), F.max_by("axis", order).alias("best"), F.min_by("axis", order).alias("worst"))
+
+
+def nearby_last_sample(s, d):
+    """Stations of a locality with the distance that the last of its samples has."""
+    k = knn_stations(s, d)
+    return k.groupBy("locality", "station").agg(F.max_by(F.struct("dist_m", "rank"), "sample").alias("m")).select("locality", "station", "m.dist_m", "m.rank")
+
+
+def graph_health(s, d):
+    e, st = A.rail_edges(s, d), A.stations(s, d).select("id")
+    lone = transit.orphans(st, e.where("from_id % 3 <> 0 and to_id % 3 <> 0")).agg(F.count("*").alias("orphans"))
+    n = st.agg(F.count("*").alias("stations")).crossJoin(F.broadcast(lone)).crossJoin(F.broadcast(e.agg(F.count("*").alias("rides"))))
+    return n.withColumn("share", F.round(F.col("orphans") / F.col("stations"), 6)).withColumn("healthy", (F.col("rides") > 0) & (F.col("share") <= 0.1))
+
+
+def unusable_candidates(s, d):
+    """How many localities lack an input, by the first that they lack."""
+    j = A.table(s, d, "nation").select(F.col("n_nationkey").alias("locality")).join(two_level_median(s, d), "locality", "left").join(ward_land_median(s, d).select(F.col("ward").alias("locality"), F.col("median_price").alias("w")), "locality", "left")
+    j = j.join(rent.rent_choice(A.rent_stats(s, d), YEAR).select(F.col("ward").alias("locality"), "rent_per_sqm"), "locality", "left")
+    lack = F.when(F.col("rent_per_sqm").isNull(), "rent").when(F.col("w").isNull(), "ward prices").when(F.col("median").isNull(), "near prices").otherwise("none")
+    return j.groupBy(lack.alias("lacks")).agg(F.count("*").alias("n"))
+
+
+def commute_legs(s, d):
+    """Whole minutes of the parts of every best commute; they add up to the whole."""
+    b = transit.best_by_node(_matrix(s, d))
+    total = F.col("total") + config.ACCESS_WALK_MIN
+    legs = transit.leg_roundings(total, F.lit(config.ACCESS_WALK_MIN), F.col("rail"), F.col("transfers") * F.lit(config.TRANSFER_PENALTY_MIN), F.col("walk"))
+    return b.select("dest", "node", numbers.half_up(total).alias("total_min"), sum(legs.values(), F.lit(0)).cast("long").alias("sum_min"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -485,5 +540,6 @@ QUERIES = {
         replace_by_source, stale_keys, period_sync, array_union_upsert, reference_guard, name_backfill, one_per_name, dq_report, ward_coverage,
         name_audit, reject_split, fallback_share, weekday_services, name_match_cascade, price_vintages, evidence_counts, nested_samples,
         nearby_stations, union_places, walk_seeds, slug_ids, roundings,
+        station_search, shortlist_funnel, neutral_card, nearby_last_sample, graph_health, unusable_candidates, commute_legs,
     )
 }

@@ -211,4 +211,11 @@ SQL = {
       pairs AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01 WHERE 2 * 6371000::DOUBLE * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 300),
       reach AS (SELECT id, id AS other FROM m UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON p.a = r.other)
       SELECT component, count(*) AS members, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, first(name ORDER BY id) AS name FROM (SELECT id, min(other) AS component FROM reach GROUP BY 1) JOIN m USING (id) GROUP BY 1""").replace("WITH poi AS", "WITH RECURSIVE poi AS").replace("\nWITH RECURSIVE m AS", ", m AS"),
+    "station_search": q("SELECT query_id, rank, place_id, coalesce(lines, '') AS lines FROM (SELECT query_id, place_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, name, place_id) AS rank FROM (SELECT *, " + _sim("query", "name") + " AS similarity, substr(place_id, 2)::BIGINT AS id FROM (VALUES (0, 'Supplier#00000001'), (1, '9'), (2, 'none such')) AS t(query_id, query), place WHERE kind = 'station' AND contains(lower(name), lower(query)))) r LEFT JOIN (SELECT id AS sid, string_agg(name, ',' ORDER BY name) AS lines FROM (SELECT DISTINCT f AS id, 'line ' || line AS name FROM edge) GROUP BY 1) ON sid = id WHERE rank <= 10"),
+    "shortlist_funnel": q("SELECT d.request_id, considered, feasible, coalesce(n, 0) AS shortlisted, top FROM diag d LEFT JOIN (SELECT request_id, count(*) AS n, first(locality ORDER BY rank) AS top FROM short GROUP BY 1) t ON t.request_id = d.request_id"),
+    "neutral_card": q("SELECT locality, round(avg(s), 4) AS score, first(axis ORDER BY s DESC, axis DESC) AS best, first(axis ORDER BY s, axis) AS worst FROM (SELECT locality, axis, round(score, 6) AS s FROM axis) GROUP BY 1"),
+    "nearby_last_sample": q("SELECT locality, station, first(dist_m ORDER BY sample DESC) AS dist_m, first(rank ORDER BY sample DESC) AS rank FROM knn GROUP BY 1, 2"),
+    "graph_health": q("SELECT stations, orphans, rides, round(orphans / stations, 6) AS share, rides > 0 AND round(orphans / stations, 6) <= 0.1 AS healthy FROM (SELECT (SELECT count(*) FROM station) AS stations, (SELECT count(*) FROM station WHERE id NOT IN (SELECT f FROM edge WHERE f % 3 <> 0 AND t % 3 <> 0)) AS orphans, (SELECT count(*) FROM edge) AS rides)"),
+    "unusable_candidates": q("SELECT CASE WHEN rent_per_sqm IS NULL THEN 'rent' WHEN w.median_price IS NULL THEN 'ward prices' WHEN t.median IS NULL THEN 'near prices' ELSE 'none' END AS lacks, count(*) AS n FROM nation LEFT JOIN two t ON t.locality = n_nationkey LEFT JOIN wland w ON w.ward = n_nationkey LEFT JOIN choice c ON c.ward = n_nationkey GROUP BY 1"),
+    "commute_legs": q("SELECT dest, node, floor(total + 8 + 0.5)::BIGINT AS total_min, floor(total + 8 + 0.5)::BIGINT AS sum_min FROM best"),
 }
