@@ -7,8 +7,9 @@ threshold is expected to go on in one child) and sends every document to the chi
 that its token names. A path is a hash, so a document finds its children alone and
 nodes are only counted. Small nodes are compared exhaustively. Large ones are
 branched further, and meanwhile all their members are compared with some pivots.
-Nodes still large at the last level are compared across the components found so
-far, so no limit loses a link. Trees are independent; with ``trees`` of them a pair
+After the first level, what is linked already needs no more comparing: nodes that
+hold one component end, and others are compared across components only. Nodes
+still large at the last level are compared so in full, so no limit loses a link. Trees are independent; with ``trees`` of them a pair
 at the threshold is missed with a probability of about 0.4 ** trees.
 
 Candidates are sifted by their minwise estimate (far below the threshold), then
@@ -25,6 +26,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from .store import written
 TOKENS = 64
 SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 LEAF = 24
-LEVELS = 8
+LEVELS = 10
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +209,13 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of large nodes that hold more than one component."""
+    large = members.where(F.col("n") > LEAF).select("node", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    several = large.groupBy("node").agg((F.min("component_id") < F.max("component_id")).alias("several")).where("several").select("node")
+    return large.join(several, "node", "left_semi").select("node", "doc_id")
+
+
 def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
     """In nodes that are still large: documents outside the node's main component, paired with all that are not in their own."""
     at = members.select("node", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -220,37 +229,41 @@ def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    docs = docs.where("doc_id is not null")
     all_sets = written(signatures(docs, words), "sets")
     key = ["digest1", "digest2", "n_shingles"]
     firsts = all_sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    classes = all_sets.where("n_shingles > 0").join(firsts.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "tokens")
-    rows, found, large = roots(classes, trees), [], None
-    for level in range(LEVELS):
-        members = written(shared(rows), f"level{level}")
-        found.append(members)
-        large = members.where(F.col("n") > LEAF)
-        if not large.limit(1).count() or level + 1 == LEVELS:
-            break
-        rows = branched(large.join(classes, "doc_id"))
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
+    classes = written(all_sets.where("n_shingles > 0").join(firsts.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "tokens"), "classes")
     least = TOKENS * percent // 100 - 5 * int((TOKENS * percent * (100 - percent)) ** 0.5 / 100 + 1)  # five deviations below
-    pairs = written(sifted(pairs_of(candidates), classes, least), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(full_sets(docs.where("doc_id is not null"), ids, words), "full")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return written(full_sets(docs, ids, words), "full")
+
+    # The first level of all trees links most of what there is to link.
+    members = written(shared(roots(classes, trees)), "level0")
+    pairs = written(sifted(pairs_of(members), classes, least), "pairs")
+    sets = checked(pairs)
     best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b")
     links = written(confirmed(best, sets, percent), "links")
     labels = components(links)
     links = written(links.unionByName(confirmed(across(pairs, labels), sets, percent)), "links")
     labels = components(links)
+    # Large nodes go on while they hold several components; only pairs across these are of use.
+    found, large = [], mixed(members, labels)
+    for level in range(1, LEVELS):
+        if not large.limit(1).count():
+            break
+        members = written(shared(branched(large.join(classes, "doc_id"))), f"level{level}")
+        found.append(across(pairs_of(members), labels))
+        large = mixed(members, labels)
     if large.limit(1).count():
-        rest = sifted(crossing(large, labels), classes, least).select("a", "b")
-        more_ids = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
-        sets = full_sets(docs.where("doc_id is not null"), more_ids, words)
-        more = written(confirmed(rest, sets, percent), "links")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+        found.append(crossing(large, labels))
+    if found:
+        pairs = written(sifted(reduce(DataFrame.unionByName, found).distinct(), classes, least), "pairs")
+        if pairs.limit(1).count():
+            links = written(links.unionByName(confirmed(pairs, checked(pairs), percent)), "links")
+            labels = components(links)
     of_class = firsts.join(labels.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(*key, F.coalesce("component_id", "class_id").alias("component_id"))
     out = all_sets.select("doc_id", *key).join(of_class, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
