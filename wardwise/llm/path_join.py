@@ -8,8 +8,10 @@ that its token names. A path is a hash, so a document finds its children alone a
 nodes are only counted. Small nodes are compared exhaustively. Large ones are
 branched further, and meanwhile all their members are compared with some pivots.
 After the first level, what is linked already needs no more comparing: nodes that
-hold one component end, and others are compared across components only. Nodes
-still large at the last level are compared so in full, so no limit loses a link. Trees are independent; with ``trees`` of them a pair
+hold one component end, and others are compared across components only. A document
+whose own shingles (that no other one in such nodes has) rule out every partner
+ends too. What is still large at the last level is compared in full, in blocks, so
+no limit loses a link. Trees are independent; with ``trees`` of them a pair
 at the threshold is missed with a probability of about 0.4 ** trees.
 
 Candidates are sifted by their minwise estimate (far below the threshold), then
@@ -34,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import U64, Rolling, mix, pieces, text_bytes, word_bounds, word_hashes
-from .store import written
+from .repeats import PACK, Plan, dealt, entries, least_by, table
+from .store import text_size, written
 
 TOKENS = 64
 SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 LEAF = 24
-LEVELS = 10
+LEVELS = 3
+BLOCK = 1024  # documents of a cluster that are compared with as many others at a time
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,6 +213,49 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def shareable(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """Of those documents: how many shingles each has, and how many of them another of these documents has too.
+
+    Shingles are dealt out in packed arrays; a document's own ones are counted by bucket and added up.
+    """
+    buckets = max(8, text_size(docs) // (16 << 20))
+    plan = Plan("bytes", 0, 0, 1, buckets)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([len(x.as_buffer()) // 8 if x.is_valid else 0 for x in batch.column("shingles")])
+            shingles = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), U64)
+            rows = dealt(shingles, np.repeat(batch.column("doc_id").to_numpy(), n), [shingles], plan, 0)
+            yield from table(rows).to_batches()
+
+    def own(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _, (ids, shingles) = entries(t, [U64])
+        low, high = least_by(shingles, ids)
+        doc, row = np.unique(ids, return_inverse=True)
+        return pa.table({"doc_id": doc, "n": np.bincount(row), "shared": np.bincount(row, low < high).astype(np.int64)})
+
+    packed = full_sets(docs, ids, words).mapInArrow(deal, PACK)
+    return packed.groupBy("bucket").applyInArrow(own, "doc_id long, n long, shared long").groupBy("doc_id").agg(F.sum("n").alias("size"), F.sum("shared").alias("shared"))
+
+
+def viable(members: DataFrame, bound: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Members of mixed nodes that could still be similar enough to another one.
+
+    A pair shares no more than each one's shareable shingles, so it needs
+    (100 + percent) * shareable >= percent * (both sizes). The node's sizes are known in steps of
+    two hundredths, some hundred at most whatever the node.
+    """
+    m = members.select("node", "doc_id").join(bound, "doc_id").where(100 * F.col("shared") >= percent * F.col("size"))
+    step = F.floor(F.log("size") / 0.02)
+    steps = m.groupBy("node").agg(F.collect_set(step).alias("steps"))
+    most = (100 + percent) * F.col("shared") / F.lit(percent) - F.col("size")
+    fits = F.exists("steps", lambda k: (F.exp(k * 0.02) <= most * 1.000001) & (F.exp((k + 1) * 0.02) >= F.col("size") * (percent / 100)))
+    m = m.join(steps, "node").where(fits)
+    at = m.select("node", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    several = at.groupBy("node").agg((F.min("component_id") < F.max("component_id")).alias("several")).where("several").select("node")
+    return at.join(several, "node", "left_semi").select("node", "doc_id")
+
+
 def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of large nodes that hold more than one component."""
     large = members.where(F.col("n") > LEAF).select("node", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -216,15 +263,50 @@ def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return large.join(several, "node", "left_semi").select("node", "doc_id")
 
 
-def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """In nodes that are still large: documents outside the node's main component, paired with all that are not in their own."""
-    at = members.select("node", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    sizes = at.groupBy("node", "component_id").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("k", "component_id"))["component_id"].alias("main"), F.count("*").alias("c")).where("c > 1")
-    at = at.join(main, "node")
-    rest = at.where(F.col("component_id") != F.col("main")).select("node", F.col("doc_id").alias("x"), F.col("component_id").alias("cx"))
-    both = rest.join(at.select("node", "doc_id", "component_id"), "node").where(F.col("cx") != F.col("component_id"))
-    return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+def links_in_blocks(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What is left of large nodes, compared in full: links (a, b) across components, one for each document and component.
+
+    Nodes that share documents make a cluster; its documents are dealt into blocks, and two
+    blocks at a time count their common shingles by products of 0-1 matrices, some columns at a time.
+    """
+    star = large.join(large.groupBy("node").agg(F.min("doc_id").alias("a")), "node").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
+    clusters = components(star).withColumnRenamed("component_id", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    at = clusters.join(sizes, "cluster").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).join(sets, "doc_id")
+    at = at.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        n = np.array([len(x.as_buffer()) // 8 for x in t["shingles"]], np.int64)
+        blobs = t["doc_id"].to_numpy(), t["component_id"].to_numpy(), n, np.frombuffer(b"".join(t["shingles"].to_pylist()), U64)
+        return pa.table({"cluster": [key[0].as_py()], "block": [key[1].as_py()], "blocks": [t["blocks"][0].as_py()], **{f"x{i}": pa.array([x.tobytes()], pa.binary()) for i, x in enumerate(blobs)}})
+
+    packed = written(at.groupBy("cluster", "block").applyInArrow(pack, "cluster long, block long, blocks long, x0 binary, x1 binary, x2 binary, x3 binary"), "blocks")
+    left = packed.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = packed.select("cluster", F.col("block").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(4)])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = ([np.frombuffer(row[f"{c}{i}"], kind) for i, kind in enumerate((np.int64, np.int64, np.int64, U64))] for c in "xy")
+                columns = np.intersect1d(x[3], y[3])
+                common = np.zeros((len(x[0]), len(y[0])), np.float32)
+                for first in range(0, len(columns), 4096):
+                    part = columns[first : first + 4096]
+                    sides = []
+                    for ids, _, n, shingles in (x, y):
+                        at = np.minimum(np.searchsorted(part, shingles), len(part) - 1)
+                        hit = part[at] == shingles
+                        ones = np.zeros((len(ids), len(part)), np.float32)
+                        ones[np.repeat(np.arange(len(ids)), n)[hit], at[hit]] = 1
+                        sides.append(ones)
+                    common += sides[0] @ sides[1].T
+                whole = x[2][:, None] + y[2][None] - common
+                i, j = np.nonzero((100 * common >= percent * whole) & (x[1][:, None] != y[1][None]))
+                once = np.union1d(np.unique(np.column_stack((i, y[1][j])), axis=0, return_index=True)[1], np.unique(np.column_stack((j, x[1][i])), axis=0, return_index=True)[1])
+                ends = np.sort(np.column_stack((x[0][i[once]], y[0][j[once]])), axis=1) if len(i) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    return left.join(right, ["cluster", "other"]).repartition("cluster", "block", "other").select(*[f"x{i}" for i in range(4)], *[f"y{i}" for i in range(4)]).mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 16) -> DataFrame:
@@ -251,14 +333,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, trees: i
     labels = components(links)
     # Large nodes go on while they hold several components; only pairs across these are of use.
     found, large = [], mixed(members, labels)
+    if large.limit(1).count():
+        # What nobody in these nodes shares bounds each one's similarities exactly, and most end here.
+        bound = written(shareable(docs, large.select("doc_id").distinct(), words), "bound")
+        large = written(viable(large, bound, labels, percent), "viable")
     for level in range(1, LEVELS):
         if not large.limit(1).count():
             break
         members = written(shared(branched(large.join(classes, "doc_id"))), f"level{level}")
         found.append(across(pairs_of(members), labels))
-        large = mixed(members, labels)
+        large = viable(mixed(members, labels), bound, labels, percent)
     if large.limit(1).count():
-        found.append(crossing(large, labels))
+        large = written(large, "large")
+        rest = full_sets(docs, large.select("doc_id").distinct(), words)
+        links = written(links.unionByName(links_in_blocks(large, labels, rest, percent)), "links")
+        labels = components(links)
     if found:
         pairs = written(sifted(reduce(DataFrame.unionByName, found).distinct(), classes, least), "pairs")
         if pairs.limit(1).count():
