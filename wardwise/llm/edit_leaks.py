@@ -93,7 +93,7 @@ class Finder:
         if not self.items or not text:
             return []
         best: dict[int, int] = {}
-        seen: dict[int, int] = {}  # of each item, the last passage's end that was looked at
+        seen: dict[int, tuple[int, int]] = {}  # of each item, the passage that was looked at last
         for end, (n, where) in self.automaton.iter(text):
             for k, at in where:
                 if best.get(k) == 0:
@@ -101,9 +101,10 @@ class Finder:
                 _, item, budget, masks = self.items[k]
                 first = end + 1 - n - at - budget
                 last = first + len(item) + 2 * budget
-                if last <= seen.get(k, -1):
+                low, high = seen.get(k, (0, -1))
+                if low <= first and last <= high:
                     continue
-                seen[k] = last + budget
+                seen[k] = (first, last + budget)
                 distance = myers(item, masks, text[max(0, first) : last + budget], budget)
                 if distance <= budget:
                     best[k] = min(distance, best.get(k, distance))
