@@ -152,3 +152,24 @@ def test_timetable_feed(spark, tmp_path):
     routes = spark.createDataFrame([("r1", "Ginza", "x"), ("9", "y", "z")], "route_id string, route_short_name string, route_long_name string")
     lines = spark.createDataFrame([("9", ["q"]), ("5", ["GINZA"]), ("6", ["ginza"])], "line string, names array<string>")
     assert {r.route_id: r.line for r in timetable.mapped_routes(routes, lines).collect()} == {"r1": "5", "9": "9"}
+
+
+def test_geojson_sink(spark, tmp_path):
+    df = spark.createDataFrame([("a", 139.7, 35.6)], "name string, lon double, lat double")
+    maps.as_features(df, maps.point_geometry(F.col("lon"), F.col("lat")), "name").write.text(str(tmp_path / "out"))
+    line = spark.read.text(str(tmp_path / "out")).first()[0]
+    assert json.loads(line) == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [139.7, 35.6]}, "properties": {"name": "a"}}
+
+
+def test_periods_arrays_guards_and_backfill(spark):
+    stats = spark.createDataFrame([("w1", "a", "2023", 1), ("w2", "a", "2023", 2), ("w1", "a", "2022", 3), ("w1", "b", "2023", 4)], "ward string, source string, period string, v int")
+    new = spark.createDataFrame([("w1", "a", "2023", 9)], stats.schema)
+    assert rows(tables.sync_periods(stats, new, ["ward", "source", "period"])) == [("w1", "a", "2022", 3), ("w1", "a", "2023", 9), ("w1", "b", "2023", 4)]
+    a = spark.createDataFrame([(1, ["x"]), (2, None)], "k int, aliases array<string>")
+    b = spark.createDataFrame([(1, ["y", "x"]), (3, ["z"])], "k int, aliases array<string>")
+    assert {r.k: r.aliases for r in tables.union_arrays(a, b, "k", "aliases").collect()} == {1: ["x", "y"], 2: [], 3: ["z"]}
+    gone = spark.createDataFrame([(1,)], "k int")
+    assert rows(tables.blocked(gone, {"t.kk": spark.createDataFrame([(1,), (1,), (None,)], "kk int")}, "k")) == [("t", 2)]
+    names = spark.createDataFrame([(1, None), (2, "old"), (3, "same")], "k int, name_en string")
+    table, report = tables.backfill(names, spark.createDataFrame([(1, "one"), (2, "two"), (3, "same")], names.schema), "k", "name_en")
+    assert rows(table) == [(1, "one"), (2, "two"), (3, "same")] and tuple(report.first()) == (3, 2, 1)
