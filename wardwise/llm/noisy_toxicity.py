@@ -255,12 +255,11 @@ def learned(docs: DataFrame, labels: DataFrame, restorer_model: np.ndarray) -> M
         restorer = Restorer(restorer_model)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            doc, hashes = features(data, offsets, restorer)
-            own = [np.unique(hashes[doc == i]).tobytes() for i in range(batch.num_rows)] if batch.num_rows < 64 else _by_doc(doc, hashes, batch.num_rows)
+            own = [x for a, b in pieces(offsets) for x in _by_doc(*features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], restorer), b - a)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.binary())], names=["toxic", "features"])
 
-    # The sample is of bounded size, so is what is gathered here.
-    got = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, features binary").toArrow()
+    # The sample is of bounded size (TOXIC + CLEAN ids), so it is broadcast and what is gathered is bounded too.
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, features binary").toArrow()
     return fit([np.frombuffer(x.as_buffer(), U64) if x.as_py() else np.zeros(0, U64) for x in got["features"]], got["toxic"].to_numpy().astype(np.float64))
 
 
