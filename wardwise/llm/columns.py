@@ -43,7 +43,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         factors = np.full(size, base, U64)
         factors[0] = 1
         known = np.multiply.accumulate(factors)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[int(base)] = known
     return known[:n]
 
@@ -83,7 +83,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 4 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges (first, last) of rows with about ``most`` bytes each, one row at least."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -320,7 +320,7 @@ def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray, raw: bytes)
 def _searched(field: Field, batch: pa.RecordBatch, redact: bool) -> Iterator[tuple[int, list[tuple]]]:
     """First row and results (base counts, digest, spans, number of added ones, new text) of the parts of a batch."""
     all_data, all_offsets = text_bytes(batch.column("text"))
-    for lo, hi in pieces(all_offsets, 2 << 20):
+    for lo, hi in pieces(all_offsets):
         data, offsets = all_data[all_offsets[lo] : all_offsets[hi]], all_offsets[lo : hi + 1] - all_offsets[lo]
         raw = data.tobytes()
         hot = np.concatenate(([0], np.cumsum(((data >= 48) & (data < 58)) | (data == 64))))

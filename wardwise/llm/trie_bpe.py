@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from .columns import BYTE, U64, Rolling, mix, pieces, ranges, text_bytes
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 LONG = 96  # bytes; the few longer words are encoded one by one
-KNOWN = 1_500_000  # words that a worker remembers
+KNOWN = 600_000  # words that a worker remembers
 LETTER, NUMBER, SPACE, OTHER = range(4)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: White_Space of Unicode (fixed values).
@@ -232,7 +232,7 @@ class Encoder:
         for high in (8, 16, 32, LONG):
             own = np.flatnonzero((n > low) & (n <= high))
             low = high
-            for part in np.array_split(own, max(1, len(own) * high // (8 << 20) + 1)):
+            for part in np.array_split(own, max(1, len(own) * high // (2 << 20) + 1)):
                 if not part.size:
                     continue
                 ids, counts = self.encode_words(data, start[part], end[part])
