@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import U64, Rolling, mix, pieces, text_bytes, word_bounds, word_hashes
-from .repeats import PACK, Plan, dealt, entries, least_by, table
+from .repeats import PACK, Plan, dealt, entries, least_by, replies, table
 from .store import text_size, written
 
 TOKENS = 64
 SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 LEAF = 24
-LEVELS = 3
+LEVELS = 2
 BLOCK = 1024  # documents of a cluster that are compared with as many others at a time
 
 
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in pieces(offsets, 2 << 20):
+            for a, b in pieces(offsets):
                 sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -164,7 +164,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in pieces(offsets, 2 << 20):
+            for a, b in pieces(offsets):
                 sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "shingles"])
 
@@ -232,10 +232,15 @@ def shareable(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         _, (ids, shingles) = entries(t, [U64])
         low, high = least_by(shingles, ids)
         doc, row = np.unique(ids, return_inverse=True)
-        return pa.table({"doc_id": doc, "n": np.bincount(row), "shared": np.bincount(row, low < high).astype(np.int64)})
+        return table(replies(key[0].as_py(), doc % buckets, doc, [np.bincount(row), np.bincount(row, low < high).astype(np.int64)]))
+
+    def added(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _, (ids, n, shared) = entries(t, [np.int64, np.int64])
+        doc, row = np.unique(ids, return_inverse=True)
+        return pa.table({"doc_id": doc, "size": np.bincount(row, n).astype(np.int64), "shared": np.bincount(row, shared).astype(np.int64)})
 
     packed = full_sets(docs, ids, words).mapInArrow(deal, PACK)
-    return packed.groupBy("bucket").applyInArrow(own, "doc_id long, n long, shared long").groupBy("doc_id").agg(F.sum("n").alias("size"), F.sum("shared").alias("shared"))
+    return packed.groupBy("bucket").applyInArrow(own, PACK).groupBy("grp").applyInArrow(added, "doc_id long, size long, shared long")
 
 
 def viable(members: DataFrame, bound: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +250,7 @@ def viable(members: DataFrame, bound: DataFrame, labels: DataFrame, percent: int
     (100 + percent) * shareable >= percent * (both sizes). The node's sizes are known in steps of
     two hundredths, some hundred at most whatever the node.
     """
-    m = members.select("node", "doc_id").join(bound, "doc_id").where(100 * F.col("shared") >= percent * F.col("size"))
+    m = members.select("node", "doc_id").join(bound.where(100 * F.col("shared") >= percent * F.col("size")), "doc_id")
     step = F.floor(F.log("size") / 0.02)
     steps = m.groupBy("node").agg(F.collect_set(step).alias("steps"))
     most = (100 + percent) * F.col("shared") / F.lit(percent) - F.col("size")
@@ -340,11 +345,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, trees: i
     for level in range(1, LEVELS):
         if not large.limit(1).count():
             break
-        members = written(shared(branched(large.join(classes, "doc_id"))), f"level{level}")
+        members = written(shared(written(branched(large.join(classes, "doc_id")), "branched")), f"level{level}")
         found.append(across(pairs_of(members), labels))
-        large = viable(mixed(members, labels), bound, labels, percent)
+        large = written(viable(mixed(members, labels), bound, labels, percent), "viable")
     if large.limit(1).count():
-        large = written(large, "large")
         rest = full_sets(docs, large.select("doc_id").distinct(), words)
         links = written(links.unionByName(links_in_blocks(large, labels, rest, percent)), "links")
         labels = components(links)
