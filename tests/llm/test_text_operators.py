@@ -132,6 +132,23 @@ def test_toxicity_is_learned_and_restored(spark, docs):
     assert noisy_toxicity.toxicity(docs([]), lab).collect() == []
 
 
+def test_letters_that_stand_alone_are_read_in_the_lattice(spark, docs):
+    r = random.Random(6)
+    words = ["hello", "green", "table", "walks", "a", "under", "river", "stone", "you", "are"]
+    rows, labels = [], []
+    for i in range(600):
+        text = [r.choice(words) for _ in range(30)]
+        if i % 5 == 0:
+            text[r.randrange(30)] = r.choice(["moron", "loser", "idiot"])
+        rows.append((i, " ".join(text)))
+        labels.append((i, 0, int(i % 5 == 0)))
+    bad = ["you are a l o s e r", "l 0 s e r", "m o r 0 n", "l o s e r!", "you, i d i o t.", "l\to\ns\n\ne\tr", "are you a m 0 r o n?", '"l o s e r"', "1 d 1 o t", "1053r", "1d107"]
+    good = ["a t a b l e", "h e l l o!", "1 2 3 4 5 6 7", "a b c d", "é a è ü", "! ! ! $ $ $", "a 0 a 0 " * 3000, "2003 455 (1) 2 3."]
+    extra = [(10_000 + i, t) for i, t in enumerate(bad + good)]
+    got = {x.doc_id: x.predicted for x in noisy_toxicity.toxicity(docs(rows + extra), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [t for (i, t) in extra if got[i] != int(t in bad)] == []
+
+
 def test_tokens_equal_the_library(docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = trie_bpe.vocabulary()

@@ -1,9 +1,11 @@
 """Operator 6: toxicity of restored text.
 
 Words written to deceive (digits and signs for letters, repeated letters, letters
-with blanks or signs between them) are read as what left a noisy channel. Each
+with white space or signs between them) are read as what left a noisy channel. Each
 character may stand for some letters, be a repeat, or be nothing; Viterbi finds the
-likeliest letters under a character model, trigrams counted over all documents.
+likeliest letters under a character model, trigrams counted over all documents. Words
+of one character in a row are read as a whole, each gap as the end of a word or as
+nothing; they count as the words so found and as one word without gaps.
 The restored text is scored by a logistic model over whole words and their
 beginnings, as a word's ending often varies.
 
@@ -41,6 +43,16 @@ SIGN = np.zeros(256, bool)
 SIGN[[*b"0123456789@$!|+_*-."]] = True
 #: Letters that a sign may stand for (fixed values).
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
+STANDS = np.zeros(256, bool)
+STANDS[[ord(c) for c in STANDS_FOR]] = True
+#: First bytes of what may be a word of one character; letters of more bytes begin with 0xC3 or more, E2 and EF begin signs.
+ALONE = PLAIN | STANDS
+ALONE[[*range(0xC3, 0xE2), *range(0xE3, 0xEF)]] = True
+WIDTH = np.ones(256, np.int64)  # bytes of a character by its first
+WIDTH[0xC0:0xE0], WIDTH[0xE0:0xF0], WIDTH[0xF0:] = 2, 3, 4
+OPENING, TAIL = np.zeros(256, bool), np.zeros(256, bool)
+OPENING[[*b"\"'(["]] = True
+TAIL[[*b".,;:!?#%&*$\"')]"]] = True
 REPEAT, SWAP, DROP = -1.5, -2.5, -1.0  # log chances of the channel
 _tail = re.compile(r"[.,;:!?#%&*$\"')]+$")
 _triple = re.compile(r"(.)\1\1")
@@ -105,14 +117,21 @@ class Restorer:
             self.known[word] = self._word(word)
         return self.known[word]
 
+    def run(self, letters: str) -> list[str]:
+        """The words that characters which stood alone in a row make, and all of them as one word."""
+        return [x for x in {*self._likeliest(letters, True).split(" "), self._word(letters)} if x]
+
     def _word(self, word: str) -> str:
         word = _tail.sub("", word.lower())
         letters = sum(c.isalpha() for c in word)
         odd = any(c in STANDS_FOR or c in "_*-." for c in word)
         if not word or (letters >= len(word) and not _triple.search(word)) or not (odd or _triple.search(word)):
             return word
-        # A state is the last two letters; it holds its chance and its text.
-        states = {(0, 0): (0.0, "")}
+        return self._likeliest(word)
+
+    def _likeliest(self, word: str, gaps: bool = False) -> str:
+        # A state is the last two letters; it holds its chance and its text, as a chain from its end.
+        states = {(0, 0): (0.0, None)}
         for i, c in enumerate(word):
             options = []
             if "a" <= c <= "z":
@@ -121,18 +140,32 @@ class Restorer:
                 options += [(ord(x) - 96, x, SWAP) for x in STANDS_FOR[c]]
             nothing = DROP if c in "_*-. " or c not in STANDS_FOR and not c.isalnum() else REPEAT if i and c == word[i - 1] else -4.0 if not options else None
             other = not options and c.isalpha()
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            if gaps:
+                ended = max(((chance + self.model[p][q][0], text) for (p, q), (chance, text) in states.items() if q), key=lambda x: x[0], default=None)
+                if ended and ((0, 0) not in states or states[0, 0][0] < ended[0]):
+                    states[0, 0] = (ended[0], (ended[1], " "))
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (p, q), (chance, text) in states.items():
-                moves = [((q, x), chance + cost + self.model[p][q][x], text + s) for x, s, cost in options]
+                moves = [((q, x), chance + cost + self.model[p][q][x], (text, s)) for x, s, cost in options]
                 if other:
-                    moves.append(((0, 0), chance, text + c))
+                    moves.append(((0, 0), chance, (text, c)))
                 elif nothing is not None:
                     moves.append(((p, q), chance + nothing, text))
                 for state, value, text_after in moves:
                     if state not in after or after[state][0] < value:
                         after[state] = (value, text_after)
             states = after
-        return max((chance + self.model[p][q][0], text) for (p, q), (chance, text) in states.items())[1]
+        ends = [(chance + self.model[p][q][0], text) for (p, q), (chance, text) in states.items()]
+        best = max(x for x, _ in ends)
+        return max(_spelt(text) for x, text in ends if x == best)
+
+
+def _spelt(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, c = chain
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def feature_hashes(low: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +192,17 @@ def features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
     # Words that may hide others.
     letters = np.concatenate(([0], np.cumsum(LETTER[low])))
     signs = np.concatenate(([0], np.cumsum(SIGN[low])))
+    stands = np.concatenate(([0], np.cumsum(STANDS[low])))
     triple = np.zeros(len(low) + 1, np.int64)
     triple[3:] = np.cumsum((low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & LETTER[low[2:]]) if len(low) > 2 else 0
     n_letters = letters[ends] - letters[starts]
     has_triple = (ends - starts > 2) & (triple[ends] > triple[np.minimum(starts + 2, ends)])
-    hidden = np.flatnonzero((n_letters >= 2) & ((signs[ends] > signs[starts]) | has_triple))
-    # Single letters in a row.
-    single = (ends - starts == 1) & PLAIN[low[starts]]
+    hidden = np.flatnonzero((n_letters + stands[ends] - stands[starts] >= 2) & ((signs[ends] > signs[starts]) | has_triple))
+    # Single characters in a row, with or without signs around them.
+    at = np.arange(len(low))
+    begin = np.minimum.accumulate(np.where(OPENING[low], len(low), at)[::-1])[::-1][starts]
+    begin = np.where(begin < ends, begin, starts)
+    single = ALONE[low[begin]] & (np.maximum.accumulate(np.where(TAIL[low], -1, at))[ends - 1] < begin + WIDTH[low[begin]])
     run = single & np.append(False, single[:-1]) & (doc == np.append(-1, doc[:-1]))
     raw = low.tobytes()
     texts, of = [], []
@@ -177,8 +214,9 @@ def features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
     edge = np.flatnonzero(~run)
     sizes = np.diff(np.append(edge, len(run)))
     for i, n in zip(edge[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        texts.append(raw[starts[i] : ends[i + n - 1]].replace(b" ", b"").decode(errors="replace"))
-        of.append(doc[i])
+        found = restorer.run(b"".join(raw[a : a + w] for a, w in zip(begin[i : i + n].tolist(), WIDTH[low[begin[i : i + n]]].tolist())).decode(errors="replace"))
+        texts += found
+        of += [doc[i]] * len(found)
     if texts:
         coded = [t.encode() for t in texts]
         size = np.array([len(t) for t in coded])
