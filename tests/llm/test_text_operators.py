@@ -149,6 +149,27 @@ def test_letters_that_stand_alone_are_read_in_the_lattice(spark, docs):
     assert [t for (i, t) in extra if got[i] != int(t in bad)] == []
 
 
+def test_bounds_of_the_labelled_sample_leave_the_odds(spark, docs, monkeypatch):
+    r = random.Random(8)
+    words = ["hello", "green", "table", "walks", "under", "river", "stone"]
+    rows, labels = [], []
+    for i in range(3000):
+        text = [r.choice(words) for _ in range(12)]
+        if i % 10 == 0 and i % 30 or i % 10 == 1 and i % 4 == 0:
+            text[r.randrange(12)] = "moron"
+        rows.append((i, " ".join(text)))
+        labels.append((i, 0, int(i % 10 == 0)))
+    table, lab = docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    letters = np.log(np.full((27, 27, 27), 1 / 27))
+    whole = noisy_toxicity.learned(table, lab, letters)
+    monkeypatch.setattr(noisy_toxicity, "TOXIC", 150)
+    monkeypatch.setattr(noisy_toxicity, "CLEAN", 150)
+    bounded = noisy_toxicity.learned(table, lab, letters)
+    assert len(whole.hashes) and list(whole.hashes) == list(bounded.hashes)
+    # The sample has one toxic row to each clean one, all rows one to nine: a constant of the sample's odds is too large by log 9.
+    assert abs(whole.constant - bounded.constant) < 0.7
+
+
 def test_tokens_equal_the_library(docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = trie_bpe.vocabulary()

@@ -10,7 +10,8 @@ The restored text is scored by a logistic model over whole words and their
 beginnings, as a word's ending often varies.
 
 Labels are learned from rows whose crc32 of the doc_id is not 0 modulo 5, at most
-``TOXIC`` and ``CLEAN`` of them (in order of a hash). Nulls and empty texts get the
+``TOXIC`` and ``CLEAN`` of them (in order of a hash); the model's constant is set
+right by the odds among all of them, so scores do not depend on the bounds. Nulls and empty texts get the
 score of a text without known words; without labels of both kinds every score is
 0; rows that are repeated are scored each; other columns are ignored.
 """
@@ -287,6 +288,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, rounds: int = 400) -> Model:
 def learned(docs: DataFrame, labels: DataFrame, restorer_model: np.ndarray) -> Model:
     rows = labels.where("toxic in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    n_toxic, n_clean = (x or 0 for x in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     chosen = rows.where("toxic = 1").orderBy(*order).limit(TOXIC).unionByName(rows.where("toxic = 0").orderBy(*order).limit(CLEAN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +300,11 @@ def learned(docs: DataFrame, labels: DataFrame, restorer_model: np.ndarray) -> M
 
     # The sample is of bounded size (TOXIC + CLEAN ids), so it is broadcast and what is gathered is bounded too.
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, features binary").toArrow()
-    return fit([np.frombuffer(x.as_buffer(), U64) if x.as_py() else np.zeros(0, U64) for x in got["features"]], got["toxic"].to_numpy().astype(np.float64))
+    model = fit([np.frombuffer(x.as_buffer(), U64) if x.as_py() else np.zeros(0, U64) for x in got["features"]], got["toxic"].to_numpy().astype(np.float64))
+    if n_toxic and n_clean:
+        # The bounds take a share of each kind; the sample's odds become those of all rows.
+        model.constant += float(np.log(n_toxic / min(n_toxic, TOXIC)) - np.log(n_clean / min(n_clean, CLEAN)))
+    return model
 
 
 def _by_doc(doc: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
