@@ -41,6 +41,20 @@ def test_search_finds_nearly_all_and_scores_exactly(spark):
     assert score_aware_search.search(v.limit(0), v.limit(0)).collect() == []
 
 
+def test_search_keeps_the_smallest_of_equal_vectors(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2500, 17))
+    x[rng.permutation(2500)[:1000]] = x[0]  # 1,000 copies and more than are reranked
+    x[1] = 1.01 * x[0]
+    v = score_aware_search.usable(spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>"))
+    got: dict = {}
+    for r in score_aware_search.search(v, v.where("vec_id in (0, 1)"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in (0, 1):
+        score = (x * x[q]).sum(1)
+        assert got[q] == [i for i in np.lexsort((np.arange(2500), -score)) if i != q][:20]
+
+
 def test_anisotropic_codes_have_less_parallel_error():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(800, 8))

@@ -162,9 +162,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 16
                     for b in range(1, len(codes)):
                         score += table[b].take(codes[b])
                     score[ids == qids[i]] = -np.inf
-                    top = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
+                    # All that tie with the last one to be reranked are too: equal vectors have equal codes.
+                    top = np.flatnonzero(score >= np.partition(score, -rerank)[-rerank]) if len(score) > rerank else np.arange(len(score))
                     top = top[ids[top] != qids[i]]
-                    exact = x[top] @ q[i]
+                    exact = (x[top] * q[i]).sum(1)  # row by row, so equal vectors have equal scores wherever they lie
                     top, exact = (y[np.lexsort((ids[top], -exact))[:k]] for y in (top, exact))
                     best_q.append(np.full(len(top), qids[i]))
                     best_v.append(ids[top])
