@@ -239,16 +239,27 @@ def locality_commute(s, d):
     return _round(_commutes(s, d).select("locality", "dest", "minutes", "low", "high"), "minutes", "low", "high")
 
 
+def _locality_shares(s, d):
+    """Medians over each locality's samples of the residential, near-line and green shares of their catchments."""
+    at = A.localities(s, d).select(F.struct("locality", "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+    # Region kinds as in coverage_share and points_in_any_region.
+    zone = spatial.coverage_share(at, _edges(s, d, "region_id % 2 = 0"), config.CATCHMENT_M).withColumnRenamed("share", "residential")
+    lines = spatial.near_line_share(at, _grid_lines(s, d), config.CATCHMENT_M, config.LINE_BUFFER_M).withColumnRenamed("share", "exposure")
+    green = spatial.coverage_share(at, _edges(s, d, "region_id % 3 = 0"), config.CATCHMENT_M).withColumnRenamed("share", "green")
+    j = zone.join(lines, "anchor_id").join(green, "anchor_id")
+    return j.groupBy(F.col("anchor_id.locality").alias("locality")).agg(*[F.percentile(k, 0.5).alias(k) for k in ("residential", "exposure", "green")])
+
+
 def _locality_axes(s, d):
     """Scores of each locality by axis, from the medians over its samples."""
     at = A.localities(s, d).select(F.struct("locality", "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
     n = spatial.near_counts(at, A.pois(s, d), config.CATCHMENT_M, metrics.amenity_aggregates())
     cols = {"supermarkets": metrics.shop_score(F.col("n_supermarket"), F.col("n_grocery"), F.col("n_convenience")), "restaurants": F.col("n_restaurant") + F.col("n_cafe"), "konbini": F.col("n_convenience"), "cuisine_variety": F.col("n_cuisines"), "late_night": F.col("n_late"), "health": F.col("n_health"), "bars": F.col("n_bar")}
     n = n.fillna(0).select(F.col("anchor_id.locality").alias("locality"), *[c.cast("double").alias(k) for k, c in cols.items()])
-    m = n.groupBy("locality").agg(*[F.percentile(k, 0.5).alias(k) for k in cols])
+    m = n.groupBy("locality").agg(*[F.percentile(k, 0.5).alias(k) for k in cols]).join(_locality_shares(s, d), "locality")
     axes = [F.struct(F.lit(k).alias("axis"), metrics.sufficiency(F.col(k), config.TARGETS[k]).alias("score")) for k in cols if k != "bars"]
-    axes.append(F.struct(F.lit("quietness").alias("axis"), metrics.locality_quietness(F.lit(0.5), F.lit(0.2), F.col("bars")).alias("score")))
-    axes.append(F.struct(F.lit("green_space").alias("axis"), metrics.sufficiency(F.lit(0.05), config.TARGETS["green_space"]).alias("score")))
+    axes.append(F.struct(F.lit("quietness").alias("axis"), metrics.locality_quietness(F.col("residential"), F.col("exposure"), F.col("bars")).alias("score")))
+    axes.append(F.struct(F.lit("green_space").alias("axis"), metrics.sufficiency(F.col("green"), config.TARGETS["green_space"]).alias("score")))
     return m.select("locality", F.explode(F.array(*axes)).alias("a")).select("locality", "a.*")
 
 
