@@ -116,6 +116,16 @@ def test_chats_are_read_back(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_near_dedup_keeps_documents_without_id(spark, docs):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(40))
+    table = docs([(1, text), (2, text), (3, "other words are here"), (None, text), (None, text), (None, None)])
+    out = corpus_pipeline.near_dedup(spark, table, "")
+    assert out.columns == table.columns
+    assert Counter((x.doc_id, x.text) for x in out.collect()) == {(1, text): 1, (3, "other words are here"): 1, (None, text): 2, (None, None): 1}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
