@@ -7,7 +7,9 @@ import re
 import numpy as np
 import pytest
 
-from wardwise.llm.relative_lz_dedup import factors, relative_lz_dedup
+from wardwise.llm.relative_lz_dedup import Block, relative_lz_dedup, spans
+from wardwise.llm.repeats import Plan, binaries
+from wardwise.llm import suffix_dedup as op5
 from wardwise.llm.suffix_dedup import suffix_dedup
 from wardwise.llm.suffixes import common_prefixes, suffix_array
 
@@ -56,10 +58,12 @@ def corpus(seed):
     return rows
 
 
+@pytest.mark.parametrize("hot", [512, 5])
 @pytest.mark.parametrize("words", [False, True])
-def test_removed_parts_equal_brute_force(docs, words):
+def test_removed_parts_equal_brute_force(docs, words, hot):
+    """``hot``: anchors of more documents are taken apart into windows."""
     rows = corpus(1)
-    out = (relative_lz_dedup if words else suffix_dedup)(docs(rows)).collect()
+    out = (relative_lz_dedup if words else suffix_dedup)(docs(rows), hot=hot).collect()
     if words:
         got = sorted((r.doc_id, r.n_words, r.n_removed, len(r.factors), r.kept_sha256) for r in out)
         assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in out)
@@ -82,7 +86,7 @@ def test_suffix_arrays_and_common_prefixes():
         if trial % 3 == 0 and n > 60:
             a[-30:] = a[:30]
         t = a.tobytes()
-        array = suffix_array(a, n + 1)
+        array = suffix_array(a)
         assert list(array) == sorted(range(n), key=lambda i: t[i:])
         shared = common_prefixes(a, array)
         for i, j in zip(array[1:], array):
@@ -92,7 +96,57 @@ def test_suffix_arrays_and_common_prefixes():
             assert shared[i] == k
 
 
-def test_factors_end_with_their_document():
+def test_spans_end_with_their_document():
     mask = np.array([1, 1, 1, 0, 1, 1], bool)
-    start, length = factors(mask, np.array([0, 2, 2, 6]))
+    start, length = spans(mask, np.array([0, 2, 2, 6]))
     assert list(start) == [0, 2, 4] and list(length) == [2, 1, 2]
+
+
+def block(texts, ids, window=3):
+    raw = [t.encode() + b" " for t in texts]
+    return Block(Plan("words", window, 1, 1, 1), np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw]), np.array(ids))
+
+
+def test_factors_are_the_longest_copies_of_a_place_of_the_block():
+    b = block(["a b c d e f", "x a b c d y b c d e f z", "a b c q"], [1, 2, 3])
+    # The windows that cross the end of a factor are looked up: "b c d" begins a new one in the second string.
+    assert sorted(zip(*map(list, b.factors()))) == [(1, 1, 4), (1, 6, 5), (2, 0, 3)]
+    # A factor that ends where its source ends goes on in another source.
+    b = block(["a b c d", "b c d e f", "z a b c d e f"], [1, 2, 3])
+    assert sorted(zip(*map(list, b.factors()))) == [(1, 0, 3), (2, 1, 4), (2, 3, 4)]
+
+
+def test_factors_compare_words_not_hashes(monkeypatch):
+    from wardwise.llm import relative_lz_dedup as op10
+
+    monkeypatch.setattr(op10, "grams", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
+    b = block(["a b c d", "e f g h"], [1, 2])
+    assert len(b.factors()[0]) == 0
+
+
+def test_op5_takes_its_result_from_the_suffix_array(docs, monkeypatch):
+    """With an array that isn't sorted, or without common prefixes, other bytes go."""
+    data, sizes = np.frombuffer(b"0abcdefgh1" + b"xabcdefghy", np.uint8), np.array([10, 10])
+    plan = Plan("bytes", 8, 4, 1, 1)
+    right = [list(x) for x in op5.repeated_strings(plan, data, sizes, np.array([1, 2]))]
+    assert right == [[1], [1], [8]]
+    monkeypatch.setattr(op5, "common_prefixes", lambda text, array: np.zeros(len(text), np.int64))
+    assert len(op5.repeated_strings(plan, data, sizes, np.array([1, 2]))[0]) == 0
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_words_that_sums_of_powers_confuse(docs, words):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    head, tail = " ".join(f"h{i}" for i in range(30)), " ".join(f"t{i}" for i in range(30))
+    rows = [(1, f"{head} {one} {tail}"), (2, f"{head} {other} {tail}"), (3, one), (4, other), (5, one)]
+    out = (relative_lz_dedup if words else suffix_dedup)(docs(rows)).collect()
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) if words else (r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in out)
+    assert got == [(d, n, k, h) for d, n, k, _, h in brute(rows, words)]

@@ -1,4 +1,7 @@
-"""Numpy views of Arrow text columns, word bounds and rolling hashes.
+"""Numpy views of Arrow text columns, word bounds and hashes of words and windows.
+
+Hashes are chains of a 64-bit mixer over eight bytes, or over two halves of a
+window, at a time: no sum of powers, for which there are texts that collide.
 
 Everything here works on one Arrow batch inside a task; Spark does the reading,
 grouping and shuffling.
@@ -9,13 +12,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+#: A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Keeps that many bytes of eight.
+KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_LONG = 64  # bytes; the few longer words are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,45 +34,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-#: A random value for each byte; white space counts as nothing in a word's hash.
-BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-WORD_BYTE = np.where(SPACE, U64(0), BYTE)
-#: The same for words with A-Z in lower case.
-LOWER = np.arange(256)
-LOWER[65:91] += 32
-LOWER_WORD_BYTE = WORD_BYTE[LOWER]
-
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in a row."""
+    x = (left ^ (left >> U64(32))) * U64(0xD6E8FEB86659FD93) + right
+    x = (x ^ (x >> U64(29))) * U64(0x9E3779B97F4A7C15)
+    return x ^ (x >> U64(32))
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    known = _powers.get(int(base))
-    if known is None or len(known) < n:
-        size = max(n, 1 << 16)
-        factors = np.full(size, base, U64)
-        factors[0] = 1
-        known = np.multiply.accumulate(factors)
-        if size <= 1 << 21:
-            _powers[int(base)] = known
-    return known[:n]
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each position on, zeros beyond the end."""
+    return np.ndarray((len(data),), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
 
-class Rolling:
-    """Polynomial hashes of any range of a sequence of 64-bit symbols, from prefix sums."""
 
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(symbols * _power(_BASE, n), out=self.sums[1:])
-        self.back = _power(_BASE_INV, n + 1)
+def grams(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each ``k`` consecutive symbols: bytes, or words as hashes."""
+    m = len(symbols) - k + 1
+    if m <= 0:
+        return np.zeros(0, U64)
+    if symbols.dtype == np.uint8:
+        span = min(k, 8)
+        h = eights(symbols)[: len(symbols) - span + 1] & KEEP[span]
+        h = _joined(h, U64(span))
+    else:
+        h, span = symbols, 1
+    while span * 2 <= k:
+        h = _joined(h[:-span], h[span:])
+        span *= 2
+    return _joined(h[:m], h[k - span :]) if span < k else h
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
-    def grams(self, k: int) -> np.ndarray:
-        """Hash of each k consecutive symbols."""
-        m = len(self.sums) - k
-        if m <= 0:
-            return np.zeros(0, U64)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.back[:m])
+def wider(hashes: np.ndarray, k: int, at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` symbols from each position on, from the hashes of ``k`` consecutive ones."""
+    h = hashes[at]
+    for step in [*range(k, width - k, k), width - k]:
+        h = _joined(h, hashes[at + step])
+    return h
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +112,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of bytes."""
     if not len(starts):
         return np.zeros(0, U64)
-    return Rolling((LOWER_WORD_BYTE if lower else WORD_BYTE)[data]).of(starts, ends)
+    whole, n = eights(data), ends - starts
+    h = mix(n.astype(U64))
+    live = np.arange(len(n))
+    for step in range(0, _LONG, 8):
+        live = live[n[live] > step] if step else live
+        if not live.size:
+            break
+        part = whole[starts[live] + step] & KEEP[np.minimum(n[live] - step, 8)]
+        h[live] = mix(h[live] ^ part * U64(0x9FB21C651E98DF25))
+    for i in np.flatnonzero(n > _LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import BYTE, U64, Rolling, mix, pieces, text_bytes, word_bounds
+from .columns import U64, mix, pieces, text_bytes, word_bounds, word_hashes
 
 TOXIC, CLEAN = 3000, 6000  # labelled rows learned from, at most
 FEATURES = 3000
@@ -171,11 +171,11 @@ def _spelt(chain: tuple | None) -> str:
 
 def feature_hashes(low: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and of their beginnings, and the row of each."""
-    rolled, rows = Rolling(BYTE[low]), np.arange(len(first))
-    out, of = [rolled.of(first, last)], [rows]
+    rows = np.arange(len(first))
+    out, of = [word_hashes(low, first, last)], [rows]
     for n in PREFIXES:
         ok = last - first >= n
-        out.append(mix(rolled.of(first[ok], first[ok] + n) + U64(n)))
+        out.append(mix(word_hashes(low, first[ok], first[ok] + n) + U64(n)))
         of.append(rows[ok])
     return np.concatenate(out), np.concatenate(of)
 

@@ -1,10 +1,11 @@
 """Operator 5: repeated byte strings by suffix arrays.
 
-The runs that ``repeats`` leaves undecided form the shards: each group of
-documents classifies the suffixes of its runs, sorts the leftmost-smaller
-substrings, induces the whole array from them and reads equal strings off the
-permuted common prefixes. Only one row for each different string of a shard
-goes on to be merged with the other shards by its digest.
+A shard holds the strings of its anchors (see ``repeats``): those of anchors that
+have more than one are laid end to end, their suffixes classified, the
+leftmost-smaller substrings sorted by recursion and the whole array induced from
+them. Neighbours whose permuted common prefix reaches ``window`` bytes hold the same
+string, and a window is removed where the smallest document of its neighbours is
+smaller than its own.
 
 Nulls are empty texts; texts shorter than the window and empty tables give no
 removals; rows that share a doc_id never count for one another, since neither
@@ -19,28 +20,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .columns import ranges
-from .repeats import Group, plan_for, removals
+from .repeats import Group, Plan, least_by, plan_for, removals
 from .suffixes import common_prefixes, suffix_array
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def sorted_windows(group: Group, rolling, a: int, begin: np.ndarray, length: np.ndarray, row: np.ndarray):
-    """Windows of the runs, once for each different string of the shard and document."""
-    w = group.plan.window
-    whole = length + w - 1
-    text = group.data[a + ranges(begin, whole)]
-    array = suffix_array(text, w)
-    prefix = common_prefixes(text, array)
-    string = np.empty(len(text), np.int64)  # number of the w-byte string that begins at each position
-    string[array] = np.cumsum(prefix[array] < w)
-    first = np.cumsum(whole) - whole
-    at = ranges(first, length)  # the runs' windows in the shard's text
-    source = ranges(begin, length)
-    docs = np.repeat(row, length)
-    once = np.unique(string[at] * (len(group.ids) + 1) + docs, return_index=True)[1]
-    return rolling.of(source[once], source[once] + w), group.ids[docs[once]]
+def repeated_strings(plan: Plan, data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a shard's strings are covered by windows of smaller documents, read off its suffix array."""
+    w = plan.window
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    array = suffix_array(data)
+    prefix = common_prefixes(data, array)
+    same = np.cumsum(prefix[array] < w)  # suffixes that share their first w bytes
+    first = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(data)) + w <= (first + sizes)[owner]  # windows that end within their string
+    at = array[inside[array]]
+    low, _ = least_by(same[inside[array]], docs[owner[at]])
+    hit = np.sort(at[low < docs[owner[at]]])
+    return owner[hit], hit - first[owner[hit]], np.full(len(hit), w)
 
 
 def finish(keep_text: bool):
@@ -65,10 +65,10 @@ def finish(keep_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = 32, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = 24, keep_text: bool = True, **settings) -> DataFrame:
     """Each document with the bytes covered by a ``window``-byte string that also starts in a smaller doc_id removed."""
-    plan = plan_for(docs, "bytes", window, gram)
-    return removals(docs, plan, sorted_windows, finish(keep_text), SCHEMA)
+    plan = plan_for(docs, "bytes", window, gram, **settings)
+    return removals(docs, plan, repeated_strings, finish(keep_text), SCHEMA)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

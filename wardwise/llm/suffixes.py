@@ -1,14 +1,18 @@
 """Suffix arrays of a shard's text by induced sorting, and permuted common prefixes, in numpy.
 
-Each pass handles all suffixes that begin with one byte together, so an induction
-is some numpy calls a byte value and run length, and linear in the text.
+Each pass over the bytes handles all suffixes that begin with one byte together, so an
+induction is some numpy calls a byte value and run length, and linear in the text. The
+string of substring names, a third as long or less, has too many symbols for that; it is
+sorted by the same recursion, whose inductions walk over compact arrays.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
-from .columns import BYTE, Rolling
+from .columns import eights
 
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
@@ -71,8 +75,77 @@ def _induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate(out)[::-1]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of a byte text in order of their first ``depth`` bytes at least."""
+def _names(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Rank of each leftmost S substring (up to the next one's first symbol), equal ones sharing it, by symbol after symbol.
+
+    With their types as well no substring begins another one. The last one meets the end of the text and is smaller
+    than those that it begins.
+    """
+    ends = np.append(lms[1:] + 1, len(text))
+    symbols = text.astype(np.int64) * 2 + kind
+    name, live, step = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while live.size:
+        at = lms[live] + step
+        inside = at < ends[live]
+        key = name[live] * (2 * int(text.max()) + 3) + np.where(inside, symbols[np.minimum(at, len(text) - 1)] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(live)))
+        # A name is the number of substrings that are smaller: those of its old name keep their places.
+        old = np.flatnonzero(np.append(True, name[live][1:] != name[live][:-1]))
+        name[live] += np.repeat(first, count) - np.repeat(old, np.diff(np.append(old, len(live))))
+        live = live[np.repeat(count > 1, count) & (lms[live] + step + 1 < ends[live])]
+        step += 1
+    return np.unique(name, return_inverse=True)[1]
+
+
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Suffixes in order of a string of numbers whose last is 0 and the only 0: classify, sort and name the
+    leftmost S substrings, sort the string of these names by the same function, and induce."""
+    n = len(names)
+    kind = suffix_types(names)
+    kind[-1] = True
+    sizes = np.bincount(names)
+    ends = np.cumsum(sizes)
+    # Compact arrays: lists of number objects would miss the processor's caches.
+    s, small, last_of, first_of = (array("i", x.astype(np.int32).tobytes()) for x in (names, kind, ends, ends - sizes))
+    lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
+
+    def induced(order: np.ndarray) -> np.ndarray:
+        rank = names[order]  # each bucket's own ones go to its end, in their order
+        by = np.argsort(rank, kind="stable")
+        bucket = rank[by]
+        counts = np.bincount(bucket, minlength=len(sizes))
+        start = np.zeros(n, np.int32)
+        start[ends[bucket] - np.cumsum(counts)[bucket] + np.arange(len(by))] = order[by]
+        out, at = array("i", start.tobytes()), first_of[:]
+        for i in out:  # grows ahead of the loop
+            if i:
+                i -= 1
+                if not small[i]:
+                    c = s[i]
+                    k = at[c]
+                    out[k] = i
+                    at[c] = k + 1
+        at = last_of[:]
+        for i in reversed(out):
+            if i:
+                i -= 1
+                if small[i]:
+                    c = s[i]
+                    at[c] = k = at[c] - 1
+                    out[k] = i
+        return np.frombuffer(out, np.int32).astype(np.int64)
+
+    name = _names(names, kind, lms)
+    order = _sorted_names(np.append(name + 1, 0))[1:] if name.max() + 1 < len(lms) else np.argsort(name)
+    return induced(lms[order])
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes of a byte text in order."""
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -80,30 +153,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
     if not lms.size:
         return _induce(text, kind, lms)
-    rough = _induce(text, kind, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    rough = rough[is_lms[rough]]  # now in order of their substrings up to the next leftmost S suffix
-    index = np.zeros(n, np.int64)
-    index[lms] = np.arange(len(lms))
-    ends = np.append(lms[1:] + 1, n)
-    rolled = Rolling(BYTE[text])
-    digest, length = rolled.of(lms, ends), ends - lms
-    row = index[rough]
-    # The last substring meets the end of the text, so it equals no other.
-    new = (digest[row][1:] != digest[row][:-1]) | (length[row][1:] != length[row][:-1]) | (row[1:] == len(lms) - 1) | (row[:-1] == len(lms) - 1)
-    name = np.empty(len(lms), np.int64)
-    name[row] = np.concatenate(([0], np.cumsum(new)))
-    # The string of names is sorted in turn: by pairs of names, each time of twice as many substrings.
-    reach = 1
-    while name.max() + 1 < len(lms) and reach < depth:
-        after = np.zeros(len(lms), np.int64)
-        after[:-reach] = name[reach:] + 1
-        pair = name * (len(lms) + 2) + after
-        order = np.argsort(pair, kind="stable")
-        name[order] = np.concatenate(([0], np.cumsum(pair[order][1:] != pair[order][:-1])))
-        reach *= 2
-    return _induce(text, kind, lms[np.argsort(name, kind="stable")])
+    name = _names(text, kind, lms)
+    order = _sorted_names(np.append(name + 1, 0))[1:] if name.max() + 1 < len(lms) else np.argsort(name)
+    return _induce(text, kind, lms[order])
 
 
 def common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
@@ -119,10 +171,7 @@ def common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     known = (at > 0) & (before > 0)
     known[known] = text[at[known] - 1] == text[before[known] - 1]
     todo = np.flatnonzero(~known & (before >= 0))
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word |= padded[k : n + k] << np.uint64(8 * k)
+    word = eights(text)
     shared = np.zeros(n, np.int64)
     a, b, live = todo.copy(), before[todo], todo
     while live.size:
