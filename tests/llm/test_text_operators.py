@@ -209,7 +209,11 @@ def near_brute(rows):
     return sorted((d, len(s), root(d) if s else d, (root(d) if s else d) == d) for d, s in sets)
 
 
-def test_near_duplicates_equal_brute_force(docs):
+@pytest.mark.parametrize("sizes", [{}, {"LEAF": 4, "MID": 16}, {"LEAF": 4, "MID": 16, "MORE": 0}, {"LEAF": 2, "DEEPEST": 1}])
+def test_near_duplicates_equal_brute_force(docs, monkeypatch, sizes):
+    """Also with nodes that are branched in a task, by Spark, or not at all, and compared in blocks."""
+    for name, size in sizes.items():
+        monkeypatch.setattr(path_join, name, size)
     r = random.Random(7)
     words = [f"w{i}" for i in range(400)]
     rows = [(0, None), (1, ""), (2, " \n "), (3, "one two"), (4, "ONE two"), (5, "one two three"), (6, "zz " * 30_000)]
@@ -233,3 +237,24 @@ def test_near_duplicates_equal_brute_force(docs):
     got = sorted(tuple(x) for x in path_join.near_duplicates(docs(rows + [(None, "gone")])).collect())
     assert got == near_brute(rows)
     assert path_join.near_duplicates(docs([])).collect() == []
+
+
+def test_words_that_sums_of_powers_confuse_are_not_alike(docs):
+    s = "a"
+    while len(s) < 1024:
+        s += s.translate(str.maketrans("ab", "ba"))
+    t = s.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"p q r {s} u v w x y"), (2, f"p q r {t} u v w x y"), (3, f"p q r {s} u v w x y"), (4, s), (5, t)]
+    got = sorted(tuple(x) for x in path_join.near_duplicates(docs(rows)).collect())
+    assert got == near_brute(rows) and [r[2] for r in got] == [1, 2, 1, 4, 5]
+
+
+def test_explored_pairs_are_all_pairs_across_components_of_small_nodes():
+    rng = np.random.default_rng(1)
+    tokens = np.zeros((30, path_join.TOKENS), np.uint16)
+    tokens[10:] = rng.integers(0, 9999, (20, path_join.TOKENS))
+    node, doc = np.repeat(np.array([5, 7, 9], np.uint64), 10), np.arange(30)
+    component = np.where(doc < 5, 0, doc)
+    parts = list(path_join.explored(node, doc, component, tokens, 32))
+    got = {(int(a), int(b)) for p in parts for a, b in zip(p[0], p[1])}
+    assert got == {(a, b) for a in range(10) for b in range(a + 1, 10) if b >= 5}

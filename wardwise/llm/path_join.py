@@ -4,20 +4,20 @@ Documents are sets of word shingles. Equal sets are one class and only its
 smallest document goes on. Each tree starts with all classes; a node picks one or
 two of the minwise tokens (one third of the nodes two, so that a pair at the
 threshold is expected to go on in one child) and sends every document to the child
-that its token names. A path is a hash, so a document finds its children alone and
-nodes are only counted. Small nodes are compared exhaustively. Large ones are
-branched further, and meanwhile all their members are compared with some pivots.
-After the first level, what is linked already needs no more comparing: nodes that
-hold one component end, and others are compared across components only. A document
-whose own shingles (that no other one in such nodes has) rule out every partner
-ends too. What is still large at the last level is compared in full, in blocks, so
-no limit loses a link. Trees are independent; with ``trees`` of them a pair
-at the threshold is missed with a probability of about 0.4 ** trees.
-
-Candidates are sifted by their minwise estimate (far below the threshold), then
-confirmed on full sets: first each document's best partner, then what still lies
-in different components. Everything is keyed by node or document; counts and
-pivots are combined before the shuffle.
+that its token names. A path is a hash, so a document follows its own first ``DEPTH``
+picks alone, and only then are nodes counted. Small nodes are compared exhaustively.
+All members of large ones are first compared with three pivots. What is linked then
+needs no more comparing: nodes that hold one component end, the others branch on until
+the pairs across their components are few, and these are compared exhaustively. Up to
+``MID`` documents a node is branched inside a task; larger nodes are branched by
+Spark, a level a round, and what stays larger after ``MORE`` levels is compared in
+full, in blocks, so no limit loses a link. Trees are independent; with ``trees`` of
+them a pair at the threshold is missed with a probability of about 0.4 ** trees.
+
+Candidates are sifted by their minwise estimate (four deviations below the
+threshold), then confirmed on full sets: those of small nodes and pivots by joins,
+first each document's best partner, then what still lies in different components;
+those of large nodes in the task that has the node, to which its sets are sent.
 
 Null and empty texts have no shingles, are linked with nothing and kept; texts of
 fewer words than a shingle are one shingle; rows without doc_id are left out; rows
@@ -35,26 +35,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import U64, Rolling, mix, pieces, text_bytes, word_bounds, word_hashes
-from .repeats import PACK, Plan, dealt, entries, least_by, replies, table
-from .store import text_size, written
+from .columns import LOWER, U64, grams, mix, pieces, ranges, text_bytes, word_bounds, word_hashes
+from .store import written
 
 TOKENS = 64
 SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+DEPTH = 3  # picks before nodes are counted
 LEAF = 24
-LEVELS = 2
+MID = 2048  # documents of a node that a task branches by itself
+MORE = 6  # levels of larger nodes
+DEEPEST = 40  # levels in a task; documents that still share all tokens are compared exhaustively
+ROWS = 1 << 15  # memberships of whole nodes that a task looks at together
+PAIRS = 1 << 14  # pairs that are compared together
+COLUMNS = 4096  # shingles whose bits are compared together
 BLOCK = 1024  # documents of a cluster that are compared with as many others at a time
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles in order, and where each text's begin."""
+    data = LOWER[data]
     starts, ends, at = word_bounds(data, offsets)
-    rolled = Rolling(word_hashes(data, starts, ends, lower=True))
+    hashes = word_hashes(data, starts, ends)
     n = np.diff(at)
-    each = np.where(n >= words, n - words + 1, np.minimum(n, 1))
-    doc = np.repeat(np.arange(len(n)), each)
-    first = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each) + at[:-1][doc]
-    shingle = rolled.of(first, np.minimum(first + words, at[1:][doc]))
+    every = grams(hashes, words)
+    doc = np.repeat(np.arange(len(n)), np.maximum(n - words + 1, 0))
+    shingle = every[ranges(at[:-1], np.maximum(n - words + 1, 0))]
+    short = np.flatnonzero((n > 0) & (n < words))
+    whole = hashes[at[short]]
+    for k in range(1, words - 1):  # fewer words: the whole sequence
+        more = n[short] > k
+        whole[more] = grams(np.column_stack((whole[more], hashes[at[short][more] + k])).ravel(), 2)[::2]
+    doc, shingle = np.append(doc, short), np.append(shingle, mix(whole + U64(1)))
     order = np.lexsort((shingle, doc))
     doc, shingle = doc[order], shingle[order]
     new = np.ones(len(doc), bool)
@@ -73,12 +84,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
-                tokens = np.zeros((b - a, TOKENS), np.uint32)
+                tokens = np.zeros((b - a, TOKENS), np.uint16)
                 sums = [np.zeros(b - a, np.int64) for _ in range(2)]
                 if len(full):
                     begin = at[:-1][full]
                     for i, seed in enumerate(SEEDS):
-                        tokens[full, i] = np.minimum.reduceat((sets ^ (seed >> U64(7))) * (seed | U64(1)), begin) >> U64(32)
+                        tokens[full, i] = mix(np.minimum.reduceat((sets ^ (seed >> U64(7))) * (seed | U64(1)), begin)) >> U64(48)
                     for s, salt in zip(sums, (1, 2)):
                         s[full] = np.add.reduceat(mix(sets + U64(salt)), begin).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -91,7 +102,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 def _tokens(column: pa.Array) -> np.ndarray:
     data, _ = text_bytes(column.cast(pa.binary()))
-    return data.view(np.uint32).reshape(-1, TOKENS)
+    return data.view(np.uint16).reshape(-1, TOKENS)
 
 
 def children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,56 +117,193 @@ def children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def roots(classes: DataFrame, trees: int) -> DataFrame:
+    """(node, doc_id) after the first picks of every tree."""
     start = mix(np.arange(1, trees + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = _tokens(batch.column("tokens"))
             for root in start:
-                node, row = children(np.full(len(tokens), root), tokens)
+                node, row = np.full(len(tokens), root), np.arange(len(tokens))
+                for _ in range(DEPTH):
+                    node, of = children(node, tokens[row])
+                    row = row[of]
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("doc_id").take(pa.array(row))], names=["node", "doc_id"])
 
     return classes.select("doc_id", "tokens").mapInArrow(run, "node long, doc_id long")
 
 
-def branched(members: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                node, row = children(batch.column("node").to_numpy().view(U64), _tokens(batch.column("tokens")))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("doc_id").take(pa.array(row))], names=["node", "doc_id"])
-
-    return members.select("node", "doc_id", "tokens").mapInArrow(run, "node long, doc_id long")
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows of nodes with two documents or more, with the node's size."""
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
+
+
+def _alike(doc: np.ndarray, tokens: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pairs of rows those that share enough tokens: (smaller doc, larger doc, shared tokens)."""
+    for i in range(0, len(a), PAIRS):
+        x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+        same = (tokens[x] == tokens[y]).sum(1)
+        ok = (same >= least) & (doc[x] != doc[y])
+        x, y = doc[x[ok]], doc[y[ok]]
+        yield np.minimum(x, y), np.maximum(x, y), same[ok]
+
+
+def explored(node: np.ndarray, doc: np.ndarray, component: np.ndarray, tokens: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates across components of nodes, branched until their pairs are few. All nodes of a level together."""
+    row = np.arange(len(doc))
+    for level in range(DEEPEST + 1):
+        order = np.lexsort((component[row], node))
+        node, row = node[order], row[order]
+        edge = np.append(True, node[1:] != node[:-1])[: len(node)]
+        first = np.flatnonzero(edge)
+        if not len(first):
+            return
+        inner = np.flatnonzero(edge | np.append(True, component[row][1:] != component[row][:-1])[: len(node)])
+        run = np.diff(np.append(inner, len(node)))
+        n = np.diff(np.append(first, len(node)))
+        across = (n * n - np.add.reduceat(run * run, np.searchsorted(inner, first))) // 2
+        small = np.repeat((across <= LEAF * n // 2) | (level == DEEPEST), n)
+        # Each one's partners: those of its node behind its own component.
+        run_end, node_end = np.repeat(inner + run, run), np.repeat(first + n, n)
+        count = np.where(small, node_end - run_end, 0)
+        ends = np.cumsum(count)
+        for i in range(0, int(ends[-1]), PAIRS):
+            lo, hi = int(np.searchsorted(ends, i, "right")), int(np.searchsorted(ends, i + PAIRS))
+            own = slice(lo, min(hi + 1, len(count)))
+            begin = np.maximum(ends[own] - count[own], i)
+            k = np.minimum(ends[own], i + PAIRS) - begin
+            offset = begin - (ends[own] - count[own])
+            yield from _alike(doc, tokens, np.repeat(row[own], k), row[ranges(run_end[own] + offset, k)], least)
+        go = ~small & np.repeat(across > 0, n)
+        node, of = children(node[go], tokens[row[go]])
+        row = row[go][of]
+
+
+def by_nodes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole nodes, of about ``most`` rows, from rows in order of their node."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            part = batch.slice(i, most)
+            node = part.column("node").to_numpy()
+            # What is held ends where the last node of this part begins.
+            cut = int(np.searchsorted(node, node[-1]))
+            if cut or (held and held[-1].column("node")[-1].as_py() != node[0]):
+                held.append(part.slice(0, cut))
+                if sum(h.num_rows for h in held) >= most:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                held.append(part.slice(cut))
+            else:
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(t: pa.Table, least: int) -> list[np.ndarray]:
+    """Distinct candidates of a table of whole nodes: two rows of it, and their shared tokens."""
+    doc, row = np.unique(t["doc_id"].to_numpy(), return_index=True)
+    tokens = _tokens(t["tokens"])
+    parts = list(explored(t["node"].to_numpy().view(U64), t["doc_id"].to_numpy(), t["component_id"].to_numpy(), tokens, least))
+    a, b, same = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    order = np.lexsort((-same, b, a))
+    a, b, same = a[order], b[order], same[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return [row[np.searchsorted(doc, a[new])], row[np.searchsorted(doc, b[new])], same[new]]
+
+
+def pairs_of(members: DataFrame, least: int) -> DataFrame:
+    """Candidates (a, b, same) of nodes; members: node, doc_id, component_id, tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_nodes(batches, ROWS):
+            a, b, same = _candidates(t, least)
+            ids = t["doc_id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(same, pa.int32())], names=["a", "b", "same"])
+
+    return members.select("node", "doc_id", "component_id", "tokens").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
+
+
+def shared_shingles(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of sets the shingles that both have, by bits of some columns at a time."""
+    n = np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, ok = np.repeat(np.arange(len(sets)), n), count[column] > 1
+    row, column = row[ok], (np.cumsum(count > 1) - 1)[column[ok]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros(len(a), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (first, first + COLUMNS)))
+        ones = np.zeros((len(sets), COLUMNS), bool)
+        ones[row[part], column[part] - first] = True
+        bits = np.packbits(ones, axis=1).view(np.uint64)
+        for i in range(0, len(a), PAIRS):
+            out[i : i + PAIRS] += np.bitwise_count(bits[a[i : i + PAIRS]] & bits[b[i : i + PAIRS]]).sum(1).astype(np.int64)
+    return out
+
+
+def links_of(members: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes of up to MID documents, confirmed on full sets where the nodes are: one for two components."""
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two documents or more, with the node's size and three pivots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_nodes(batches, MID):
+            a, b, _ = _candidates(t, least)
+            used = np.unique(np.append(a, b))
+            shingles = [np.frombuffer(x.as_buffer(), U64) for x in t["shingles"].take(pa.array(used))]
+            if not len(a):
+                continue
+            n = np.array([len(x) for x in shingles])
+            x, y = np.searchsorted(used, a), np.searchsorted(used, b)
+            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            a, b, x, y = a[near], b[near], x[near], y[near]
+            both = shared_shingles(shingles, x, y)
+            ok = 100 * both >= percent * (n[x] + n[y] - both)
+            component = t["component_id"].to_numpy()
+            ends = np.sort(np.column_stack((component[a[ok]], component[b[ok]])), axis=1)
+            once = np.unique(ends, axis=0, return_index=True)[1]
+            ids = t["doc_id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok][once]]), pa.array(ids[b[ok][once]])], names=["a", "b"])
+
+    whole = members.select("node", "doc_id", "component_id", "tokens").join(sets, "doc_id")
+    return whole.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+
+
+def stars(large: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Candidates of large nodes: every member with three pivots."""
     pivot = [F.min(F.struct(F.xxhash64("node", "doc_id", F.lit(k)).alias("h"), "doc_id"))["doc_id"].alias(f"pivot{k}") for k in range(3)]
-    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), *pivot).where("n > 1")
-    return rows.join(nodes, "node")
+    pivots = large.groupBy("node").agg(F.array_distinct(F.array(*[p for p in pivot])).alias("p")).select("node", F.explode("p").alias("pivot"))
+    pivots = pivots.join(classes.select(F.col("doc_id").alias("pivot"), F.col("tokens").alias("theirs")), "pivot")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_tokens(batch.column("tokens")) == _tokens(batch.column("theirs"))).sum(1)
+            a, b = batch.column("doc_id").to_numpy(), batch.column("pivot").to_numpy()
+            ok = (same >= least) & (a != b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(same[ok], pa.int32())], names=["a", "b", "same"])
 
-def pairs_of(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of nodes: all of small ones, with pivots of large ones."""
-    small = members.where(F.col("n") <= LEAF).groupBy("node").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).select("ids").distinct()
-    inside = small.select(F.explode(F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, LEAF), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    star = members.where(F.col("n") > LEAF).select("doc_id", F.explode(F.array("pivot0", "pivot1", "pivot2")).alias("p"))
-    star = star.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).where("a < b")
-    return inside.unionByName(star).distinct()
+    both = large.join(pivots, "node").select("doc_id", "tokens", "pivot", "theirs")
+    return both.mapInArrow(run, "a long, b long, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
-def sifted(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs with the number of minwise tokens that are equal, if that is large enough."""
-    tokens = classes.select("doc_id", "tokens")
-    both = pairs.join(tokens.withColumnsRenamed({"doc_id": "a", "tokens": "tokens_a"}), "a").join(tokens.withColumnsRenamed({"doc_id": "b", "tokens": "tokens_b"}), "b")
+def branched(members: DataFrame) -> DataFrame:
+    """One level of children, with what belongs to each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = (_tokens(batch.column("tokens_a")) == _tokens(batch.column("tokens_b"))).sum(1)
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int32())], names=["a", "b", "same"])
-            yield out.filter(pa.array(same >= least))
+            if batch.num_rows:
+                node, row = children(batch.column("node").to_numpy().view(U64), _tokens(batch.column("tokens")))
+                rest = batch.select(["doc_id", "component_id", "tokens"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *rest.columns], names=["node", "doc_id", "component_id", "tokens"])
 
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, same int")
+    return members.select("node", "doc_id", "component_id", "tokens").mapInArrow(run, "node long, doc_id long, component_id long, tokens binary")
+
+
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of nodes that hold more than one component, with their components."""
+    at = members.drop("component_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    several = at.groupBy("node").agg((F.min("component_id") < F.max("component_id")).alias("several")).where("several").select("node")
+    return at.join(several, "node", "left_semi")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -191,11 +339,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """doc_id and the smallest document that links reach from it, for documents that have links."""
+def components(links: DataFrame) -> DataFrame:
+    """doc_id and the smallest document that links reach from it, for documents that have links.
+
+    Every round takes the least label of the neighbours and then its own label's label, until nothing changes.
+    """
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("component_id")), "labels")
-    for _ in range(most_rounds):
+    while True:
         seen = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.min("component_id").alias("m"))
         low = labels.join(seen.withColumnRenamed("a", "doc_id"), "doc_id").select("doc_id", "component_id", F.least("component_id", "m").alias("low"))
         jump = labels.select(F.col("doc_id").alias("low"), F.col("component_id").alias("far"))
@@ -203,69 +354,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = after.select("doc_id", F.col("next").alias("component_id"))
         if not after.where("component_id <> next").limit(1).count():
             return labels
-    raise RuntimeError("components have not settled")
-
-
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose documents lie in different components."""
-    at = labels.select("doc_id", "component_id")
-    both = pairs.join(at.withColumnsRenamed({"doc_id": "a", "component_id": "ca"}), "a", "left").join(at.withColumnsRenamed({"doc_id": "b", "component_id": "cb"}), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def shareable(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """Of those documents: how many shingles each has, and how many of them another of these documents has too.
-
-    Shingles are dealt out in packed arrays; a document's own ones are counted by bucket and added up.
-    """
-    buckets = max(8, text_size(docs) // (16 << 20))
-    plan = Plan("bytes", 0, 0, 1, buckets)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.array([len(x.as_buffer()) // 8 if x.is_valid else 0 for x in batch.column("shingles")])
-            shingles = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), U64)
-            rows = dealt(shingles, np.repeat(batch.column("doc_id").to_numpy(), n), [shingles], plan, 0)
-            yield from table(rows).to_batches()
-
-    def own(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _, (ids, shingles) = entries(t, [U64])
-        low, high = least_by(shingles, ids)
-        doc, row = np.unique(ids, return_inverse=True)
-        return table(replies(key[0].as_py(), doc % buckets, doc, [np.bincount(row), np.bincount(row, low < high).astype(np.int64)]))
-
-    def added(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _, (ids, n, shared) = entries(t, [np.int64, np.int64])
-        doc, row = np.unique(ids, return_inverse=True)
-        return pa.table({"doc_id": doc, "size": np.bincount(row, n).astype(np.int64), "shared": np.bincount(row, shared).astype(np.int64)})
 
-    packed = full_sets(docs, ids, words).mapInArrow(deal, PACK)
-    return packed.groupBy("bucket").applyInArrow(own, PACK).groupBy("grp").applyInArrow(added, "doc_id long, size long, shared long")
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the components that these join are walked through."""
+    joins = written(across(links, labels, keep="ca, cb").selectExpr("least(ca, cb) as a", "greatest(ca, cb) as b").distinct(), "joins")
+    if not joins.limit(1).count():
+        return labels
+    roots = components(joins).select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("root"))
+    alone = joins.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("component_id", F.col("doc_id"))
+    known = labels.unionByName(alone.join(labels, "doc_id", "left_anti"))
+    return written(known.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id")), "labels")
 
-def viable(members: DataFrame, bound: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Members of mixed nodes that could still be similar enough to another one.
 
-    A pair shares no more than each one's shareable shingles, so it needs
-    (100 + percent) * shareable >= percent * (both sizes). The node's sizes are known in steps of
-    two hundredths, some hundred at most whatever the node.
-    """
-    m = members.select("node", "doc_id").join(bound.where(100 * F.col("shared") >= percent * F.col("size")), "doc_id")
-    step = F.floor(F.log("size") / 0.02)
-    steps = m.groupBy("node").agg(F.collect_set(step).alias("steps"))
-    most = (100 + percent) * F.col("shared") / F.lit(percent) - F.col("size")
-    fits = F.exists("steps", lambda k: (F.exp(k * 0.02) <= most * 1.000001) & (F.exp((k + 1) * 0.02) >= F.col("size") * (percent / 100)))
-    m = m.join(steps, "node").where(fits)
-    at = m.select("node", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    several = at.groupBy("node").agg((F.min("component_id") < F.max("component_id")).alias("several")).where("several").select("node")
-    return at.join(several, "node", "left_semi").select("node", "doc_id")
-
-
-def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of large nodes that hold more than one component."""
-    large = members.where(F.col("n") > LEAF).select("node", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    several = large.groupBy("node").agg((F.min("component_id") < F.max("component_id")).alias("several")).where("several").select("node")
-    return large.join(several, "node", "left_semi").select("node", "doc_id")
+def across(pairs: DataFrame, labels: DataFrame, keep: str = "a, b") -> DataFrame:
+    """Pairs whose documents lie in different components."""
+    both = pairs.join(labels.withColumnsRenamed({"doc_id": "a", "component_id": "ca"}), "a", "left").join(labels.withColumnsRenamed({"doc_id": "b", "component_id": "cb"}), "b", "left")
+    return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb").select(*keep.split(", "))
 
 
 def links_in_blocks(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -314,49 +419,45 @@ def links_in_blocks(large: DataFrame, labels: DataFrame, sets: DataFrame, percen
     return left.join(right, ["cluster", "other"]).repartition("cluster", "block", "other").select(*[f"x{i}" for i in range(4)], *[f"y{i}" for i in range(4)]).mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.where("doc_id is not null")
     all_sets = written(signatures(docs, words), "sets")
     key = ["digest1", "digest2", "n_shingles"]
     firsts = all_sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
     classes = written(all_sets.where("n_shingles > 0").join(firsts.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "tokens"), "classes")
-    least = TOKENS * percent // 100 - 5 * int((TOKENS * percent * (100 - percent)) ** 0.5 / 100 + 1)  # five deviations below
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return written(full_sets(docs, ids, words), "full")
-
-    # The first level of all trees links most of what there is to link.
-    members = written(shared(roots(classes, trees)), "level0")
-    pairs = written(sifted(pairs_of(members), classes, least), "pairs")
-    sets = checked(pairs)
-    best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b")
-    links = written(confirmed(best, sets, percent), "links")
-    labels = components(links)
-    links = written(links.unionByName(confirmed(across(pairs, labels), sets, percent)), "links")
-    labels = components(links)
+    least = int(TOKENS * percent / 100 - 4 * (TOKENS * percent * (100 - percent)) ** 0.5 / 100)  # four deviations below
+
+    def linked(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Labels after the pairs are confirmed: first each document's best, then those across what is left apart."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = written(full_sets(docs, ids, words), "full")
+        best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b")
+        links = written(confirmed(best, sets, percent), "links")
+        labels = components(links) if labels is None else merged(labels, links)
+        return merged(labels, written(confirmed(across(pairs, labels), sets, percent), "links"))
+
+    members = written(counted(roots(classes, trees)).join(classes, "doc_id").withColumn("component_id", F.col("doc_id")), "members")
+    large = members.where(F.col("n") > LEAF)
+    pairs = pairs_of(members.where(F.col("n") <= LEAF), least).unionByName(stars(large, classes, least))
+    labels = linked(written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs"), None)
     # Large nodes go on while they hold several components; only pairs across these are of use.
-    found, large = [], mixed(members, labels)
-    if large.limit(1).count():
-        # What nobody in these nodes shares bounds each one's similarities exactly, and most end here.
-        bound = written(shareable(docs, large.select("doc_id").distinct(), words), "bound")
-        large = written(viable(large, bound, labels, percent), "viable")
-    for level in range(1, LEVELS):
+    large = written(mixed(large, labels), "large")
+    sets = written(full_sets(docs, large.select("doc_id").distinct(), words), "full")
+    found = []
+    for level in range(MORE + 1):
         if not large.limit(1).count():
             break
-        members = written(shared(written(branched(large.join(classes, "doc_id")), "branched")), f"level{level}")
-        found.append(across(pairs_of(members), labels))
-        large = written(viable(mixed(members, labels), bound, labels, percent), "viable")
-    if large.limit(1).count():
-        rest = full_sets(docs, large.select("doc_id").distinct(), words)
-        links = written(links.unionByName(links_in_blocks(large, labels, rest, percent)), "links")
-        labels = components(links)
+        found.append(links_of(large.where(F.col("n") <= MID), sets, least, percent))
+        large = large.where(F.col("n") > MID)
+        if level < MORE and large.limit(1).count():
+            large = written(mixed(counted(branched(large)), labels), f"level{level}")
     if found:
-        pairs = written(sifted(reduce(DataFrame.unionByName, found).distinct(), classes, least), "pairs")
-        if pairs.limit(1).count():
-            links = written(links.unionByName(confirmed(pairs, checked(pairs), percent)), "links")
-            labels = components(links)
+        labels = merged(labels, written(reduce(DataFrame.unionByName, found), "links"))
+        large = mixed(large, labels)
+        if large.limit(1).count():
+            large = written(large.select("node", "doc_id"), "rest")
+            labels = merged(labels, written(links_in_blocks(large, labels, sets, percent), "links"))
     of_class = firsts.join(labels.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(*key, F.coalesce("component_id", "class_id").alias("component_id"))
     out = all_sets.select("doc_id", *key).join(of_class, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
