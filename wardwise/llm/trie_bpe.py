@@ -19,17 +19,22 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .columns import BYTE, U64, Rolling, mix, pieces, ranges, text_bytes
+from .columns import U64, mix, pieces, ranges, text_bytes
+from .repeats import binaries, joined
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 CHUNK = 1 << 20
 LONG = 96  # bytes; the few longer words are encoded one by one
-KNOWN = 600_000  # words that a worker remembers
+KNOWN = 300_000  # words that a worker remembers
+#: Hashes of a word's parts come from sums over its bytes; tokens found by them are compared byte by byte.
+BYTE = mix(np.arange(1, 257, dtype=U64))
+BASE, BACK = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTER, NUMBER, SPACE, OTHER = range(4)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: White_Space of Unicode (fixed values).
@@ -81,6 +86,10 @@ class Table:
         return found
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.append(np.ones(1, U64), np.full(n - 1, base)))
+
+
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a.astype(U64) << U64(20)) | b.astype(U64)
     return (x + U64(1)) * U64(0x9E3779B97F4A7C15)
@@ -113,13 +122,18 @@ class Encoder:
             raise ValueError("tokens are not numbered in order of their merges")
         self.merged = Table(pair_key(left, right), made)
         plain = np.array(sorted(self.ids.values()))
-        rolled = Rolling(BYTE[self.bytes])
-        self.by_hash = Table(rolled.of(self.at[plain], self.at[plain] + self.length[plain]), plain)
+        keys = np.empty(len(plain), U64)
+        for size in np.unique(self.length[plain]):
+            own = self.length[plain] == size
+            keys[own] = mix((BYTE[self.bytes[self.at[plain[own]][:, None] + np.arange(size)]] * powers(BASE, size)).sum(1))
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two tokens have one hash")
+        self.by_hash = Table(keys, plain)
         self.lengths = np.unique(self.length[plain])
         self.forget()
 
     def forget(self) -> None:
-        self.words = np.zeros(0, U64)
+        self.words: dict[bytes, int] = {}
         self.word_at, self.word_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.word_ids = np.zeros(0, np.int32)
 
@@ -175,10 +189,9 @@ class Encoder:
         same = rows[1:] == rows[:-1]
         shared = np.where(same.all(1), width, np.argmin(same, 1)) if len(rows) > 1 else np.zeros(0, np.int64)
         shared = np.append(0, np.minimum(shared, np.minimum(n_sorted[1:], n_sorted[:-1])))
-        power = np.multiply.accumulate(np.r_[U64(1), np.full(width, U64(0x9E3779B97F4A7C15))])
         sums = np.zeros((len(rows), width + 1), U64)
-        np.cumsum(BYTE[rows] * power[:width], axis=1, out=sums[:, 1:])
-        back = Rolling(np.zeros(width, U64)).back
+        np.cumsum(BYTE[rows] * powers(BASE, width), axis=1, out=sums[:, 1:])
+        back = powers(BACK, width + 1)
         last = np.full((len(rows), width + 1), -1, np.int32)
         index = np.arange(len(rows))
         for d in range(1, width + 1):
@@ -189,7 +202,11 @@ class Encoder:
                 if not todo.size:
                     break
                 token = self.by_hash.get(mix((sums[todo, d] - sums[todo, d - size]) * back[d - size]))
-                hit = np.flatnonzero(token >= 0)
+                hit = np.flatnonzero((token >= 0) & (self.length[token] == size))
+                if not hit.size:
+                    continue
+                part = rows[todo[hit], d - size : d] == self.bytes[self.at[token[hit]][:, None] + np.arange(size)]
+                hit = hit[part.all(1)]
                 if not hit.size:
                     continue
                 if size < d:
@@ -221,13 +238,14 @@ class Encoder:
             out[place[live] - 1 - k] = token
         return out, counts[back_order]
 
-    def learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Encode new words and remember them by their hashes."""
-        if len(self.words) + len(keys) > KNOWN:
+    def learn(self, words: list[bytes], data: np.ndarray, n: np.ndarray) -> None:
+        """Encode new words, which stand one after the other in ``data``, and remember them."""
+        if len(self.words) + len(words) > KNOWN:
             self.forget()
-        n = end - start
+        end = np.cumsum(n)
+        start = end - n
         parts, at = [self.word_ids], len(self.word_ids)
-        word_at, word_n = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        word_at, word_n = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
         low = 0
         for high in (8, 16, 32, LONG):
             own = np.flatnonzero((n > low) & (n <= high))
@@ -240,32 +258,30 @@ class Encoder:
                 parts.append(ids)
                 at += len(ids)
         for i in np.flatnonzero(n > LONG):
-            ids = self.encode_long(data[start[i] : end[i]].tobytes())
+            ids = self.encode_long(words[i])
             word_n[i], word_at[i] = len(ids), at
             parts.append(np.array(ids, np.int32))
             at += len(ids)
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.word_ids = np.concatenate(parts)
-        words = np.concatenate((self.words, keys))
-        order = np.argsort(words, kind="stable")
-        self.words = words[order]
-        self.word_at = np.concatenate((self.word_at, word_at))[order]
-        self.word_n = np.concatenate((self.word_n, word_n))[order]
+        self.word_at = np.concatenate((self.word_at, word_at))
+        self.word_n = np.concatenate((self.word_n, word_n))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the texts one after the other, and where each text's begin."""
         special, start, end = split(data, offsets, self.special)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        keys = Rolling(BYTE[data]).of(start, end)
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        known = self.find(unique) >= 0
-        new = first[~known]
+        whole = binaries(data, end - start).dictionary_encode()
+        inverse, words = whole.indices.to_numpy(), whole.dictionary.to_pylist()
+        at = self.find(words)
+        new = np.flatnonzero(at < 0)
         if new.size:
             if len(self.words) + len(new) > KNOWN:
                 self.forget()
-                new = first
-            self.learn(data, keys[new], start[new], end[new])
-        at = self.find(unique)
+                new = np.arange(len(words))
+            self.learn([words[i] for i in new], *joined(whole.dictionary.take(pa.array(new))))
+            at = self.find(words)
         word_at, word_n = self.word_at[at][inverse], self.word_n[at][inverse]
         if special.size:  # one token; its place is beyond the remembered ones
             word_n[special] = 1
@@ -276,11 +292,8 @@ class Encoder:
             ids[begin[i]] = self.special[data[start[i] : end[i]].tobytes()]
         return ids, np.append(begin, len(ids))[np.searchsorted(start, offsets)]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, at, -1)
+    def find(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the texts and where each begins."""
