@@ -91,3 +91,15 @@ def test_nearest_breaks_ties_by_id(spark):
     p = spark.createDataFrame([(i, 139.7 + d, 35.6) for i, d in ((5, 0.001), (3, 0.001), (2, 0.002), (1, 0.1))], "id int, lon double, lat double")
     assert [(r.id, r.rank) for r in spatial.nearest(a, p, 3, 1500.0).orderBy("rank").collect()] == [(3, 1), (5, 2), (2, 3)]
     assert spatial.canvas(p).select(F.max("x")).first()[0] == 1000.0
+
+
+def test_radius_pairs_at_any_latitude(spark):
+    r = random.Random(3)
+    for lat in (-71.0, 0.0, 60.0, 85.0):
+        wide = 0.02 / max(0.05, math.cos(math.radians(lat)))
+        pts = [(i, 10 + r.uniform(-wide, wide), lat + r.uniform(-0.02, 0.02)) for i in range(250)]
+        df = spark.createDataFrame(pts, "id long, lon double, lat double")
+        got = {(x.a_id, x.b_id) for x in spatial.self_pairs(df, 800).collect()}
+        a, b = df.selectExpr("id as a", "lon as alon", "lat as alat"), df.selectExpr("id as b", "lon", "lat")
+        every = a.crossJoin(b).where("a <> b").where(spatial.geo_dist_m(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon")) <= 800)
+        assert got == {(x.a, x.b) for x in every.select("a", "b").collect()} and got

@@ -26,12 +26,21 @@ def geo_dist_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return F.sqrt(north * north + east * east)
 
 
-def cell_steps(radius_m: float, lat_limit: float = 46.0) -> tuple[float, float]:
-    """Degrees of latitude and longitude of a cell that is as wide as the radius, up to that latitude."""
-    import math
+def lat_step(radius_m: float) -> float:
+    """Degrees of latitude that are at least the radius."""
+    return radius_m / M_PER_DEGREE * 1.01
 
-    lat = radius_m / M_PER_DEGREE * 1.01
-    return lat, lat / math.cos(math.radians(lat_limit))
+
+def lon_step(radius_m: float, lat: Column) -> Column:
+    """Degrees of longitude that are at least the radius up to that latitude, north or south; a whole turn near the poles."""
+    k = F.cos(F.radians(F.least(F.lit(90.0), F.abs(lat))))
+    return F.when(k > lat_step(radius_m) / 360, F.lit(lat_step(radius_m)) / k).otherwise(F.lit(360.0))
+
+
+def row_step(radius_m: float, row: Column) -> Column:
+    """Width in degrees of the cells of a row of cells, by the row's own latitudes and a row's height more."""
+    step = lat_step(radius_m)
+    return lon_step(radius_m, F.greatest(F.abs(row * step), F.abs((row + 1) * step)) + F.lit(step))
 
 
 def cell(value: Column, step: float) -> Column:

@@ -19,7 +19,8 @@ def one_decimal(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    """Null stays null, which ``least`` and ``greatest`` alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def tsubo_to_sqm(price: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardwise.functions.geo import cell, cell_steps, geo_dist_m, lattice_offsets
+from wardwise.functions.geo import cell, geo_dist_m, lat_step, lattice_offsets, lon_step, row_step
 
 BAND = 0.01  # degrees of latitude of a band of polygon edges
 LINE_CELL = 0.005  # degrees of a cell of line segments
@@ -14,13 +14,14 @@ LINE_CELL = 0.005  # degrees of a cell of line segments
 def near(anchors: DataFrame, points: DataFrame, radius_m: float, distance=geo_dist_m) -> DataFrame:
     """Pairs within a radius with ``dist_m``. anchors: anchor_id, alon, alat, more; points: lon, lat, more.
 
-    Anchors go to the nine cells around them, so a point meets an anchor once at
-    most; Spark splits the partitions of crowded cells.
+    Cells are as wide as the radius at the latitudes of their row. Anchors go to the nine
+    cells around them, so a point meets an anchor once at most; Spark splits the
+    partitions of crowded cells. Ways over the 180th meridian are not looked for.
     """
-    step_lat, step_lon = cell_steps(radius_m)
+    step = lat_step(radius_m)
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), x -> transform(sequence(-1, 1), y -> struct(x, y))))"))
-    a = anchors.withColumn("_d", around).withColumn("_gx", cell(F.col("alon"), step_lon) + F.col("_d.x")).withColumn("_gy", cell(F.col("alat"), step_lat) + F.col("_d.y")).drop("_d")
-    p = points.withColumn("_gx", cell(F.col("lon"), step_lon)).withColumn("_gy", cell(F.col("lat"), step_lat))
+    a = anchors.withColumn("_d", around).withColumn("_gy", cell(F.col("alat"), step) + F.col("_d.y")).withColumn("_gx", F.floor(F.col("alon") / row_step(radius_m, F.col("_gy"))) + F.col("_d.x")).drop("_d")
+    p = points.withColumn("_gy", cell(F.col("lat"), step)).withColumn("_gx", F.floor(F.col("lon") / row_step(radius_m, F.col("_gy"))))
     both = a.join(p, ["_gx", "_gy"]).withColumn("dist_m", distance(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon")))
     return both.where(F.col("dist_m") <= radius_m).drop("_gx", "_gy")
 
@@ -104,7 +105,8 @@ def near_lines(points: DataFrame, segments: DataFrame, radius_m: float) -> DataF
 
     A segment covers the cells of its bounds widened by the distance; long ones are to be cut first (``cut_segments``).
     """
-    pad_lat, pad_lon = cell_steps(radius_m)
+    pad_lat = lat_step(radius_m)
+    pad_lon = lon_step(radius_m, F.greatest(F.abs("y1"), F.abs("y2")) + F.lit(pad_lat))
     wide = segments.withColumn("gx", F.explode(F.sequence(cell(F.least("x1", "x2") - pad_lon, LINE_CELL), cell(F.greatest("x1", "x2") + pad_lon, LINE_CELL)))).withColumn("gy", F.explode(F.sequence(cell(F.least("y1", "y2") - pad_lat, LINE_CELL), cell(F.greatest("y1", "y2") + pad_lat, LINE_CELL))))
     p = points.withColumn("gx", cell(F.col("lon"), LINE_CELL)).withColumn("gy", cell(F.col("lat"), LINE_CELL))
     d = segment_distance_m(*(F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,9 +15,12 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows win by key; null keys are equal to each other."""
+    """New rows win by key; null keys are equal to each other. Of new rows with one key the largest by its other columns counts."""
     i = incoming.select(*keys).distinct()
-    return incoming.unionByName(current.join(i, _same(current, i, keys), "left_anti"))
+    others = [c for c, t in incoming.dtypes if c not in keys and "map<" not in t]
+    w = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in others] or [F.lit(1)])
+    once = incoming.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return once.unionByName(current.join(i, _same(current, i, keys), "left_anti"))
 
 
 def sync(current: DataFrame, incoming: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
@@ -75,7 +79,8 @@ def hashed_pick(rows: DataFrame, key: str, id_column: str) -> DataFrame:
 
 
 class Versions:
-    """A table as numbered directories; ``CURRENT`` names the one that counts, so a failed write changes nothing."""
+    """A table as numbered directories. A version counts from when its marker is there: a file that is renamed into
+    place after all data is written, and only if no other writer took the number. A failed write changes nothing."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -86,22 +91,26 @@ class Versions:
 
     def current(self) -> int | None:
         fs, path = self._fs()
-        at = path(f"{self.path}/CURRENT")
-        if not fs.exists(at):
+        if not fs.exists(path(self.path)):
             return None
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
+        return max((int(n.split("-")[1]) for n in names if n.startswith("current-")), default=None)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.current()}")
+        n = self.current()
+        return self.spark.read.parquet(f"{self.path}/{self.spark.read.text(f'{self.path}/current-{n}').first()[0]}")
 
     def write(self, df: DataFrame) -> int:
         """Write the next version, then point to it."""
         fs, path = self._fs()
         n = (self.current() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        out = fs.create(path(f"{self.path}/CURRENT"), True)
-        out.write(bytearray(str(n).encode()))
+        name = f"v{n}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        out = fs.create(path(f"{self.path}/_marker-{name}"), False)
+        out.write(bytearray(name.encode()))
         out.close()
+        if fs.exists(path(f"{self.path}/current-{n}")) or not fs.rename(path(f"{self.path}/_marker-{name}"), path(f"{self.path}/current-{n}")):
+            raise RuntimeError(f"version {n} of {self.path} was written by another one")
         return n
 
 

@@ -79,7 +79,7 @@ def access_seeds(points: DataFrame, stations: DataFrame) -> DataFrame:
     return near(points, stations.select(F.col("id").alias("node"), "lon", "lat"), config.MAX_WALK_M).select(F.col("anchor_id").alias("dest"), "node", walk_minutes(F.col("dist_m")).alias("walk"))
 
 
-def commute_matrix(edges: DataFrame, seeds: DataFrame, most_rounds: int = 400) -> DataFrame:
+def commute_matrix(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Best way from every reachable state (node, line) to each destination.
 
     edges: as from ``in_period``; seeds: dest, node, walk. All destinations are
@@ -98,7 +98,7 @@ def commute_matrix(edges: DataFrame, seeds: DataFrame, most_rounds: int = 400) -
         first.select("dest", "node", F.lit(NO_LINE).cast("long").alias("line"), "total", F.lit(0).alias("transfers"), none.alias("rail"), none.alias("waits"), F.col("total").alias("walk"), F.lit(2).alias("confidence"), F.array().cast(path).alias("path"), F.lit(True).alias("new")),
         "commute",
     )
-    for _ in range(most_rounds):
+    while True:
         front = best.where("new")
         if not front.limit(1).count():
             return best.drop("new")
@@ -121,10 +121,9 @@ def commute_matrix(edges: DataFrame, seeds: DataFrame, most_rounds: int = 400) -
             F.lit(True).alias("new"),
         )
         every = best.withColumn("new", F.lit(False)).unionByName(offers)
-        # Old states come first where times are equal, so only better ones are new.
-        order = F.struct(F.col("total"), F.col("new"), F.col("transfers"), F.get("path", F.lit(0))["node"], F.get("path", F.lit(0))["line"])
+        # Of ways that are equal in all of that the old one stays, so only better ones are new.
+        order = F.struct(F.col("total"), F.col("transfers"), F.get("path", F.lit(0))["node"], F.get("path", F.lit(0))["line"], F.col("new"))
         best = materialized(every.groupBy("dest", "node", "line").agg(F.min_by(F.struct(*state, "new"), order).alias("s")).select("dest", "node", "line", "s.*"), "commute")
-    raise RuntimeError("commutes have not settled")
 
 
 def best_by_node(matrix: DataFrame) -> DataFrame:

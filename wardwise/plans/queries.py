@@ -209,7 +209,7 @@ def station_lines(s, d):
 
 
 def orphan_stations(s, d):
-    return transit.orphans(A.stations(s, d).select("id"), A.rail_edges(s, d).where("from_id % 10 < 7 and to_id % 10 < 7")).select("id")
+    return transit.orphans(A.stations(s, d).select("id"), A.rail_edges(s, d)).select("id")
 
 
 def _matrix(s, d):
@@ -518,7 +518,7 @@ def nearby_last_sample(s, d):
 
 def graph_health(s, d):
     e, st = A.rail_edges(s, d), A.stations(s, d).select("id")
-    lone = transit.orphans(st, e.where("from_id % 3 <> 0 and to_id % 3 <> 0")).agg(F.count("*").alias("orphans"))
+    lone = transit.orphans(st, e).agg(F.count("*").alias("orphans"))
     n = st.agg(F.count("*").alias("stations")).crossJoin(F.broadcast(lone)).crossJoin(F.broadcast(e.agg(F.count("*").alias("rides"))))
     return n.withColumn("share", F.round(F.col("orphans") / F.col("stations"), 6)).withColumn("healthy", (F.col("rides") > 0) & (F.col("share") <= 0.1))
 

@@ -79,8 +79,17 @@ VIEWS = {
         count(*) FILTER (category IN ('restaurant', 'cafe')) AS restaurants, count(*) FILTER (category = 'convenience') AS konbini, count(DISTINCT CASE WHEN food THEN cuisine END) AS cuisine_variety, count(*) FILTER (food AND late) AS late_night, count(*) FILTER (category = 'health') AS health, count(*) FILTER (category = 'bar') AS bars
       FROM (SELECT l.locality, l.sample, p.* FROM loc l LEFT JOIN late p ON {_dist('l', 'p')} <= 800) GROUP BY 1, 2""",
     "medians": "SELECT locality, " + ", ".join(f"quantile_cont({k}::DOUBLE, 0.5) AS {k}" for k in ("supermarkets", "restaurants", "konbini", "cuisine_variety", "late_night", "health", "bars")) + " FROM sample_counts GROUP BY 1",
+    "slattice": """SELECT locality, sample, i, lat + sqrt((i + 0.5::DOUBLE) / 1024) * sin(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) AS plat,
+        lon + sqrt((i + 0.5::DOUBLE) / 1024) * cos(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) / cos(radians(lat)) AS plon FROM loc, range(1024) AS r(i)""",
+    "sldist": "SELECT locality, sample, i, (x0 - plon) * 111320::DOUBLE * cos(radians(plat)) AS ax, (y0 - plat) * 111320::DOUBLE AS ay, (x1 - plon) * 111320::DOUBLE * cos(radians(plat)) AS bx, (y1 - plat) * 111320::DOUBLE AS by_ FROM slattice JOIN box ON x0 - 0.01 < plon AND plon < x1 + 0.01 AND y0 - 0.01 < plat AND plat < y1 + 0.01",
+    "slined": "SELECT *, least(1, greatest(0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM sldist",
+    "sresidential": "SELECT locality, sample, count(DISTINCT i) AS n FROM slattice JOIN box ON plon >= x0 AND plon < x1 AND plat >= y0 AND plat < y1 WHERE region_id % 2 = 0 GROUP BY 1, 2",
+    "sgreen": "SELECT locality, sample, count(DISTINCT i) AS n FROM slattice JOIN box ON plon >= x0 AND plon < x1 AND plat >= y0 AND plat < y1 WHERE region_id % 3 = 0 GROUP BY 1, 2",
+    "sexposed": "SELECT locality, sample, count(DISTINCT i) AS n FROM slined WHERE sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) <= 100 GROUP BY 1, 2",
+    "lshare": """SELECT l.locality, quantile_cont(coalesce(r.n, 0) / 1024::DOUBLE, 0.5) AS residential, quantile_cont(coalesce(e.n, 0) / 1024::DOUBLE, 0.5) AS exposure, quantile_cont(coalesce(g.n, 0) / 1024::DOUBLE, 0.5) AS green
+      FROM loc l LEFT JOIN sresidential r ON r.locality = l.locality AND r.sample = l.sample LEFT JOIN sexposed e ON e.locality = l.locality AND e.sample = l.sample LEFT JOIN sgreen g ON g.locality = l.locality AND g.sample = l.sample GROUP BY 1""",
     "axis": " UNION ALL ".join(f"SELECT locality, '{k}' AS axis, least(100, 100 * ln(1 + {k}) / ln(1 + {config.TARGETS[k]}::DOUBLE)) AS score FROM medians" for k in ("supermarkets", "restaurants", "konbini", "cuisine_variety", "late_night", "health"))
-    + " UNION ALL SELECT locality, 'quietness', 100 * (0.5 * 0.5 + 0.3 * (1 - 0.2) + 0.2 * (1 - least(1, ln(1 + bars) / ln(7::DOUBLE)))) FROM medians UNION ALL SELECT locality, 'green_space', least(100, 100 * ln(1.05::DOUBLE) / ln(1.15::DOUBLE)) FROM medians",
+    + " UNION ALL SELECT locality, 'quietness', 100 * (0.5 * residential + 0.3 * (1 - exposure) + 0.2 * (1 - least(1, ln(1 + bars) / ln(7::DOUBLE)))) FROM medians JOIN lshare USING (locality) UNION ALL SELECT locality, 'green_space', least(100, 100 * ln(1 + green) / ln(1.15::DOUBLE)) FROM lshare",
     "request": "SELECT * FROM (VALUES " + ", ".join(f"({r}, {t}, {c}, {b}, '{lay}')" for r, t, c, b, lay, _ in REQUESTS) + ") AS t(request_id, dest, max_commute, budget, layout)",
     "preference": "SELECT * FROM (VALUES " + ", ".join(f"({r}, '{a}', {config.IMPORTANCE[i]})" for r, *_, p in REQUESTS for a, i in p.items()) + ") AS t(request_id, axis, v)",
     "lmult": "SELECT n_nationkey AS locality, CASE WHEN coalesce(median_count >= 3 AND median > 0 AND median_price > 0, false) THEN least(1.15, greatest(0.85, pow(median / round(median_price, 6), 0.25)))::DOUBLE ELSE 1::DOUBLE END AS multiplier FROM nation LEFT JOIN two ON two.locality = n_nationkey LEFT JOIN wland ON wland.ward = n_nationkey",
@@ -161,10 +170,10 @@ SQL = {
     "rent_by_layout": q(f"SELECT anchor_id, layout, floor(rent_per_sqm * lo * 0.9::DOUBLE * round(multiplier, 6) + fee + 0.5)::BIGINT AS low_yen, floor(rent_per_sqm * mid * round(multiplier, 6) + fee + 0.5)::BIGINT AS median_yen, floor(rent_per_sqm * hi * 1.1::DOUBLE * round(multiplier, 6) + fee + 0.5)::BIGINT AS high_yen, greatest(base_confidence - (NOT usable)::INT - ({YEAR} - left(period, 4)::INT > 2)::INT, 0)::BIGINT AS confidence FROM mult m JOIN choice c ON c.ward = m.ward, layout"),
     "pair_travel_medians": q("SELECT route, first_stop, stop, next_stop, period, round(median_minutes, 6) AS median_minutes, n FROM pair"),
     "headways": q("SELECT route, first_stop, period, n, round(headway, 6) AS headway FROM gap"),
-    "timetable_edges": q("""SELECT * EXCLUDE (r) FROM (SELECT stop AS from_id, next_stop AS to_id, line, round(coalesce(p, o), 6) AS peak_minutes, round(coalesce(o, p), 6) AS offpeak_minutes, round(coalesce(least(15, greatest(1, pg / 2)), 4), 6) AS peak_wait, round(coalesce(least(15, greatest(1, og / 2)), 6), 6) AS offpeak_wait,
+    "timetable_edges": q("""SELECT * EXCLUDE (r) FROM (SELECT stop AS from_id, next_stop AS to_id, line, round(coalesce(p, o), 6) AS peak_minutes, round(coalesce(o, p), 6) AS offpeak_minutes, round(CASE WHEN pg IS NULL THEN 4 ELSE least(15, greatest(1, pg / 2)) END, 6) AS peak_wait, round(CASE WHEN og IS NULL THEN 6 ELSE least(15, greatest(1, og / 2)) END, 6) AS offpeak_wait,
         row_number() OVER (PARTITION BY stop, next_stop, line ORDER BY n DESC, l.first_stop, l.route) AS r FROM (SELECT route, first_stop, stop, next_stop, route % 3 AS line, max(median_minutes) FILTER (period = 'peak') AS p, max(median_minutes) FILTER (period = 'offpeak') AS o, sum(n) AS n FROM pair GROUP BY ALL) l LEFT JOIN (SELECT route, first_stop, max(headway) FILTER (period = 'peak') AS pg, max(headway) FILTER (period = 'offpeak') AS og FROM gap GROUP BY ALL) g ON g.route = l.route AND g.first_stop = l.first_stop) WHERE r = 1"""),
     "station_lines": q("SELECT id, string_agg(name, ',' ORDER BY name) AS lines FROM (SELECT DISTINCT f AS id, 'line ' || line AS name FROM edge) GROUP BY 1"),
-    "orphan_stations": q("SELECT id FROM station WHERE id NOT IN (SELECT f FROM edge WHERE f % 10 < 7 AND t % 10 < 7)"),
+    "orphan_stations": q("SELECT id FROM station WHERE id NOT IN (SELECT f FROM edge)"),
     "commute_matrix": q("SELECT dest, node, line, round(total, 6) AS total FROM s"),
     "commute_by_station": q("SELECT dest, node, round(total + 8, 6) AS minutes FROM best"),
     "locality_commute": q("SELECT locality, dest, round(minutes, 6) AS minutes, round(low, 6) AS low, round(high, 6) AS high FROM commute"),
@@ -215,7 +224,7 @@ SQL = {
     "shortlist_funnel": q("SELECT d.request_id, considered, feasible, coalesce(n, 0) AS shortlisted, top FROM diag d LEFT JOIN (SELECT request_id, count(*) AS n, first(locality ORDER BY rank) AS top FROM short GROUP BY 1) t ON t.request_id = d.request_id"),
     "neutral_card": q("SELECT locality, round(avg(s), 4) AS score, first(axis ORDER BY s DESC, axis DESC) AS best, first(axis ORDER BY s, axis) AS worst FROM (SELECT locality, axis, round(score, 6) AS s FROM axis) GROUP BY 1"),
     "nearby_last_sample": q("SELECT locality, station, first(dist_m ORDER BY sample DESC) AS dist_m, first(rank ORDER BY sample DESC) AS rank FROM knn GROUP BY 1, 2"),
-    "graph_health": q("SELECT stations, orphans, rides, round(orphans / stations, 6) AS share, rides > 0 AND round(orphans / stations, 6) <= 0.1 AS healthy FROM (SELECT (SELECT count(*) FROM station) AS stations, (SELECT count(*) FROM station WHERE id NOT IN (SELECT f FROM edge WHERE f % 3 <> 0 AND t % 3 <> 0)) AS orphans, (SELECT count(*) FROM edge) AS rides)"),
+    "graph_health": q("SELECT stations, orphans, rides, round(orphans / stations, 6) AS share, rides > 0 AND round(orphans / stations, 6) <= 0.1 AS healthy FROM (SELECT (SELECT count(*) FROM station) AS stations, (SELECT count(*) FROM station WHERE id NOT IN (SELECT f FROM edge)) AS orphans, (SELECT count(*) FROM edge) AS rides)"),
     "unusable_candidates": q("SELECT CASE WHEN rent_per_sqm IS NULL THEN 'rent' WHEN w.median_price IS NULL THEN 'ward prices' WHEN t.median IS NULL THEN 'near prices' ELSE 'none' END AS lacks, count(*) AS n FROM nation LEFT JOIN two t ON t.locality = n_nationkey LEFT JOIN wland w ON w.ward = n_nationkey LEFT JOIN choice c ON c.ward = n_nationkey GROUP BY 1"),
     "commute_legs": q("SELECT dest, node, floor(total + 8 + 0.5)::BIGINT AS total_min, floor(total + 8 + 0.5)::BIGINT AS sum_min FROM best"),
 }

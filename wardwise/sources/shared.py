@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="wardwise-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; one of its own only where that is unset, as in local tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once under ``spark.checkpoint.dir`` and read again, so that loops keep short lineages."""
+    """The rows, written once to the shared folder and read again, so that loops keep short lineages."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="wardwise-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
