@@ -1,29 +1,13 @@
-"""Session settings and intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and sizes of tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardwise.sources.shared import materialized as written
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of its own only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="wardwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["text_size", "written"]
 
 
 def text_size(docs: DataFrame, column: str = "text") -> int:
