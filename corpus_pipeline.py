@@ -13,28 +13,29 @@ from wardwise.llm.trie_bpe import bpe, vocabulary
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text scores as toxic go."""
+    """Documents whose restored text scores as toxic go. Null and empty texts score as texts without words; rows without doc_id are scored too; repeated rows stay or go together."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays; so does every document without a doc_id."""
+    """The smallest doc_id of each group of near duplicates stays, with all its rows; so does every document without a
+    doc_id, and every null or empty text, which is alike with nothing."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts and rows without doc_id stay; an empty benchmark removes nothing."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind. Null texts stay null; all rows stay, with their other columns."""
     return redacted(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become tokens; digests of both directions go with them."""
+    """Texts become tokens; digests of both directions go with them. Null and empty texts have no tokens; every row gives one, text, lang and source are left behind."""
     return bpe(docs, vocabulary()).drop("decoded")
 
 
