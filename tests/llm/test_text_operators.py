@@ -258,3 +258,18 @@ def test_explored_pairs_are_all_pairs_across_components_of_small_nodes():
     parts = list(path_join.explored(node, doc, component, tokens, 32))
     got = {(int(a), int(b)) for p in parts for a, b in zip(p[0], p[1])}
     assert got == {(a, b) for a in range(10) for b in range(a + 1, 10) if b >= 5}
+
+
+def test_ip_parts_may_begin_with_any_number_of_zeros():
+    raw = ("0" * 5000 + "1.2.3.4 and 0256.1.1.1 and 1.02.003.00").encode()
+    assert [(a, b) for a, b, k in crf_pii.base_spans(raw) if k == 1] == [(0, 5007), (len(raw) - 11, len(raw))]
+
+
+def test_labelled_lines_are_not_from_the_corpus(spark):
+    import glob
+
+    found = re.findall(r"<(\w+)>(.*?)</", crf_pii.LABELLED)
+    values = {v.strip(",.!") for _, v in found}
+    for path in glob.glob("/root/testdata/sf0.01/documents.parquet"):
+        texts = "\n".join(r.text or "" for r in spark.read.parquet(path).select("text").collect())
+        assert not [v for v in values if len(v) > 9 and v in texts]

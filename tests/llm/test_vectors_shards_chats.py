@@ -152,3 +152,10 @@ def test_pipeline(spark, docs, tmp_path):
     out = sorted((x.doc_id, x.ids_sha256) for x in corpus_pipeline.run(spark, d).collect())
     assert out == sorted((x.doc_id, x.ids_sha256) for x in now.collect())
     assert hashlib.sha256(b"").hexdigest() == dict(out)[304]
+
+
+def test_tied_turns_are_in_order_of_their_texts(spark):
+    rows = [(1, 0, "user", t) for t in ("[;", "[:]", "[", "</s>", "<")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat_format.format_chat(df).select(chat_format.read_chat(F.col("formatted")).alias("t")).first().t
+    assert [x.text for x in got] == sorted(t for *_, t in rows)

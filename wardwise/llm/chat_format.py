@@ -34,8 +34,9 @@ def unescaped(text: Column) -> Column:
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted and segments (array of text and loss) from rows conv_id, turn, role, text."""
-    row = F.struct(F.col("turn"), escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
+    row = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    sorted_turns = sorted_turns.withColumn("turns", F.transform("turns", lambda t: F.struct(escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"))))
 
     def pieces(turn: Column, i: Column) -> Column:
         first = (i == 0) | (F.get("turns", i - 1)["role"] != turn["role"])

@@ -39,27 +39,28 @@ _not_digit = re.compile(rb"[^0-9]")
 LOCAL = np.zeros(256, bool)
 LOCAL[[*range(48, 58), *range(65, 91), *range(97, 123), *b"._%+-"]] = True
 
-#: Labelled table: lines in which <kind>...</kind> marks what is personal.
+#: Labelled table: lines in which <kind>...</kind> marks what is personal. Numbers are those set aside for examples
+#: and tests, none of them from a corpus.
 LABELLED = """
 write to <email>the.12@mail3.example.com</email> today
 <email>joe@site.org</email> wrote back
-mail <email>a.b@x.co.uk,</email> or call <phone>+1 (980) 555-6268</phone> now
+mail <email>a.b@x.co.uk,</email> or call <phone>+1 (202) 555-0143</phone> now
 her address is <email>anna_k@post.net.</email>
-call <phone>+1 (984) 555-5227</phone> of the office
+call <phone>+1 (303) 555-0171</phone> of the office
 <phone>+44 20 7946 0958</phone> is the number
 tel <phone>(212) 555-0187</phone> any time
 phone: <phone>555-867-5309</phone> at home
 phone <phone>212-555-0187</phone> or <phone>(415) 555-2671</phone> at work
 ring <phone>+49 30 901820</phone> and ask
-+1 <phone>(980) 555-6268</phone>
-<phone>+1 (980) 555-6268</phone> <ip>224.228.19.86</ip> was seen
-<phone>+1 (980) 555-6268</phone> <card>4501042323994846</card> and more
-<card>4501042323994846</card> then <phone>+1 (984) 555-5227</phone> of it <ip>224.228.19.86</ip> end
-from <ip>190.134.237.235</ip> at night
-host <ip>10.0.0.1,</ip> and <ip>123.43.25.46!!</ip> answered
-<ip>169.122.221.182</ip> <ip>12.7.4.200</ip> both
-card <card>4501 0423 2399 4846</card> was used
-card <card>4501-0423-2399-4846</card> expired
++1 <phone>(202) 555-0143</phone>
+<phone>+1 (202) 555-0143</phone> <ip>203.0.113.86</ip> was seen
+<phone>+1 (202) 555-0143</phone> <card>4012888888881881</card> and more
+<card>4012888888881881</card> then <phone>+1 (303) 555-0171</phone> of it <ip>203.0.113.86</ip> end
+from <ip>198.51.100.235</ip> at night
+host <ip>10.0.0.1,</ip> and <ip>192.0.2.46!!</ip> answered
+<ip>198.51.100.182</ip> <ip>12.7.4.200</ip> both
+card <card>4111 1111 1111 1111</card> was used
+card <card>5105-1051-0510-5100</card> expired
 paid with <card>378282246310005</card> in may
 <card>5500005555555559,</card> he said
 number <card>6011 0009 9013 9424</card> declined
@@ -97,7 +98,7 @@ def formed(kind: str, text: bytes) -> bool:
     """Whether a match has the form of its kind."""
     digits = _not_digit.sub(b"", text)
     if kind == "ip":
-        return all(int(p) <= 255 for p in text.split(b".")) if len(digits) <= 40 else False
+        return all(len(p) <= 3 and int(p or b"0") <= 255 for p in (q.lstrip(b"0") for q in text.split(b".")))
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
