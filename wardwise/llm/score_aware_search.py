@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 CENTRES = 16
 SAMPLE = 8192  # vectors that codebooks are fitted on, at most
 BLOCK, QUERIES = 8192, 512  # rows of a candidate and of a query block
+TOGETHER = 8  # query blocks that look through one copy of a candidate block
 THRESHOLD = 0.2  # cosine above which inner products matter
 
 
@@ -138,7 +139,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 16
     def encoded(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("vec_id")
         x = matrix(t["v"])
-        # All query blocks look through a candidate block, so its copies are as many as these.
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([t["vec_id"].to_numpy().tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "codes": pa.array([pack_codes(books.encode(x)).tobytes()], pa.binary())})
 
     def packed(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -146,8 +146,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 16
 
     candidates = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))).groupBy("block").applyInArrow(encoded, "block long, ids binary, x binary, codes binary")
     asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks))).groupBy("query_block").applyInArrow(packed, "query_block long, query_ids binary, q binary")
-    meet = candidates.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).join(asked, "query_block")
-    meet = meet.repartition(F.col("query_block"), F.col("block"))
+    # Candidates, which are many, are copied once for each ``TOGETHER`` query blocks; queries, which are few, once for each candidate block.
+    last = (query_blocks - 1) // TOGETHER
+    candidates = candidates.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    asked = asked.withColumn("part", F.expr(f"query_block div {TOGETHER}")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    meet = candidates.join(asked, ["part", "block"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
