@@ -34,7 +34,7 @@ def report(checks: list[tuple[str, DataFrame, Column, float | None, float | None
 def coverage(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Codes that are missing, unknown or there more than once."""
     n = found.groupBy(key).agg(F.count("*").alias("n"))
-    j = n.join(F.broadcast(expected.select(key).withColumn("_e", F.lit(True))), key, "full")
+    j = n.join(expected.select(key).withColumn("_e", F.lit(True)), key, "full")
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("_e").isNull(), "unknown").when(F.col("n") > 1, "repeated")
     return j.withColumn("problem", problem).where("problem is not null").select(key, "problem")
 

@@ -63,7 +63,7 @@ def factors(feasible: DataFrame, axes: DataFrame, preferences: DataFrame) -> Dat
     """
     value = F.element_at(F.create_map(*[F.lit(x) for kv in config.IMPORTANCE.items() for x in kv]), F.col("importance"))
     shares = preferences.withColumn("v", value).withColumn("share", F.col("v") / F.sum("v").over(Window.partitionBy("request_id"))).select("request_id", "axis", "share")
-    life = feasible.select("request_id", "locality").join(F.broadcast(shares), "request_id").join(axes, ["locality", "axis"]).select("request_id", "locality", F.col("axis").alias("key"), F.col("score").alias("component"), (F.lit(config.WEIGHTS["lifestyle"]) * F.col("share")).alias("weight"))
+    life = feasible.select("request_id", "locality").join(shares, "request_id").join(axes, ["locality", "axis"]).select("request_id", "locality", F.col("axis").alias("key"), F.col("score").alias("component"), (F.lit(config.WEIGHTS["lifestyle"]) * F.col("share")).alias("weight"))
     own = feasible.select("request_id", "locality", F.explode(F.array(
         F.struct(F.lit("affordability").alias("key"), affordability(F.col("rent"), F.col("budget")).alias("component"), F.lit(config.WEIGHTS["affordability"]).alias("weight")),
         F.struct(F.lit("commute").alias("key"), commute_score(F.col("commute"), F.col("max_commute")).alias("component"), F.lit(config.WEIGHTS["commute"]).alias("weight")),

@@ -25,7 +25,7 @@ def place_search(queries: DataFrame, places: DataFrame, limit: int = config.PLAC
     every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     by_piece = places.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(every, pieces)))))
     long, short = queries.where(F.length("query") >= 3), queries.where(F.length("query") < 3)
-    hits = F.broadcast(long.withColumn("piece", F.substring(F.lower("query"), 1, 3))).join(by_piece, "piece").drop("piece").unionByName(F.broadcast(short).join(places, how="cross"))
+    hits = long.withColumn("piece", F.substring(F.lower("query"), 1, 3)).join(by_piece, "piece").drop("piece").unionByName(F.broadcast(short).join(places, how="cross"))
     hits = hits.where(matches(F.col("query"), [F.col("name")], [F.col("aliases")]))
     scored = hits.withColumn("similarity", best_similarity(F.col("query"), [F.col("name")], [F.col("aliases")]))
     first = F.when(F.col("kind") == "station", 0).otherwise(1)

@@ -31,7 +31,7 @@ def sync(current: DataFrame, incoming: DataFrame, keys: Sequence[str], source: s
 def sync_periods(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same for each (source, period) in the batch only."""
     scope = incoming.select("source", "period").distinct()
-    return upsert(current.join(F.broadcast(scope), ["source", "period"], "left_anti").select(*current.columns), incoming, keys)
+    return upsert(current.join(scope, ["source", "period"], "left_anti").select(*current.columns), incoming, keys)
 
 
 def replace_source(current: DataFrame, incoming: DataFrame, source: str) -> DataFrame:

@@ -46,7 +46,7 @@ def timetable_edges(medians: DataFrame, gaps: DataFrame, stops: DataFrame, lines
     by = ["route", "first_stop"]
     legs = medians.groupBy(*by, "stop", "next_stop").agg(*[F.max(F.when(F.col("period") == p, F.col("median_minutes"))).alias(f"{p}_minutes") for p in ("peak", "offpeak")], F.sum("n").alias("n"))
     waits = gaps.groupBy(*by).agg(*[F.max(F.when(F.col("period") == p, F.col("headway"))).alias(f"{p}_gap") for p in ("peak", "offpeak")])
-    e = legs.join(waits, by, "left").join(F.broadcast(lines), "route")
+    e = legs.join(waits, by, "left").join(lines, "route")
     e = e.join(stops.select(F.col("stop"), F.col("station").alias("from_id")), "stop").join(stops.select(F.col("stop").alias("next_stop"), F.col("station").alias("to_id")), "next_stop").where("from_id <> to_id")
     e = e.select("from_id", "to_id", "line", "first_stop", "route", "n", F.coalesce("peak_minutes", "offpeak_minutes").alias("peak_minutes"), F.coalesce("offpeak_minutes", "peak_minutes").alias("offpeak_minutes"), expected_wait(F.col("peak_gap"), config.PEAK_WAIT_MIN).alias("peak_wait"), expected_wait(F.col("offpeak_gap"), config.OFFPEAK_WAIT_MIN).alias("offpeak_wait"))
     rank = F.row_number().over(Window.partitionBy("from_id", "to_id", "line").orderBy(F.desc("n"), "first_stop", "route"))
@@ -57,7 +57,7 @@ def topology_edges(positions: DataFrame, lines: DataFrame) -> DataFrame:
     """Ride edges both ways between neighbours along a line: line_id, point_id, pos_m; lines: line_id, mode."""
     w = Window.partitionBy("line_id").orderBy("pos_m", "point_id")
     speed = F.element_at(F.create_map(*[F.lit(x) for kv in config.SPEED_KMH.items() for x in kv]), F.col("mode"))
-    legs = positions.withColumn("to_id", F.lead("point_id").over(w)).withColumn("gap", F.lead("pos_m").over(w) - F.col("pos_m")).where("to_id is not null").join(F.broadcast(lines), "line_id")
+    legs = positions.withColumn("to_id", F.lead("point_id").over(w)).withColumn("gap", F.lead("pos_m").over(w) - F.col("pos_m")).where("to_id is not null").join(lines, "line_id")
     one = legs.select(F.col("point_id").alias("from_id"), "to_id", F.col("line_id").alias("line"), (F.col("gap") / 1000 / speed * 60).alias("minutes"))
     return one.unionByName(one.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "line", "minutes")).withColumn("kind", F.lit("ride")).withColumn("confidence", F.lit(0))
 
@@ -156,7 +156,7 @@ def locality_commutes(samples: DataFrame, nodes: DataFrame, points: DataFrame |
 def line_names(edges: DataFrame, lines: DataFrame) -> DataFrame:
     """Names of the lines that touch a station at either end, in order."""
     ends = edges.where("kind = 'ride'").select(F.explode(F.array("from_id", "to_id")).alias("id"), "line").distinct()
-    return ends.join(F.broadcast(lines), "line").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("lines"))
+    return ends.join(lines, "line").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("lines"))
 
 
 def orphans(stations: DataFrame, edges: DataFrame) -> DataFrame:

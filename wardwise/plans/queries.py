@@ -275,7 +275,7 @@ def _candidates(s, d):
     j = j.select("locality", rent.multiplier(*args).alias("multiplier"), (~rent.usable_medians(*args)).alias("fallback"))
     choice = rent.rent_choice(A.rent_stats(s, d), YEAR).withColumnRenamed("ward", "locality")
     rents = rent.estimates(j.join(choice, "locality"), YEAR).select("locality", "layout", F.col("median_yen").alias("rent"))
-    every = F.broadcast(A.requests(s)).join(rents, "layout")
+    every = A.requests(s).join(rents, "layout")
     c = every.join(_commutes(s, d).select("locality", "dest", F.col("minutes").alias("commute")), ["locality", "dest"], "left")
     return c.withColumn("reason", scoring.exclusion(F.col("commute"), F.col("max_commute"), F.col("rent"), F.col("budget")))
 

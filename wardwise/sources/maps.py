@@ -123,7 +123,7 @@ def map_pois(classes: DataFrame, aliases: DataFrame | None = None) -> tuple[Data
     tag = lambda k: F.try_element_at("tags", F.lit(k))
     p = classes.where("kind = 'poi'").select(F.col("type").alias("osm_type"), F.col("id").alias("osm_id"), "category", tag("name").alias("name"), tag("name:en").alias("name_en"), tag("cuisine").alias("cuisine"), tag("opening_hours").alias("opening_hours"), F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"))
     if aliases is not None:
-        p = p.join(F.broadcast(aliases), ["osm_type", "osm_id"], "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+        p = p.join(aliases, ["osm_type", "osm_id"], "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     good = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     return p.where(good), p.where(~good)
 

@@ -90,7 +90,7 @@ def resolved_names(towns: DataFrame, index: DataFrame, overrides: DataFrame) ->
     """
     keys = ["ward_ja", "town_ja"]
     i = index.groupBy(*keys).agg(F.collect_set("town_en").alias("names"))
-    j = towns.join(F.broadcast(overrides.select(*keys, F.col("town_en").alias("own"))), keys, "left").join(i, keys, "left")
+    j = towns.join(overrides.select(*keys, F.col("town_en").alias("own")), keys, "left").join(i, keys, "left")
     name = F.coalesce("own", F.when(F.size("names") == 1, F.col("names")[0]))
     problem = F.when(name.isNull() & F.col("names").isNull(), "missing").when(name.isNull(), "ambiguous").when(~name.rlike("^[A-Za-z0-9][A-Za-z0-9 '\\-]*$"), "invalid")
     unused = overrides.join(towns, keys, "left_anti").select(*keys, F.lit(None).cast("string").alias("town_en"), F.lit("unused").alias("problem"))

@@ -65,8 +65,8 @@ def matched_stops(stops: DataFrame, stations: DataFrame, known: DataFrame, radiu
 
 def mapped_routes(routes: DataFrame, lines: DataFrame) -> DataFrame:
     """The line of each route: the same id, else the first line that shares a name. lines: line, names."""
-    by_id = F.broadcast(lines.select(F.col("line").alias("route_id"), F.col("line").alias("by_id")))
+    by_id = lines.select(F.col("line").alias("route_id"), F.col("line").alias("by_id"))
     names = F.filter(F.array_distinct(F.array(F.lower(F.trim("route_short_name")), F.lower(F.trim("route_long_name")))), lambda x: x.isNotNull() & (x != ""))
     listed = lines.select("line", F.explode(F.transform("names", lambda x: F.lower(F.trim(x)))).alias("n"))
-    by_name = routes.select("route_id", F.explode(names).alias("n")).join(F.broadcast(listed), "n").groupBy("route_id").agg(F.min("line").alias("by_name"))
+    by_name = routes.select("route_id", F.explode(names).alias("n")).join(listed, "n").groupBy("route_id").agg(F.min("line").alias("by_name"))
     return routes.select("route_id").join(by_id, "route_id", "left").join(by_name, "route_id", "left").select("route_id", F.coalesce("by_id", "by_name").alias("line"))
