@@ -48,3 +48,32 @@ GREEN = ("park", "garden")
 SHOPS = {"supermarket": "supermarket", "convenience": "convenience", "greengrocer": "grocery", "butcher": "grocery", "bakery": "grocery", "grocery": "grocery"}
 AMENITIES = {"restaurant": "restaurant", "cafe": "cafe", "bar": "bar", "pub": "bar", "nightclub": "bar", "clinic": "health", "doctors": "health", "pharmacy": "health", "hospital": "health", "university": "landmark", "college": "landmark", "school": "landmark"}
 FOOD = ("restaurant", "cafe", "bar")
+
+# English names of the city's wards by code.
+WARD_NAMES = {
+    "13101": "Chiyoda",
+    "13102": "Chuo",
+    "13103": "Minato",
+    "13104": "Shinjuku",
+    "13105": "Bunkyo",
+    "13106": "Taito",
+    "13107": "Sumida",
+    "13108": "Koto",
+    "13109": "Shinagawa",
+    "13110": "Meguro",
+    "13111": "Ota",
+    "13112": "Setagaya",
+    "13113": "Shibuya",
+    "13114": "Nakano",
+    "13115": "Suginami",
+    "13116": "Toshima",
+    "13117": "Kita",
+    "13118": "Arakawa",
+    "13119": "Itabashi",
+    "13120": "Nerima",
+    "13121": "Adachi",
+    "13122": "Katsushika",
+    "13123": "Edogawa",
+}
+FORBIDDEN_SOURCES = ("seed", "fixture")
+MODES = tuple(SPEED_KMH)

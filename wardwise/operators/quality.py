@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,3 +49,29 @@ def name_audit(rows: DataFrame, local: str, english: str, by: str) -> DataFrame:
 def share(df: DataFrame, bad: Column) -> DataFrame:
     """Share of bad rows; an empty table has none."""
     return df.agg(F.count_if(bad).alias("bad"), F.count("*").alias("n")).select("bad", "n", F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(0.0).alias("share"))
+
+
+def forbidden_sources(tables: dict[str, DataFrame], forbidden: Sequence[str]) -> DataFrame:
+    """Rows of each table that come from a source that must not be there: table, source, n."""
+    every = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table"), "source") for name, df in tables.items()])
+    return every.where(F.col("source").isin(*forbidden)).groupBy("table", "source").agg(F.count("*").alias("n"))
+
+
+def taken_over(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many rows of a source an upsert takes over from another one: old_source, new_source, n."""
+    c, i = current.select(*keys, F.col("source").alias("old_source")), incoming.select(*keys, F.col("source").alias("new_source")).distinct()
+    return c.join(i, list(keys)).where(~F.col("old_source").eqNullSafe(F.col("new_source"))).groupBy("old_source", "new_source").agg(F.count("*").alias("n"))
+
+
+def prerequisites(checks: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    """A row for each (step, what is lacking, the rows that lack it): step, lacking, n, ready."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(lacking).alias("lacking"), "n", (F.col("n") == 0).alias("ready")) for step, lacking, df in checks]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def require(checks: list[tuple[str, str, DataFrame]], step: str) -> None:
+    """An error that names everything that a step lacks."""
+    mine = [c for c in checks if c[0] == step]
+    lacks = [f"{r.lacking}: {r.n} rows" for r in prerequisites(mine).where("not ready").collect()] if mine else []
+    if lacks:
+        raise ValueError(f"{step} cannot run yet, " + "; ".join(lacks))

@@ -132,25 +132,85 @@ def near_line_share(anchors: DataFrame, segments: DataFrame, radius_m: float, bu
     return anchors.select("anchor_id").join(hits, "anchor_id", "left").select("anchor_id", (F.coalesce("hits", F.lit(0)) / F.lit(n)).alias("share"))
 
 
+def _candidates(edges: DataFrame, tries: int) -> DataFrame:
+    """Places of a Halton sequence over each region's bounds that lie inside it: region_id, i, lon, lat, point_id."""
+    bounds = edges.groupBy("region_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("t"))
+    c = bounds.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    c = c.select("region_id", "i", (F.col("w") + (F.col("e") - F.col("w")) * _radical(F.col("i"), 2)).alias("lon"), (F.col("s") + (F.col("t") - F.col("s")) * _radical(F.col("i"), 3)).alias("lat")).withColumn("point_id", F.struct("region_id", "i"))
+    inside = contained(c, edges).where(F.col("point_id.region_id") == F.col("region_id")).select("point_id")
+    return c.join(inside, "point_id", "left_semi")
+
+
+def _radical(i, base: int):
+    digits = F.sequence(F.lit(0), F.lit(12))
+    return F.aggregate(digits, F.lit(0.0), lambda acc, k: acc + F.pmod(F.floor(i / F.pow(F.lit(float(base)), k)), F.lit(base)) / F.pow(F.lit(float(base)), k + 1))
+
+
+def _places_on_levels(edges: DataFrame, n: int) -> DataFrame:
+    """n inner places of any region, however thin: the middle of the widest stretch inside, on n levels of the tallest part."""
+    tall = edges.groupBy("region_id", "part").agg(F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("t"))
+    tall = tall.groupBy("region_id").agg(F.max(F.struct((F.col("t") - F.col("s")).alias("h"), "s", "part")).alias("m")).select("region_id", "m.part", "m.s", "m.h")
+    levels = tall.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("lat", F.col("s") + F.col("h") * (F.col("i") - 0.5) / n)
+    met = levels.join(edges, ["region_id", "part"]).where((F.col("y1") <= F.col("lat")) != (F.col("y2") <= F.col("lat")))
+    xs = met.groupBy("region_id", "i", "lat").agg(F.array_sort(F.collect_list(F.col("x1") + (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))).alias("x"))
+    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1), lambda k: F.struct((F.get("x", 2 * k + 1) - F.get("x", 2 * k)).alias("width"), ((F.get("x", 2 * k) + F.get("x", 2 * k + 1)) / 2).alias("lon")))
+    return xs.select("region_id", "i", F.array_max(spans)["lon"].alias("lon"), "lat")
+
+
+def _first_places(places: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """Of every region's places the first n, numbered by place; regions with fewer take the middles of n levels."""
+    by = Window.partitionBy("region_id")
+    first = places.withColumn("k", F.row_number().over(by.orderBy("i"))).where(F.col("k") <= n).withColumn("m", F.count("*").over(by)).where(F.col("m") == n).select("region_id", "lon", "lat")
+    thin = _places_on_levels(edges.join(first.select("region_id").distinct(), "region_id", "left_anti"), n).select("region_id", "lon", "lat")
+    return first.unionByName(thin).select("region_id", F.row_number().over(by.orderBy("lon", "lat")).alias("sample"), "lon", "lat")
+
+
 def sample_region(edges: DataFrame, n: int = 9, tries: int = 256) -> DataFrame:
-    """The first n points of a Halton sequence over a region's bounds that lie inside it, numbered by place."""
+    """The first n points of a Halton sequence over a region's bounds that lie inside it, numbered by place.
+
+    Regions so thin that fewer than n of the tries meet them take the middles of n levels.
+    """
+    return _first_places(_candidates(edges, tries), edges, n)
 
-    def radical(i, base: int):
-        digits = F.sequence(F.lit(0), F.lit(12))
-        return F.aggregate(digits, F.lit(0.0), lambda acc, k: acc + F.pmod(F.floor(i / F.pow(F.lit(float(base)), k)), F.lit(base)) / F.pow(F.lit(float(base)), k + 1))
 
-    bounds = edges.groupBy("region_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("t"))
-    c = bounds.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    c = c.select("region_id", "i", (F.col("w") + (F.col("e") - F.col("w")) * radical(F.col("i"), 2)).alias("lon"), (F.col("s") + (F.col("t") - F.col("s")) * radical(F.col("i"), 3)).alias("lat"))
-    points = c.withColumn("point_id", F.struct("region_id", "i"))
-    inside = contained(points, edges).where(F.col("point_id.region_id") == F.col("region_id")).select(F.col("point_id.region_id").alias("region_id"), F.col("point_id.i").alias("i"))
-    first = c.join(inside, ["region_id", "i"]).withColumn("k", F.row_number().over(Window.partitionBy("region_id").orderBy("i"))).where(F.col("k") <= n)
-    return first.select("region_id", F.row_number().over(Window.partitionBy("region_id").orderBy("lon", "lat")).alias("sample"), "lon", "lat")
+def sample_homes(edges: DataFrame, homes: DataFrame, n: int = 9, tries: int = 256) -> DataFrame:
+    """As ``sample_region``, but of the first points that lie in any of the homes' regions too; regions with fewer
+    than n such points take points of their whole area."""
+    wide = _candidates(edges, tries)
+    marked = wide.join(contained(wide, homes).select("point_id", F.lit(1).alias("home")).distinct(), "point_id", "left")
+    enough = F.count("home").over(Window.partitionBy("region_id")) >= n
+    return _first_places(marked.withColumn("enough", enough).where("not enough or home = 1"), edges, n)
+
+
+def largest_parts(rings: DataFrame) -> DataFrame:
+    """The rings of each region's largest part; of equal parts the first. A part's largest ring is its outer one, the others are holes."""
+    size = usable_rings(rings).groupBy("region_id", "part").agg(F.round(2 * F.max("area") - F.sum("area"), 12).alias("a"))
+    best = size.groupBy("region_id").agg(F.max_by("part", F.struct("a", (-F.col("part")).alias("p"))).alias("part"))
+    return rings.join(best, ["region_id", "part"], "left_semi")
+
+
+def dissolved(rings: DataFrame, keys: DataFrame) -> DataFrame:
+    """Regions of one key as the parts of one region (keys: region_id, key); no outline is drawn anew."""
+    return rings.join(keys.select("region_id", "key"), "region_id").select(F.col("key").alias("region_id"), F.struct("region_id", "part").alias("part"), "ring")
+
+
+def clipped(points: DataFrame, edges: DataFrame, clips: DataFrame) -> DataFrame:
+    """Pairs (point_id, region_id) of points inside both a region and the clip of the same id."""
+    return contained(points, edges).join(contained(points, clips), ["point_id", "region_id"], "left_semi")
+
+
+def lines_from(segments: DataFrame, edges: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Segments of the lines whose first vertex lies in any region or in the box (south, west, north, east)."""
+    s, w, n, e = box
+    first = segments.groupBy("line_id").agg(F.min_by(F.struct("x1", "y1"), "seq").alias("v")).select(F.col("line_id").alias("point_id"), F.col("v.x1").alias("lon"), F.col("v.y1").alias("lat"))
+    boxed = first.where(F.col("lat").between(s, n) & F.col("lon").between(w, e)).select("point_id")
+    kept = contained(first, edges).select("point_id").unionByName(boxed).select(F.col("point_id").alias("line_id")).distinct()
+    return segments.join(kept, "line_id", "left_semi")
 
 
 def interior_point(edges: DataFrame, tries: int = 256) -> DataFrame:
     """An inner point near the middle of each region."""
-    points = sample_region(edges, tries, tries)
+    points = _candidates(edges, tries).select("region_id", "lon", "lat").unionByName(_places_on_levels(edges, 1).select("region_id", "lon", "lat"))
     middle = points.groupBy("region_id").agg(F.avg("lon").alias("mx"), F.avg("lat").alias("my"))
     d = F.pow(F.col("lon") - F.col("mx"), 2) + F.pow(F.col("lat") - F.col("my"), 2)
     return points.join(middle, "region_id").groupBy("region_id").agg(F.min(F.struct(d.alias("d"), "lon", "lat")).alias("m")).select("region_id", "m.lon", "m.lat")
@@ -159,7 +219,9 @@ def interior_point(edges: DataFrame, tries: int = 256) -> DataFrame:
 def usable_rings(rings: DataFrame) -> DataFrame:
     """Rings with whether they can bound an area: three points or more, finite, not all on a line."""
     n = F.size("ring")
-    area = F.aggregate(F.transform("ring", lambda p, i: p["lon"] * F.get("ring", (i + 1) % n)["lat"] - F.get("ring", (i + 1) % n)["lon"] * p["lat"]), F.lit(0.0), lambda a, b: a + b) / 2
+    # From the first corner on, as products of whole degrees would lose the digits of small areas.
+    x0, y0 = F.get("ring", F.lit(0))["lon"], F.get("ring", F.lit(0))["lat"]
+    area = F.aggregate(F.transform("ring", lambda p, i: (p["lon"] - x0) * (F.get("ring", (i + 1) % n)["lat"] - y0) - (F.get("ring", (i + 1) % n)["lon"] - x0) * (p["lat"] - y0)), F.lit(0.0), lambda a, b: a + b) / 2
     finite = F.forall("ring", lambda p: p["lon"].isNotNull() & p["lat"].isNotNull() & (F.abs(p["lon"]) < float("inf")) & (F.abs(p["lat"]) < float("inf")))
     return rings.withColumn("area", F.abs(area)).withColumn("usable", F.coalesce((n >= 3) & finite & (F.abs(area) > 0), F.lit(False)))
 

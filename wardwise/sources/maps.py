@@ -55,6 +55,16 @@ def is_ward_code(code: Column) -> Column:
     return code.rlike("^131(0[1-9]|1[0-9]|2[0-3])$")
 
 
+def ward_names(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Wards with their code, name and English name (their own, else the one known for the code), and the rows that lack one."""
+    t = F.col("tags")
+    code = first_of(t, ["N03_007", "ward_code"])
+    r = rows.withColumn("ward_code", code).withColumn("name_ja", first_of(t, ["N03_004", "name_ja"])).withColumn("name_en", F.coalesce(first_of(t, ["name_en"]), _lookup(config.WARD_NAMES, code)))
+    reason = F.when(F.col("ward_code").isNull(), "code").when(F.col("name_ja").isNull(), "name").when(F.col("name_en").isNull(), "English name")
+    r = r.withColumn("reason", reason)
+    return r.where("reason is null").drop("reason"), r.where("reason is not null")
+
+
 def land_use(raw: Column) -> Column:
     """``residential`` for what names housing, else the trimmed text."""
     t = F.lower(F.trim(raw))
@@ -143,9 +153,15 @@ def map_greens(classes: DataFrame) -> DataFrame:
     return g.where(F.size("ring") >= 3)
 
 
-def as_features(rows: DataFrame, geometry: Column, *properties: str) -> DataFrame:
-    """One GeoJSON feature a line, for ``write.text``."""
-    return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
+def in_collections(features: DataFrame, block: Column) -> DataFrame:
+    """Lines of ``as_features`` as collections, one for each block: block, value. Written by ``partitionBy("block").text``
+    each collection is a file of its own; blocks are to be of bounded size."""
+    return features.groupBy(block.cast("string").alias("block")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
+
+
+def as_features(rows: DataFrame, geometry: Column, *properties: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """One GeoJSON feature a line, for ``write.text``; columns to be kept beside it are named in ``also``."""
+    return rows.select(*also, F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
 def point_geometry(lon: Column, lat: Column) -> Column:
