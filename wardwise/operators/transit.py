@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wardwise import config
@@ -87,9 +87,11 @@ def commute_matrix(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     edges that end at its node. Riding on costs the minutes; boarding a line also
     its wait; changing lines the penalty too; a transfer edge has the penalty and
     leaves the line. Equal times are settled by transfers, then by the node and
-    line gone to. Every round is written once, as the next one reads it three times.
+    line gone to. The edges and every round are written once, as later rounds read them
+    again; whether a round found anything better is counted while it is written.
     """
-    e = edges.select(F.col("from_id").alias("e_from"), F.col("to_id").alias("node"), F.col("line").alias("e_line"), "kind", "minutes", "wait", F.col("confidence").alias("e_confidence"))
+    ways = edges.select(F.col("from_id").alias("e_from"), F.col("to_id").alias("node"), F.col("line").alias("e_line"), "kind", "minutes", "wait", F.col("confidence").alias("e_confidence"))
+    e = materialized(ways, "ways")
     first = seeds.where("walk >= 0").groupBy("dest", "node").agg(F.min("walk").alias("total"))
     none = F.lit(0.0)
     state = ["total", "transfers", "rail", "waits", "walk", "confidence", "path"]
@@ -99,10 +101,7 @@ def commute_matrix(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         "commute",
     )
     while True:
-        front = best.where("new")
-        if not front.limit(1).count():
-            return best.drop("new")
-        j = front.join(e, "node")
+        j = best.where("new").join(e, "node")
         ride = F.col("kind") == "ride"
         same = ride & (F.col("line") == F.col("e_line"))
         change = F.when(~ride | (~same & (F.col("line") != NO_LINE)), F.lit(1)).otherwise(F.lit(0))
@@ -123,7 +122,11 @@ def commute_matrix(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         every = best.withColumn("new", F.lit(False)).unionByName(offers)
         # Of ways that are equal in all of that the old one stays, so only better ones are new.
         order = F.struct(F.col("total"), F.col("transfers"), F.get("path", F.lit(0))["node"], F.get("path", F.lit(0))["line"], F.col("new"))
-        best = materialized(every.groupBy("dest", "node", "line").agg(F.min_by(F.struct(*state, "new"), order).alias("s")).select("dest", "node", "line", "s.*"), "commute")
+        seen = Observation("round")
+        kept = every.groupBy("dest", "node", "line").agg(F.min_by(F.struct(*state, "new"), order).alias("s")).select("dest", "node", "line", "s.*")
+        best = materialized(kept.observe(seen, F.count_if("new").alias("better")), "commute")
+        if not seen.get["better"]:
+            return best.drop("new")
 
 
 def best_by_node(matrix: DataFrame) -> DataFrame:
