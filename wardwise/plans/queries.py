@@ -154,14 +154,11 @@ def merged_stations(s, d):
 
 
 def latest_run(s, d):
-    r = A.runs(s, d)
-    return r.groupBy("source").agg(F.max_by(F.struct("event_id", "status", "rows"), F.struct("started_at", "event_id")).alias("m")).select("source", "m.event_id", "m.status", F.round("m.rows", 6).alias("rows"))
+    return _round(tables.latest(A.runs(s, d), "source", "started_at").select("source", "event_id", "status", "rows"), "rows")
 
 
 def latest_success(s, d):
-    r = A.runs(s, d).where("status = 'success'")
-    w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("event_id"))
-    return r.withColumn("r", F.row_number().over(w)).where("r = 1").select("source", "event_id", F.round("rows", 6).alias("rows"))
+    return _round(tables.latest(A.runs(s, d), "source", "started_at", F.col("status") == "success").select("source", "event_id", "rows"), "rows")
 
 
 def source_vintages(s, d):
@@ -335,7 +332,7 @@ def trigram_similarity(s, d):
 
 
 def similar_station_names(s, d):
-    """Pairs of a station and a customer's name that share more than two thirds of their trigrams."""
+    """Pairs of a station's name and a name made from a nation's that share 0.3 of their trigrams or more."""
     a = A.stations(s, d).select("id", "name")
     b = A.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Supplier "), F.col("n_name"), F.lit(" "), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("name"))
     return _round(search.similar_names(a, b, 0.3), "similarity")
