@@ -8,6 +8,7 @@ from .edit_leaks import op1_query
 from .noisy_toxicity import op6_query
 from .oracle import OP5_SQL, OP8_SQL, OP10_SQL
 from .path_join import op8_query
+from .qr_whitening import op11_query
 from .relative_lz_dedup import op10_query
 from .ring_shards import op4_query
 from .score_aware_search import op3_query
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_path_join": op8_query,
     "op9_chat_format": op9_query,
     "op10_relative_lz_dedup": op10_query,
+    "op11_qr_whitening": op11_query,
 }
 
 SQL: dict[str, str] = {
