@@ -12,6 +12,7 @@ from .qr_whitening import op11_query
 from .relative_lz_dedup import op10_query
 from .ring_shards import op4_query
 from .score_aware_search import op3_query
+from .simhash_dedup import op12_query
 from .suffix_dedup import op5_query
 from .trie_bpe import op7_query
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_chat_format": op9_query,
     "op10_relative_lz_dedup": op10_query,
     "op11_qr_whitening": op11_query,
+    "op12_simhash_dedup": op12_query,
 }
 
 SQL: dict[str, str] = {
