@@ -15,6 +15,7 @@ from .score_aware_search import op3_query
 from .simhash_dedup import op12_query
 from .suffix_dedup import op5_query
 from .trie_bpe import op7_query
+from .variant_trie import op13_query
 
 QUERIES = {
     "op1_edit_leaks": op1_query,
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_relative_lz_dedup": op10_query,
     "op11_qr_whitening": op11_query,
     "op12_simhash_dedup": op12_query,
+    "op13_variant_trie": op13_query,
 }
 
 SQL: dict[str, str] = {
