@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     labels = components(written(links(classes.select("fp"), bits), "links")).select(F.col("doc_id").alias("fp"), F.col("component_id").alias("root"))
     of_root = labels.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = classes.join(labels.join(of_root, "root"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that its join with all rows is one of two plain shuffles, whose hot fingerprints Spark can split.
+    of_class = written(classes.join(labels.join(of_root, "root"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "of_class")
     out = prints.join(of_class, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
