@@ -44,10 +44,67 @@ def test_commutes_equal_a_textbook_search(spark):
 
 def test_path_and_parts_of_a_way(spark):
     edges = spark.createDataFrame([(1, 2, 7, "ride", 3.0, 4.0, 2), (2, 3, 7, "ride", 5.0, 4.0, 1), (0, 1, 8, "ride", 2.0, 6.0, 2)], EDGES)
-    m = transit.best_by_node(transit.commute_matrix(edges, spark.createDataFrame([(3, 3, 0.0)], "dest long, node long, walk double")))
-    r = m.where("node = 0").first()
-    assert (r.total, r.rail, r.waits, r.transfers, r.confidence) == (25.0, 10.0, 10.0, 1, 1)
-    assert [(p.node, p.line) for p in r.path] == [(1, 8), (2, 7), (3, 7)]
+    m = transit.commute_matrix(edges, spark.createDataFrame([(3, 3, 0.0)], "dest long, node long, walk double"))
+    r = transit.best_by_node(transit.with_legs(m)).where("node = 0").first()
+    assert (r.total, r.rail, r.waits, r.transfers, r.confidence, r.hops) == (25.0, 10.0, 10.0, 1, 1, 3)
+    ways = {(p.node, p.line): [(h.node, h.line) for h in p.path] for p in transit.paths(m, m).collect()}
+    assert ways == {(0, 8): [(1, 8), (2, 7), (3, 7)], (1, 7): [(2, 7), (3, 7)], (2, 7): [(3, 7)], (3, -1): []}
+    assert transit.paths(m, m.where("node = 99")).collect() == []
+
+
+def test_paths_cost_what_the_matrix_says(spark):
+    random.seed(8)
+    edges = [(random.randrange(30), random.randrange(30), random.randrange(4), "ride", float(random.randint(0, 5)), 2.0, random.randint(0, 2)) for _ in range(90)]
+    edges += [(a, (a + 7) % 30, -1, "transfer", 0.0, 0.0, 1) for a in range(0, 30, 4)]
+    m = transit.commute_matrix(spark.createDataFrame(edges, EDGES), spark.createDataFrame([(0, 0, 1.5), (5, 5, 0.0)], "dest long, node long, walk double")).cache()
+    tables = transit.jumps(m)
+    assert len(tables) <= 2 + m.agg(F.max("hops")).first()[0].bit_length()
+    legs = {(r.dest, r.node, r.line): r for r in transit.with_legs(m, tables).collect()}
+    known = {}
+    for f, t, l, kind, minutes, _, sure in edges:
+        known.setdefault((f, t, l, kind), set()).add((minutes, sure))
+    for p in transit.paths(m, m, tables).collect():
+        r, node, line, total, rail, least = legs[p.dest, p.node, p.line], p.node, p.line, 0.0, 0.0, 2
+        steps = []
+        for h in p.path:
+            minutes = min(x for x, _ in known[node, h.node, h.line, h.kind])
+            least = min(least, max(sure for x, sure in known[node, h.node, h.line, h.kind] if x == minutes))
+            steps.append((h.kind, h.line, minutes))
+            node = h.node
+        before = -1
+        for kind, line, minutes in reversed(steps):
+            rail += minutes
+            total += minutes + (5 if kind == "transfer" else 0 if line == before else 2.0 + (5 if before != -1 else 0))
+            before = -1 if kind == "transfer" else line
+        assert node == p.dest and len(p.path) == r.hops
+        assert (total + r.walk, rail, least) == (r.total, r.rail, r.confidence) and r.walk == (1.5 if p.dest == 0 else 0.0)
+
+
+def test_faulty_edges_and_seeds_are_rejected_before_the_search(spark):
+    good = [(1, 2, 1, "ride", 5.0, 4.0, 2), (2, 3, 1, "ride", 5.0, 4.0, 2)]
+    bad = [(1, 3, 1, "ride", None, 4.0, 2), (3, 1, 1, "ride", -50.0, 4.0, 2), (1, 3, 2, "ride", float("nan"), 4.0, 2), (1, 3, 2, "ride", float("inf"), 4.0, 2), (1, 3, -1, "ride", 1.0, 4.0, 2), (1, 3, None, "ride", 1.0, 4.0, 2), (None, 3, 1, "ride", 1.0, 4.0, 2), (1, 3, 1, "walk", 1.0, 4.0, 2), (1, 3, 1, None, 1.0, 4.0, 2), (1, 3, 3, "ride", 1.0, None, 2), (3, 1, -1, "transfer", -9.0, 0.0, 1)]
+    edges = spark.createDataFrame(good + bad, EDGES)
+    seeds = spark.createDataFrame([(3, 3, 0.0), (3, 2, -90.0), (3, 1, None), (None, 1, 0.0), (3, None, 0.0), (3, 1, float("nan"))], "dest long, node long, walk double")
+    b = {r.node: r.total for r in transit.best_by_node(transit.commute_matrix(edges, seeds)).collect()}
+    assert b == {1: 14.0, 2: 9.0, 3: 0.0}
+    n = {}
+    for r in transit.graph_rejects(edges, seeds).collect():
+        n[r.input, r.reason] = n.get((r.input, r.reason), 0) + 1
+    assert n == {("edge", "no minutes"): 3, ("edge", "negative minutes"): 2, ("edge", "ride without line"): 2, ("edge", "no station"): 1, ("edge", "unknown kind"): 2, ("edge", "no wait"): 1, ("seed", "negative walk"): 1, ("seed", "no walk"): 2, ("seed", "no destination"): 1, ("seed", "no station"): 1}
+    with pytest.raises(ValueError, match=r"edge: negative minutes \(2\)"):
+        transit.require_graph(edges, seeds)
+    with pytest.raises(ValueError, match="no edges; no seeds"):
+        transit.require_graph(edges.limit(0), seeds.limit(0))
+    transit.require_graph(spark.createDataFrame(good, EDGES), seeds.limit(1))
+
+
+def test_rounds_write_only_what_got_better(spark, tmp_path, monkeypatch):
+    """A long line: every round betters one state, whatever is known by then."""
+    edges = spark.createDataFrame([(i + 1, i, 1, "ride", 1.0, 2.0, 2) for i in range(12)], EDGES)
+    monkeypatch.setattr(transit, "shared_folder", lambda spark: f"file://{tmp_path}")
+    m = transit.commute_matrix(edges, spark.createDataFrame([(0, 0, 0.0)], "dest long, node long, walk double"))
+    rows = [spark.read.parquet(str(p)).count() for p in tmp_path.glob("commute-*/*")]
+    assert m.count() == 13 and sorted(rows) == [0, *[1] * 13]
 
 
 def test_timetable_statistics(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from wardwise import config
 from wardwise.functions.geo import haversine_m, walk_minutes
 from wardwise.functions.numbers import clamp
 from wardwise.functions.times import period as period_of
-from wardwise.sources.shared import materialized
+from wardwise.sources.shared import materialized, shared_folder
 
 from .spatial import near, self_pairs
 
@@ -79,54 +81,156 @@ def access_seeds(points: DataFrame, stations: DataFrame) -> DataFrame:
     return near(points, stations.select(F.col("id").alias("node"), "lon", "lat"), config.MAX_WALK_M).select(F.col("anchor_id").alias("dest"), "node", walk_minutes(F.col("dist_m")).alias("walk"))
 
 
+def edge_fault() -> Column:
+    """Why an edge cannot be travelled, null if it can; for edges as from ``in_period``."""
+    ride = F.col("kind") == "ride"
+    return (
+        F.when(F.col("from_id").isNull() | F.col("to_id").isNull(), "no station")
+        .when(~F.coalesce(F.col("kind").isin("ride", "transfer"), F.lit(False)), "unknown kind")
+        .when(ride & F.coalesce(F.col("line") == NO_LINE, F.lit(True)), "ride without line")
+        .when(_not_a_time(F.col("minutes")), "no minutes")
+        .when(F.col("minutes") < 0, "negative minutes")
+        .when(ride & (_not_a_time(F.col("wait")) | (F.col("wait") < 0)), "no wait")
+    )
+
+
+def seed_fault() -> Column:
+    """Why a seed (dest, node, walk) cannot be started from, null if it can."""
+    walk = F.col("walk")
+    return F.when(F.col("dest").isNull(), "no destination").when(F.col("node").isNull(), "no station").when(_not_a_time(walk), "no walk").when(walk < 0, "negative walk")
+
+
+def _not_a_time(minutes: Column) -> Column:
+    return minutes.isNull() | F.isnan(minutes) | (F.abs(minutes) == float("inf"))
+
+
+def graph_rejects(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges and seeds that no search takes, each with the reason: input, a (from, destination), b (to, node), reason."""
+    bad = edges.select(F.lit("edge").alias("input"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), edge_fault().alias("reason"))
+    return bad.unionByName(seeds.select(F.lit("seed").alias("input"), F.col("dest").alias("a"), F.col("node").alias("b"), seed_fault().alias("reason"))).where("reason is not null")
+
+
+def require_graph(edges: DataFrame, seeds: DataFrame) -> None:
+    """An error that says how many edges and seeds have which fault, or that there is nothing to search."""
+    found = [f"{r.input}: {r.reason} ({r.n})" for r in graph_rejects(edges, seeds).groupBy("input", "reason").agg(F.count("*").alias("n")).orderBy("input", "reason").collect()]
+    found += [f"no {what}" for what, df, fault in (("edges", edges, edge_fault()), ("seeds", seeds, seed_fault())) if not df.where(fault.isNull()).limit(1).count()]
+    if found:
+        raise ValueError("no commutes from this graph, " + "; ".join(found))
+
+
+STATE = ["dest", "node", "line"]
+_POINTER = "next_node long, next_line long, way_line long, kind string, minutes double, board double, way_confidence int"
+_ORDER = ["total", "transfers", "hops", "next_node", "next_line", "way_line", "kind"]
+
+
 def commute_matrix(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Best way from every reachable state (node, line) to each destination.
 
-    edges: as from ``in_period``; seeds: dest, node, walk. All destinations are
-    relaxed together, backwards: a state that got better offers itself to the
-    edges that end at its node. Riding on costs the minutes; boarding a line also
+    edges: as from ``in_period``; seeds: dest, node, walk. Faulty ones (``graph_rejects``) are
+    left out before the search begins, so no time is null and none makes a way shorter.
+    All destinations are relaxed together, backwards: a state that got better offers itself to
+    the edges that end at its node. Riding on costs the minutes; boarding a line also
     its wait; changing lines the penalty too; a transfer edge has the penalty and
-    leaves the line. Equal times are settled by transfers, then by the node and
-    line gone to. The edges and every round are written once, as later rounds read them
-    again; whether a round found anything better is counted while it is written.
+    leaves the line. Equal times are settled by transfers, then hops, then by the node and
+    line gone to; each hop makes a way longer by this order, so there are no circles.
+
+    A state has no path, only where it goes on to (``next_node``, ``next_line``, by ``way_line``);
+    see ``paths`` and ``with_legs``. A round writes the states that got better and nothing else;
+    these are the next round's offers. What is known of a state is looked up in the rounds before.
     """
-    ways = edges.select(F.col("from_id").alias("e_from"), F.col("to_id").alias("node"), F.col("line").alias("e_line"), "kind", "minutes", "wait", F.col("confidence").alias("e_confidence"))
-    e = materialized(ways, "ways")
-    first = seeds.where("walk >= 0").groupBy("dest", "node").agg(F.min("walk").alias("total"))
-    none = F.lit(0.0)
-    state = ["total", "transfers", "rail", "waits", "walk", "confidence", "path"]
-    path = "array<struct<node:long,line:long,kind:string>>"
-    best = materialized(
-        first.select("dest", "node", F.lit(NO_LINE).cast("long").alias("line"), "total", F.lit(0).alias("transfers"), none.alias("rail"), none.alias("waits"), F.col("total").alias("walk"), F.lit(2).alias("confidence"), F.array().cast(path).alias("path"), F.lit(True).alias("new")),
-        "commute",
-    )
+    ways = edges.where(edge_fault().isNull()).select("from_id", F.col("to_id").alias("node"), F.col("line").alias("e_line"), "kind", "minutes", "wait", "confidence")
+    ways = materialized(ways.withColumnsRenamed({"kind": "e_kind", "minutes": "e_minutes"}), "ways")
+    first = seeds.where(seed_fault().isNull()).groupBy("dest", "node").agg(F.min("walk").cast("double").alias("total"))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in _POINTER.split(", "))]
+    folder = f"{shared_folder(edges.sparkSession)}/commute-{uuid.uuid4().hex}"
+    better = materialized(first.select("dest", "node", F.lit(NO_LINE).cast("long").alias("line"), "total", F.lit(0).alias("transfers"), F.lit(0).alias("hops"), *blank), "commute", f"{folder}/0")
+    rounds = [better]
+    offered, order = _offer(), F.struct(*_ORDER)
+    is_better = F.col("known").isNull() | (order < F.col("known"))
     while True:
-        j = best.where("new").join(e, "node")
-        ride = F.col("kind") == "ride"
-        same = ride & (F.col("line") == F.col("e_line"))
-        change = F.when(~ride | (~same & (F.col("line") != NO_LINE)), F.lit(1)).otherwise(F.lit(0))
-        board = F.when(ride & ~same, F.col("wait")).otherwise(none)
-        offers = j.select(
-            "dest",
-            F.col("e_from").alias("node"),
-            F.when(ride, F.col("e_line")).otherwise(F.lit(NO_LINE)).cast("long").alias("line"),
-            (F.col("total") + F.col("minutes") + board + change * F.lit(config.TRANSFER_PENALTY_MIN)).alias("total"),
-            (F.col("transfers") + change).alias("transfers"),
-            (F.col("rail") + F.col("minutes")).alias("rail"),
-            (F.col("waits") + board).alias("waits"),
-            "walk",
-            F.least("confidence", "e_confidence").alias("confidence"),
-            F.concat(F.array(F.struct(F.col("node").cast("long").alias("node"), F.col("e_line").cast("long").alias("line"), "kind")), F.col("path")).cast(path).alias("path"),
-            F.lit(True).alias("new"),
-        )
-        every = best.withColumn("new", F.lit(False)).unionByName(offers)
-        # Of ways that are equal in all of that the old one stays, so only better ones are new.
-        order = F.struct(F.col("total"), F.col("transfers"), F.get("path", F.lit(0))["node"], F.get("path", F.lit(0))["line"], F.col("new"))
-        seen = Observation("round")
-        kept = every.groupBy("dest", "node", "line").agg(F.min_by(F.struct(*state, "new"), order).alias("s")).select("dest", "node", "line", "s.*")
-        best = materialized(kept.observe(seen, F.count_if("new").alias("better")), "commute")
-        if not seen.get["better"]:
-            return best.drop("new")
+        offers = _best(better.join(ways, "node").select(*offered), better.columns)
+        known = _together(rounds, folder).select(*STATE, *_ORDER).join(offers.select(*STATE), STATE).groupBy(*STATE).agg(F.min(order).alias("known"))
+        seen = Observation()
+        improved = offers.join(known, STATE, "left").where(is_better).drop("known")
+        better = materialized(improved.observe(seen, F.count(F.lit(1)).alias("n")), "commute", f"{folder}/{len(rounds)}")
+        if not seen.get["n"]:
+            return materialized(_best(_together(rounds, folder), better.columns), "states")
+        rounds.append(better)
+
+
+def _offer() -> list[Column]:
+    """What a state (and an edge that ends at its node, as e_ columns) makes of the state that the edge comes from."""
+    ride = F.col("e_kind") == "ride"
+    same = ride & (F.col("line") == F.col("e_line"))
+    change = F.when(~ride | (~same & (F.col("line") != NO_LINE)), F.lit(1)).otherwise(F.lit(0))
+    board = F.when(ride & ~same, F.col("wait")).otherwise(F.lit(0.0))
+    return [
+        F.col("dest"),
+        F.col("from_id").alias("node"),
+        F.when(ride, F.col("e_line")).otherwise(F.lit(NO_LINE)).cast("long").alias("line"),
+        (F.col("total") + F.col("e_minutes") + board + change * F.lit(config.TRANSFER_PENALTY_MIN)).alias("total"),
+        (F.col("transfers") + change).alias("transfers"),
+        (F.col("hops") + 1).alias("hops"),
+        F.col("node").cast("long").alias("next_node"),
+        F.col("line").alias("next_line"),
+        F.col("e_line").cast("long").alias("way_line"),
+        F.col("e_kind").alias("kind"),
+        F.col("e_minutes").alias("minutes"),
+        board.alias("board"),
+        F.col("confidence").cast("int").alias("way_confidence"),
+    ]
+
+
+def _best(states: DataFrame, columns: list[str]) -> DataFrame:
+    """The best row of each state; of ways that are equal in all else the surest."""
+    rest = [c for c in columns if c not in STATE]
+    order = F.struct(*_ORDER, (-F.col("way_confidence")).alias("unsure"))
+    return states.groupBy(*STATE).agg(F.min_by(F.struct(*rest), order).alias("s")).select(*STATE, "s.*")
+
+
+def _together(rounds: list[DataFrame], folder: str) -> DataFrame:
+    """The written rounds as one scan."""
+    return rounds[0].sparkSession.read.schema(rounds[0].schema).parquet(*[f"{folder}/{k}" for k in range(len(rounds))])
+
+
+def jumps(matrix: DataFrame) -> list[DataFrame]:
+    """Where each state is after 1, 2, 4, ... hops (to_node, to_line; null: arrived), and what these hops add up to.
+
+    Each table is the one before joined with itself; the last has arrived everywhere.
+    """
+    arrived = F.col("next_node").isNull()
+    one = matrix.select(*STATE, F.col("next_node").alias("to_node"), F.col("next_line").alias("to_line"), F.coalesce("minutes", F.lit(0.0)).alias("rail"), F.coalesce("board", F.lit(0.0)).alias("waits"), F.when(arrived, F.col("total")).otherwise(F.lit(0.0)).alias("walk"), F.coalesce("way_confidence", F.lit(2)).alias("confidence"))
+    found = [materialized(one, "jumps")]
+    while found[-1].where("to_node is not null").limit(1).count():
+        a = found[-1]
+        b = a.toDF("dest", "to_node", "to_line", "far_node", "far_line", "rail2", "waits2", "walk2", "confidence2")
+        plus = lambda c: F.col(c) + F.coalesce(f"{c}2", F.lit(0.0))
+        both = a.join(b, ["dest", "to_node", "to_line"], "left")
+        found.append(materialized(both.select(*STATE, F.col("far_node").alias("to_node"), F.col("far_line").alias("to_line"), plus("rail").alias("rail"), plus("waits").alias("waits"), plus("walk").alias("walk"), F.least("confidence", F.coalesce("confidence2", F.lit(2))).alias("confidence")), "jumps"))
+    return found
+
+
+def with_legs(matrix: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
+    """The matrix with each way's parts: minutes of rides, of waits and of the walk at its end, and its least confidence."""
+    last = (tables or jumps(matrix))[-1]
+    return matrix.join(last.select(*STATE, "rail", "waits", "walk", "confidence"), STATE)
+
+
+def paths(matrix: DataFrame, chosen: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
+    """Ways of the chosen states (dest, node, line; others are not read) hop by hop: path is an array of the node gone to,
+    the line and the kind, empty at a destination.
+
+    A hop's place in a way is a sum of powers of two, so places are filled from the widest jump down.
+    """
+    tables = tables or jumps(matrix)
+    at = chosen.select(*STATE).distinct().withColumnsRenamed({"node": "start_node", "line": "start_line"}).withColumn("pos", F.lit(0)).withColumn("node", F.col("start_node")).withColumn("line", F.col("start_line"))
+    for k in reversed(range(len(tables))):
+        further = at.join(tables[k].where("to_node is not null").select(*STATE, "to_node", "to_line"), STATE)
+        at = at.unionByName(further.select("dest", "start_node", "start_line", (F.col("pos") + (1 << k)).alias("pos"), F.col("to_node").alias("node"), F.col("to_line").alias("line")))
+    hop = F.struct("pos", F.col("next_node").alias("node"), F.col("way_line").alias("line"), "kind")
+    hops = at.join(matrix.select(*STATE, "next_node", "way_line", "kind"), STATE)
+    listed = hops.groupBy("dest", "start_node", "start_line").agg(F.array_sort(F.collect_list(F.when(F.col("next_node").isNotNull(), hop))).alias("hops"))
+    return listed.select("dest", F.col("start_node").alias("node"), F.col("start_line").alias("line"), F.transform("hops", lambda h: F.struct(h["node"].alias("node"), h["line"].alias("line"), h["kind"].alias("kind"))).alias("path"))
 
 
 def best_by_node(matrix: DataFrame) -> DataFrame:
@@ -139,21 +243,22 @@ def locality_commutes(samples: DataFrame, nodes: DataFrame, points: DataFrame |
     """Commute of localities to destinations. samples: locality, sample, lon, lat, station, walk_min (a row a station);
     nodes: dest, node, total; points: dest, plon, plat of destinations that are points.
 
-    A sample takes its best station, or walks where that is not slower; a locality
-    takes its middle sample and the quartiles as its range.
+    A sample takes its best station (of equally good ones the smallest), or walks where that is not slower; a locality
+    takes its middle sample, with the station if it has one, and the quartiles as its range.
     """
-    transit = samples.join(nodes.select("dest", F.col("node").alias("station"), "total"), "station").groupBy("locality", "sample", "dest").agg(F.min(F.col("total") + F.col("walk_min")).alias("transit"))
+    way = F.struct((F.col("total") + F.col("walk_min")).alias("transit"), "station")
+    transit = samples.join(nodes.select("dest", F.col("node").alias("station"), "total"), "station").groupBy("locality", "sample", "dest").agg(F.min(way).alias("w")).select("locality", "sample", "dest", "w.*")
     if points is None:
         each = transit.withColumn("minutes", F.col("transit")).withColumn("mode", F.lit("transit"))
     else:
         walks = samples.select("locality", "sample", "lon", "lat").distinct().crossJoin(F.broadcast(points)).select("locality", "sample", "dest", walk_minutes(haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).alias("walk"))
         each = transit.join(walks, ["locality", "sample", "dest"], "full")
         on_foot = F.col("walk").isNotNull() & (F.col("transit").isNull() | (F.col("walk") <= F.col("transit")))
-        each = each.withColumn("minutes", F.when(on_foot, F.col("walk")).otherwise(F.col("transit"))).withColumn("mode", F.when(on_foot, "walk").otherwise("transit"))
+        each = each.withColumn("minutes", F.when(on_foot, F.col("walk")).otherwise(F.col("transit"))).withColumn("mode", F.when(on_foot, "walk").otherwise("transit")).withColumn("station", F.when(~on_foot, F.col("station")))
     by = Window.partitionBy("locality", "dest")
     ranked = each.withColumn("r", F.row_number().over(by.orderBy("minutes", "sample"))).withColumn("n", F.count("*").over(by))
     middle = F.col("r") == F.floor(F.col("n") / 2) + 1
-    return ranked.groupBy("locality", "dest").agg(F.max(F.when(middle, F.col("minutes"))).alias("minutes"), F.max(F.when(middle, F.col("mode"))).alias("mode"), F.percentile("minutes", 0.25).alias("low"), F.percentile("minutes", 0.75).alias("high"))
+    return ranked.groupBy("locality", "dest").agg(F.max(F.when(middle, F.col("minutes"))).alias("minutes"), F.max(F.when(middle, F.col("mode"))).alias("mode"), F.max(F.when(middle, F.col("station"))).alias("station"), F.percentile("minutes", 0.25).alias("low"), F.percentile("minutes", 0.75).alias("high"))
 
 
 def line_names(edges: DataFrame, lines: DataFrame) -> DataFrame:

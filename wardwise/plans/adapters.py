@@ -78,6 +78,22 @@ def rail_edges(spark, d) -> DataFrame:
     return both.groupBy(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "line").agg(F.min("peak_minutes").alias("peak_minutes")).withColumn("offpeak_minutes", F.col("peak_minutes") + 1).withColumn("peak_wait", (F.col("line") % 4).cast("double")).withColumn("offpeak_wait", (F.col("line") % 5).cast("double")).withColumn("kind", F.lit("ride")).withColumn("confidence", F.when(F.col("line") >= 1000, 1).otherwise(2))
 
 
+def faulty_edges(spark, d) -> DataFrame:
+    """Edges of one period, some without what a search needs."""
+    e = rail_edges(spark, d)
+    k = (F.col("from_id") * 31 + F.col("to_id") * 17 + F.col("line")) % 23
+    minutes = F.when(k == 1, F.lit(None)).when(k == 2, -F.col("peak_minutes")).when(k == 3, F.lit(float("nan"))).when(k == 4, F.lit(float("inf"))).otherwise(F.col("peak_minutes"))
+    kind = F.when(k == 5, "ferry").when(k.isin(6, 7), "transfer").otherwise("ride")
+    return e.withColumn("peak_minutes", minutes).withColumn("kind", kind).withColumn("line", F.when(k.isin(7, 8), F.lit(None)).otherwise(F.col("line"))).withColumn("to_id", F.when(k == 9, F.lit(None)).otherwise(F.col("to_id")))
+
+
+def faulty_seeds(spark, d) -> DataFrame:
+    """A seed for each station, some without what a search needs."""
+    k = F.col("id") % 13
+    walk = F.when(k == 1, F.lit(-1.0)).when(k == 2, F.lit(None)).when(k == 3, F.lit(float("nan"))).otherwise(F.lit(2.0))
+    return stations(spark, d).select(F.when(k != 4, F.col("id")).alias("dest"), F.when(k != 5, F.col("id")).alias("node"), walk.alias("walk"))
+
+
 def stop_times(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     day = F.date_format("ts", "yyyyMMdd")
@@ -129,3 +145,23 @@ def requests(spark) -> DataFrame:
 
 def preferences(spark) -> DataFrame:
     return spark.createDataFrame([(r, a, i) for r, *_, p in REQUESTS for a, i in p.items()], "request_id long, axis string, importance string")
+
+
+#: Requests that break a rule: request_id, destination, point (lat, lon), max_commute, budget, layout, preferences, arrival.
+FAULTY_REQUESTS = [
+    (101, 0, (35.6, 139.7), 45.0, 200000.0, "1K", {"health": "low"}, "08:30"),
+    (102, 0, None, 45.0, 200000.0, "1K", {}, "08:30"),
+    (103, 25, None, 45.0, 200000.0, "1K", {"nothing": "low"}, "08:30"),
+    (104, 25, None, 45.0, 0.0, "1K", {"health": "low"}, "08:30"),
+    (105, 50, None, None, 200000.0, "1K", {"health": "low"}, "08:30"),
+    (106, 50, None, 45.0, 200000.0, "1K", {"health": "low"}, "25:00"),
+    (107, 75, None, 45.0, 200000.0, "9K", {"health": "low"}, "08:30"),
+    (108, None, None, 45.0, 200000.0, "1K", {"health": "low"}, "08:30"),
+]
+
+
+def raw_requests(spark) -> DataFrame:
+    """Requests as they come in, some of them faulty."""
+    rows = [(r, dest, None, float(c), float(b), lay, p, "08:30") for r, dest, c, b, lay, p in REQUESTS] + FAULTY_REQUESTS
+    flat = [(r, dest, *(point or (None, None)), c, b, lay, p, t) for r, dest, point, c, b, lay, p, t in rows]
+    return spark.createDataFrame(flat, "request_id long, destination_id long, destination_lat double, destination_lon double, max_commute double, budget double, layout string, preferences map<string,string>, arrival_time string")

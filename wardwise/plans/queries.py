@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardwise import config
 from wardwise.functions import numbers, text, times
-from wardwise.operators import graph, metrics, quality, rent, scoring, search, spatial, tables, transit
+from wardwise.operators import cards, graph, metrics, quality, rent, scoring, search, spatial, tables, transit
 
 from wardwise.sources.shared import materialized
 
@@ -228,8 +228,8 @@ def _samples(s, d):
     return A.localities(s, d).join(k, ["locality", "sample"])
 
 
-def _commutes(s, d):
-    return transit.locality_commutes(_samples(s, d), transit.best_by_node(_matrix(s, d)))
+def _commutes(s, d, matrix=None):
+    return transit.locality_commutes(_samples(s, d), transit.best_by_node(_matrix(s, d) if matrix is None else matrix))
 
 
 def locality_commute(s, d):
@@ -264,7 +264,7 @@ def locality_scores(s, d):
     return _round(_locality_axes(s, d), "score")
 
 
-def _candidates(s, d):
+def _candidates(s, d, matrix=None):
     homes = two_level_median(s, d)
     wards = ward_land_median(s, d).select(F.col("ward").alias("locality"), F.col("median_price").alias("ward_price"))
     j = A.table(s, d, "nation").select(F.col("n_nationkey").alias("locality")).join(homes, "locality", "left").join(wards, "locality", "left")
@@ -273,7 +273,7 @@ def _candidates(s, d):
     choice = rent.rent_choice(A.rent_stats(s, d), YEAR).withColumnRenamed("ward", "locality")
     rents = rent.estimates(j.join(choice, "locality"), YEAR).select("locality", "layout", F.col("median_yen").alias("rent"))
     every = A.requests(s).join(rents, "layout")
-    c = every.join(_commutes(s, d).select("locality", "dest", F.col("minutes").alias("commute")), ["locality", "dest"], "left")
+    c = every.join(_commutes(s, d, matrix).select("locality", "dest", F.col("minutes").alias("commute"), "station"), ["locality", "dest"], "left")
     return c.withColumn("reason", scoring.exclusion(F.col("commute"), F.col("max_commute"), F.col("rent"), F.col("budget")))
 
 
@@ -530,12 +530,71 @@ def unusable_candidates(s, d):
 
 def commute_legs(s, d):
     """Whole minutes of the parts of every best commute; they add up to the whole."""
-    b = transit.best_by_node(_matrix(s, d))
+    b = transit.best_by_node(transit.with_legs(_matrix(s, d)))
     total = F.col("total") + config.ACCESS_WALK_MIN
     legs = transit.leg_roundings(total, F.lit(config.ACCESS_WALK_MIN), F.col("rail"), F.col("transfers") * F.lit(config.TRANSFER_PENALTY_MIN), F.col("walk"))
     return b.select("dest", "node", numbers.half_up(total).alias("total_min"), sum(legs.values(), F.lit(0)).cast("long").alias("sum_min"))
 
 
+def commute_parts(s, d):
+    """Minutes of rides, of waits and of changes of every best way, and its hops and least confidence."""
+    m = transit.with_legs(_matrix(s, d))
+    return _round(m.select("dest", "node", "line", F.col("hops").cast("long").alias("hops"), F.col("transfers").cast("long").alias("transfers"), "rail", "waits", F.col("confidence").cast("long").alias("confidence")), "rail", "waits")
+
+
+def graph_rejects(s, d):
+    """Edges and seeds that no search takes, by reason."""
+    edges = transit.in_period(A.faulty_edges(s, d), "peak")
+    return transit.graph_rejects(edges, A.faulty_seeds(s, d)).groupBy("input", "reason").agg(F.count("*").alias("n"))
+
+
+def faulty_graph_matrix(s, d):
+    """Commutes over what is left of a graph with faults."""
+    m = transit.commute_matrix(transit.in_period(A.faulty_edges(s, d), "peak"), A.faulty_seeds(s, d).where("dest % 20 = 0 or dest is null"))
+    return _round(m.select("dest", "node", "line", "total"), "total")
+
+
+def _line_names(s, d):
+    """Names of the lines; those from 1000 on have none."""
+    return A.rail_edges(s, d).select("line").distinct().where("line < 1000").withColumn("line_name", F.concat(F.lit("line "), F.col("line")))
+
+
+def _named(s, d, matrix, chosen):
+    """Ways of chosen states as named hops, from the first station on: dest, start, path."""
+    ways = transit.paths(matrix, chosen).select("dest", F.col("node").alias("start"), F.concat(F.array(F.struct(F.col("node"), F.lit(None).cast("long").alias("line"))), F.transform("path", lambda h: F.struct(h["node"].alias("node"), h["line"].alias("line")))).alias("path"))
+    return cards.named_paths(ways, ["dest", "start"], A.stations(s, d).select(F.col("id").alias("node"), F.col("name").alias("node_name")), _line_names(s, d))
+
+
+def commute_paths(s, d):
+    """The best way from every station to each destination, by the names of its stations and lines."""
+    m = _matrix(s, d)
+    best = transit.best_by_node(m)
+    p = _named(s, d, m, best)
+    return p.select("dest", F.col("start").alias("node"), F.array_join("path.node_name", " > ").alias("stations"), F.array_join(F.slice("path.line_name", F.lit(2), F.size("path")), " > ", "-").alias("lines"))
+
+
+def optimize_answers(s, d):
+    """The whole answer to every request: why it is refused, or its funnel, its shortlist with named ways, and the data's vintages."""
+    asked = scoring.valid_requests(A.raw_requests(s)).select("request_id", F.col("reason").alias("refused"))
+    edges = transit.in_period(A.rail_edges(s, d), "peak")
+    transit.require_graph(edges, A.stations(s, d).select(F.col("id").alias("dest"), F.col("id").alias("node"), F.lit(0.0).alias("walk")))
+    m = _matrix(s, d)
+    best = materialized(transit.best_by_node(m), "nodes")
+    c = materialized(_candidates(s, d, m).join(asked.where("refused is null").select("request_id"), "request_id"), "candidates")
+    feasible, f = _scored(s, d, c)
+    ranked = scoring.shortlist(feasible, f).join(c.select("request_id", "locality", "dest", "station"), ["request_id", "locality"])
+    ranked = materialized(ranked, "ranked")
+    starts = best.join(ranked.select("dest", F.col("station").alias("node")).distinct(), ["dest", "node"])
+    ways = _named(s, d, m, starts).select("dest", F.col("start").alias("station"), F.transform("path", lambda h: F.struct(h["node_name"].alias("station"), h["line_name"].alias("line"))).alias("path"))
+    hit = F.struct(F.col("rank"), "locality", F.round("overall", 6).alias("overall"), F.round("commute", 6).alias("commute"), "rent", "path")
+    lists = ranked.join(ways, ["dest", "station"], "left").groupBy("request_id").agg(F.to_json(F.array_sort(F.collect_list(hit))).alias("results"))
+    vintages = tables.latest(A.runs(s, d), "source", "started_at", F.col("status") == "success").select(F.struct("source", F.date_format("started_at", "yyyy-MM-dd").alias("imported")).alias("v"))
+    vintages = vintages.agg(F.to_json(F.array_sort(F.collect_list("v"))).alias("vintages"))  # a row for each source
+    n = scoring.diagnostics(c.select("request_id", "reason"))
+    out = asked.join(n, "request_id", "left").join(lists, "request_id", "left").crossJoin(F.broadcast(vintages))
+    return out.select("request_id", "refused", "considered", "feasible", F.when(F.col("refused").isNull(), F.coalesce("results", F.lit("[]"))).alias("results"), "vintages")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -549,5 +608,6 @@ QUERIES = {
         name_audit, reject_split, fallback_share, weekday_services, name_match_cascade, price_vintages, evidence_counts, nested_samples,
         nearby_stations, union_places, walk_seeds, slug_ids, roundings,
         station_search, shortlist_funnel, neutral_card, nearby_last_sample, graph_health, unusable_candidates, commute_legs,
+        commute_parts, graph_rejects, faulty_graph_matrix, commute_paths, optimize_answers,
     )
 }

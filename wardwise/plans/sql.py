@@ -74,6 +74,8 @@ VIEWS = {
     "edge": "SELECT a AS f, b AS t, line, min(m) AS m, CASE WHEN line % 4 > 0 THEN line % 4 ELSE 4 END::DOUBLE AS wait FROM (SELECT a, b, line, m FROM edge1 UNION ALL SELECT b, a, line, m FROM edge1) GROUP BY 1, 2, 3",
     "best": "SELECT dest, node, min(total) AS total FROM s GROUP BY 1, 2",
     "transit": "SELECT locality, sample, dest, min(total + ceil(dist_m * 1.3::DOUBLE / 80)) AS minutes FROM knn JOIN best ON node = station GROUP BY 1, 2, 3",
+    "via": "SELECT locality, sample, dest, station, total + ceil(dist_m * 1.3::DOUBLE / 80) AS minutes FROM knn JOIN best ON node = station QUALIFY row_number() OVER (PARTITION BY locality, sample, dest ORDER BY minutes, station) = 1",
+    "middle": "SELECT locality, dest, station FROM (SELECT *, row_number() OVER (PARTITION BY locality, dest ORDER BY minutes, sample) AS r, count(*) OVER (PARTITION BY locality, dest) AS n FROM via) WHERE r = n // 2 + 1",
     "commute": "SELECT locality, dest, max(minutes) FILTER (r = n // 2 + 1) AS minutes, quantile_cont(minutes, 0.25) AS low, quantile_cont(minutes, 0.75) AS high FROM (SELECT *, row_number() OVER (PARTITION BY locality, dest ORDER BY minutes, sample) AS r, count(*) OVER (PARTITION BY locality, dest) AS n FROM transit) GROUP BY 1, 2",
     "sample_counts": f"""SELECT locality, sample, count(*) FILTER (category = 'supermarket') + 0.5 * count(*) FILTER (category = 'grocery') + 0.25 * count(*) FILTER (category = 'convenience') AS supermarkets,
         count(*) FILTER (category IN ('restaurant', 'cafe')) AS restaurants, count(*) FILTER (category = 'convenience') AS konbini, count(DISTINCT CASE WHEN food THEN cuisine END) AS cuisine_variety, count(*) FILTER (food AND late) AS late_night, count(*) FILTER (category = 'health') AS health, count(*) FILTER (category = 'bar') AS bars
@@ -111,6 +113,18 @@ _MATRIX = """s(dest, node, line, total) USING KEY (dest, node, line) AS (
     UNION SELECT dest, node, line, min(total) FROM (
       SELECT s.dest, e.f AS node, e.line::BIGINT AS line, s.total + e.m + CASE WHEN s.line = e.line THEN 0 ELSE e.wait + CASE WHEN s.line = -1 THEN 0 ELSE 5 END END AS total FROM s JOIN edge e ON e.t = s.node) n
     WHERE NOT EXISTS (SELECT 1 FROM recurring.s r WHERE r.dest = n.dest AND r.node = n.node AND r.line = n.line AND r.total <= n.total) GROUP BY 1, 2, 3)"""
+#: States with time, changes and hops as one number; and where each goes on to.
+_LABELS = """lab(dest, node, line, label) USING KEY (dest, node, line) AS (
+    SELECT id, id, -1::BIGINT, 0::BIGINT FROM station WHERE id IN (0, 25, 50, 75)
+    UNION SELECT dest, node, line, min(label) FROM (
+      SELECT lab.dest, e.f AS node, e.line::BIGINT AS line, lab.label + ((e.m + CASE WHEN lab.line = e.line THEN 0 ELSE e.wait + CASE WHEN lab.line = -1 THEN 0 ELSE 5 END END) * 1000000 + CASE WHEN lab.line NOT IN (-1, e.line) THEN 1001 ELSE 1 END)::BIGINT AS label FROM lab JOIN edge e ON e.t = lab.node) n
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.lab r WHERE r.dest = n.dest AND r.node = n.node AND r.line = n.line AND r.label <= n.label) GROUP BY 1, 2, 3)"""
+VIEWS["onward"] = """SELECT * FROM (SELECT n.dest, n.node, n.line, e.t AS next_node, p.line AS next_line, e.m AS minutes, CASE WHEN p.line = e.line THEN 0 ELSE e.wait END AS board, CASE WHEN e.line >= 1000 THEN 1 ELSE 2 END AS sure, row_number() OVER (PARTITION BY n.dest, n.node, n.line ORDER BY e.t, p.line) AS r
+    FROM lab n JOIN edge e ON e.f = n.node AND e.line = n.line JOIN lab p ON p.dest = n.dest AND p.node = e.t AND n.label = p.label + ((e.m + CASE WHEN p.line = e.line THEN 0 ELSE e.wait + CASE WHEN p.line = -1 THEN 0 ELSE 5 END END) * 1000000 + CASE WHEN p.line NOT IN (-1, e.line) THEN 1001 ELSE 1 END)::BIGINT) WHERE r = 1"""
+VIEWS["bestlab"] = "SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY dest, node ORDER BY label // 1000, line) = 1"
+#: Every best way of a station, hop by hop: place 0 is the station itself.
+_WALK = """(WITH RECURSIVE walk AS (SELECT dest, node AS start, line AS start_line, 0 AS pos, node, line, NULL::BIGINT AS via FROM {chosen}
+    UNION ALL SELECT w.dest, w.start, w.start_line, w.pos + 1, o.next_node, o.next_line, w.line FROM walk w JOIN onward o ON o.dest = w.dest AND o.node = w.node AND o.line = w.line) SELECT w.*, st.name AS station_name, CASE WHEN via < 1000 THEN 'line ' || via ELSE via::VARCHAR END AS line_name FROM walk w LEFT JOIN station st ON st.id = w.node)"""
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIM = "coalesce(len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
 
@@ -119,6 +133,16 @@ def _sim(x: str, y: str) -> str:
     return _SIM.format(a=_GRAMS.format(x=x), b=_GRAMS.format(x=y))
 
 
+VIEWS["fedge"] = "SELECT f, t, line, m, CASE WHEN line % 4 > 0 THEN line % 4 ELSE 4 END::DOUBLE AS wait, (f * 31 + t * 17 + line) % 23 AS k FROM edge"
+_FAULTY = """fs(dest, node, line, total) USING KEY (dest, node, line) AS (
+    SELECT id, id, -1::BIGINT, 2::DOUBLE FROM station WHERE id % 20 = 0 AND id % 13 NOT IN (1, 2, 3, 4, 5)
+    UNION SELECT dest, node, line, min(total) FROM (
+      SELECT fs.dest, e.f AS node, CASE WHEN k IN (6, 7) THEN -1 ELSE e.line END::BIGINT AS line, fs.total + e.m + CASE WHEN k IN (6, 7) THEN 5 WHEN fs.line = e.line THEN 0 ELSE e.wait + CASE WHEN fs.line = -1 THEN 0 ELSE 5 END END AS total FROM fs JOIN fedge e ON e.t = fs.node WHERE k NOT IN (1, 2, 3, 4, 5, 8, 9)) n
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.fs r WHERE r.dest = n.dest AND r.node = n.node AND r.line = n.line AND r.total <= n.total) GROUP BY 1, 2, 3)"""
+_LOOPS = {"s": _MATRIX, "lab": _LABELS, "fs": _FAULTY}
+_REFUSED = {101: "destination", 102: "preferences", 103: "preferences", 104: "budget", 105: "max_commute", 106: "arrival_time", 107: "layout", 108: "destination"}
+
+
 def q(body: str) -> str:
     """The body after the views that it needs, in order."""
     import re
@@ -126,18 +150,18 @@ def q(body: str) -> str:
     need: list[str] = []
 
     def add(text: str) -> None:
-        for name in [*VIEWS, "s"]:
-            if name == "s":
-                if re.search(r"\bFROM s\b", text) and text is not _MATRIX and "s" not in need:
-                    add(_MATRIX)
-                    need.append("s")
+        for name in [*VIEWS, *_LOOPS]:
+            if name in _LOOPS:
+                if re.search(rf"(\bFROM|\bJOIN) {name}\b", text) and text is not _LOOPS[name] and name not in need:
+                    add(_LOOPS[name])
+                    need.append(name)
             elif re.search(rf"(\bFROM|\bJOIN|,)\s*{name}\b", text) and name not in need:
                 add(VIEWS[name])
                 need.append(name)
 
     add(body)
-    parts = [_MATRIX if n == "s" else f"{n} AS ({VIEWS[n]})" for n in need]
-    return (f"WITH {'RECURSIVE ' if 's' in need else ''}" + ",\n".join(parts) + "\n" if parts else "") + body
+    parts = [_LOOPS[n] if n in _LOOPS else f"{n} AS ({VIEWS[n]})" for n in need]
+    return (f"WITH {'RECURSIVE ' if set(_LOOPS) & set(need) else ''}" + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 _T = config.TARGETS
@@ -227,4 +251,15 @@ SQL = {
     "graph_health": q("SELECT stations, orphans, rides, round(orphans / stations, 6) AS share, rides > 0 AND round(orphans / stations, 6) <= 0.1 AS healthy FROM (SELECT (SELECT count(*) FROM station) AS stations, (SELECT count(*) FROM station WHERE id NOT IN (SELECT f FROM edge)) AS orphans, (SELECT count(*) FROM edge) AS rides)"),
     "unusable_candidates": q("SELECT CASE WHEN rent_per_sqm IS NULL THEN 'rent' WHEN w.median_price IS NULL THEN 'ward prices' WHEN t.median IS NULL THEN 'near prices' ELSE 'none' END AS lacks, count(*) AS n FROM nation LEFT JOIN two t ON t.locality = n_nationkey LEFT JOIN wland w ON w.ward = n_nationkey LEFT JOIN choice c ON c.ward = n_nationkey GROUP BY 1"),
     "commute_legs": q("SELECT dest, node, floor(total + 8 + 0.5)::BIGINT AS total_min, floor(total + 8 + 0.5)::BIGINT AS sum_min FROM best"),
+    "commute_parts": q("SELECT w.dest, start AS node, start_line AS line, max(pos)::BIGINT AS hops, (max(l.label) // 1000 % 1000)::BIGINT AS transfers, round(coalesce(sum(minutes), 0), 6) AS rail, round(coalesce(sum(board), 0), 6) AS waits, coalesce(min(sure), 2)::BIGINT AS confidence FROM " + _WALK.format(chosen="lab") + " w JOIN lab l ON l.dest = w.dest AND l.node = start AND l.line = start_line LEFT JOIN onward o ON o.dest = w.dest AND o.node = w.node AND o.line = w.line GROUP BY 1, 2, 3"),
+    "graph_rejects": q("""SELECT input, reason, count(*) AS n FROM (SELECT 'edge' AS input, CASE k WHEN 9 THEN 'no station' WHEN 5 THEN 'unknown kind' WHEN 8 THEN 'ride without line' WHEN 2 THEN 'negative minutes' WHEN 1 THEN 'no minutes' WHEN 3 THEN 'no minutes' WHEN 4 THEN 'no minutes' END AS reason FROM fedge
+      UNION ALL SELECT 'seed', CASE id % 13 WHEN 4 THEN 'no destination' WHEN 5 THEN 'no station' WHEN 2 THEN 'no walk' WHEN 3 THEN 'no walk' WHEN 1 THEN 'negative walk' END FROM station) WHERE reason IS NOT NULL GROUP BY 1, 2"""),
+    "faulty_graph_matrix": q("SELECT dest, node, line, round(total, 6) AS total FROM fs"),
+    "commute_paths": q("SELECT dest, start AS node, string_agg(station_name, ' > ' ORDER BY pos) AS stations, coalesce(string_agg(line_name, ' > ' ORDER BY pos) FILTER (pos > 0), '') AS lines FROM " + _WALK.format(chosen="bestlab") + " GROUP BY 1, 2"),
+    "optimize_answers": q("""SELECT a.request_id, refused, considered, feasible, CASE WHEN refused IS NULL THEN coalesce(results, '[]') END AS results, vintages
+      FROM (SELECT request_id, NULL::VARCHAR AS refused FROM request UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"({r}, '{w}')" for r, w in _REFUSED.items()) + """)) a LEFT JOIN diag d ON d.request_id = a.request_id
+      LEFT JOIN (SELECT s.request_id, '[' || string_agg('{"rank":' || rank || ',"locality":' || s.locality || ',"overall":' || round(overall, 6)::DOUBLE || ',"commute":' || round(s.commute, 6)::DOUBLE || ',"rent":' || s.rent || coalesce(',"path":' || path, '') || '}', ',' ORDER BY rank) || ']' AS results
+        FROM short s JOIN request r ON r.request_id = s.request_id JOIN middle m ON m.locality = s.locality AND m.dest = r.dest LEFT JOIN (
+          SELECT dest, start, '[' || string_agg('{"station":"' || station_name || '"' || coalesce(',"line":"' || line_name || '"', '') || '}', ',' ORDER BY pos) || ']' AS path FROM """ + _WALK.format(chosen="bestlab") + """ GROUP BY 1, 2) p ON p.dest = r.dest AND p.start = m.station GROUP BY 1) t ON t.request_id = a.request_id,
+      (SELECT '[' || string_agg('{"source":"' || source || '","imported":"' || strftime(started_at, '%Y-%m-%d') || '"}', ',' ORDER BY source) || ']' AS vintages FROM (SELECT source, max(started_at) AS started_at FROM run WHERE status = 'success' GROUP BY 1))"""),
 }

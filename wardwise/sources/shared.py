@@ -15,13 +15,19 @@ def _own_folder(application: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of its own only where that is unset, as in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    """``spark.checkpoint.dir`` of the session; one of its own only where that is unset, as in local tests.
 
+    On a cluster each machine would have a folder of its own, so there the setting must be there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or _own_folder(spark.sparkContext.applicationId)
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read again, so that loops keep short lineages."""
+
+def materialized(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows, written once to the shared folder (or to ``path`` in it) and read again, so that loops keep short lineages."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
