@@ -3,6 +3,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,13 +37,62 @@ def test_thin_regions_get_all_their_samples(spark):
     assert hit.count() == 18
 
 
+def inside(r, *boxes):
+    return any(x0 < r.lon < x1 and y0 < r.lat < y1 for x0, y0, x1, y1 in boxes)
+
+
 def test_samples_lie_in_homes_where_there_are_any(spark):
-    edges = spatial.ring_edges(spark.createDataFrame([(1, 0, box(0.0, 0.0, 1.0, 1.0)), (2, 0, box(2.0, 0.0, 3.0, 1.0))], RINGS))
-    homes = spatial.ring_edges(spark.createDataFrame([(7, 0, box(0.6, 0.1, 0.9, 0.8))], RINGS))
-    got = spatial.sample_homes(edges, homes).collect()
-    assert len(got) == 18
-    assert all(0.6 < r.lon < 0.9 and 0.1 < r.lat < 0.8 for r in got if r.region_id == 1)
-    assert any(not 2.6 < r.lon < 2.9 for r in got if r.region_id == 2)
+    regions = [(k, 0, box(2.0 * k, 0.0, 2.0 * k + 1, 1.0)) for k in range(7)]
+    at = {
+        0: [(0.6, 0.1, 0.9, 0.8)],
+        1: [],  # whole region
+        2: [(0.41, 0.37, 0.51, 0.47)],  # a hundredth
+        3: [(0.05, 0.05, 0.25, 0.25), (0.6, 0.5, 0.9, 0.9)],  # of two islands the larger
+        4: [(0.1, 0.1, 0.4, 0.4), (0.35, 0.3, 0.65, 0.6), (0.7, 0.62, 0.99, 0.99)],  # two that overlap are more than one larger
+        5: [(0.111, 0.111, 0.1113, 0.1112), (0.9, 0.9, 0.9003, 0.9004)],  # far from each other and smaller than a cell
+        6: [(0.9, -3.0, 4.0, 4.0)],  # mostly outside
+    }
+    homes = [(10 * k + i, 0, box(2.0 * k + b[0], b[1], 2.0 * k + b[2], b[3])) for k, boxes in at.items() for i, b in enumerate(boxes)]
+    edges, homes = (spatial.ring_edges(spark.createDataFrame(x, RINGS)) for x in (regions, homes))
+    got = {}
+    for r in spatial.sample_homes(edges, homes).collect():
+        got.setdefault(r.region_id, []).append(r)
+    want = {0: at[0], 1: [(0, 0, 1, 1)], 2: at[2], 3: at[3][1:], 4: at[4][:2], 5: at[5][1:], 6: [(0.9, 0.0, 1.0, 1.0)]}
+    assert set(got) == set(want)
+    for k, rows in got.items():
+        assert [r.sample for r in sorted(rows, key=lambda r: (r.lon, r.lat))] == list(range(1, 10)) and len({(r.lon, r.lat) for r in rows}) == 9
+        assert all(inside(r, *[(2.0 * k + x0, y0, 2.0 * k + x1, y1) for x0, y0, x1, y1 in want[k]]) for r in rows), k
+        assert {r.in_homes for r in rows} == {k != 1}
+    assert len({round(r.lat * 3) for r in got[1]}) > 2 and len({round(r.lon * 3) for r in got[1]}) > 2  # spread over it
+    none = spatial.sample_homes(edges, homes.limit(0)).collect()
+    assert len(none) == 63 and not any(r.in_homes for r in none)
+
+
+def test_largest_piece_of_a_mask():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.55, 0.7):
+        mask = rng.random((24, 24)) < share
+        seen, pieces = set(), []
+        for cell in zip(*np.nonzero(mask)):
+            if cell not in seen:
+                piece, stack = set(), [cell]
+                while stack:
+                    x, y = stack.pop()
+                    if (x, y) in piece or not (0 <= x < 24 and 0 <= y < 24 and mask[x, y]):
+                        continue
+                    piece.add((x, y))
+                    stack += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+                seen |= piece
+                pieces.append(piece)
+        assert set(zip(*np.nonzero(spatial.component_of(mask)))) == max(pieces, key=len)
+
+
+def test_thin_regions_have_samples_too(spark):
+    strip = [(139.0, 35.0), (139.00001, 35.0), (139.10001, 35.1), (139.1, 35.1)]
+    edges = spatial.ring_edges(spark.createDataFrame([(1, 0, strip)], RINGS))
+    out = spatial.sample_homes(edges, edges).cache()
+    assert out.count() == 9
+    assert spatial.contained(out.select(F.struct("region_id", "sample").alias("point_id"), "lon", "lat"), edges).count() == 9
 
 
 def test_largest_parts_dissolve_clip_and_probe(spark):

@@ -53,13 +53,13 @@ def test_registry_is_whole(spark):
 
 def test_locality_scores_come_from_the_shares_of_their_samples(spark):
     from wardwise import config
-    from wardwise.plans import adapters, queries
+    from wardwise.plans import queries
 
     edges = [r for r in queries._edges(spark, SF).collect()]
     lines = queries._grid_lines(spark, SF).collect()
     got = {r.axis: r.score for r in registry.QUERIES["locality_scores"](spark, SF).where("locality = 12").collect()}
     shares = {"residential": [], "exposure": [], "green": []}
-    for s in adapters.localities(spark, SF).where("locality = 12").collect():
+    for s in queries.sample_places(spark, SF).where("region_id = 12").collect():
         hits = dict.fromkeys(shares, 0)
         for i in range(1024):
             r, a = 800 * math.sqrt((i + 0.5) / 1024), i * 2.399963229728653

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardwise.functions.geo import cell, geo_dist_m, lat_step, lattice_offsets, lon_step, row_step
+from wardwise.sources.shared import materialized
 
 BAND = 0.01  # degrees of latitude of a band of polygon edges
 LINE_CELL = 0.005  # degrees of a cell of line segments
@@ -173,13 +176,125 @@ def sample_region(edges: DataFrame, n: int = 9, tries: int = 256) -> DataFrame:
     return _first_places(_candidates(edges, tries), edges, n)
 
 
-def sample_homes(edges: DataFrame, homes: DataFrame, n: int = 9, tries: int = 256) -> DataFrame:
-    """As ``sample_region``, but of the first points that lie in any of the homes' regions too; regions with fewer
-    than n such points take points of their whole area."""
-    wide = _candidates(edges, tries)
-    marked = wide.join(contained(wide, homes).select("point_id", F.lit(1).alias("home")).distinct(), "point_id", "left")
-    enough = F.count("home").over(Window.partitionBy("region_id")) >= n
-    return _first_places(marked.withColumn("enough", enough).where("not enough or home = 1"), edges, n)
+BOX = ["region_id", "in_homes", "box"]  # what a lattice is laid for
+
+
+def _boxes(edges: DataFrame, *by: str) -> DataFrame:
+    """Bounds of regions or parts: by, w, s, e, t."""
+    return edges.groupBy(*by).agg(F.min(F.least("x1", "x2")).alias("w"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("x1", "x2")).alias("e"), F.max(F.greatest("y1", "y2")).alias("t"))
+
+
+def _overlaps(own: DataFrame, homes: DataFrame) -> DataFrame:
+    """Where the bounds of regions and of homes' parts meet: region_id, home, w, s, e, t. A pair is met once, in the first cell that both have."""
+    size = 0.05
+
+    def cells(df: DataFrame) -> DataFrame:
+        return df.withColumn("gx", F.explode(F.sequence(cell(F.col("w"), size), cell(F.col("e"), size)))).withColumn("gy", F.explode(F.sequence(cell(F.col("s"), size), cell(F.col("t"), size))))
+
+    theirs = homes.select(F.struct("region_id", "part").alias("home"), *[F.col(c).alias(f"h{c}") for c in "wset"])
+    theirs = theirs.withColumn("gx", F.explode(F.sequence(cell(F.col("hw"), size), cell(F.col("he"), size)))).withColumn("gy", F.explode(F.sequence(cell(F.col("hs"), size), cell(F.col("ht"), size))))
+    met = cells(own).join(theirs, ["gx", "gy"])
+    out = met.select("region_id", "home", "gx", "gy", F.greatest("w", "hw").alias("w"), F.greatest("s", "hs").alias("s"), F.least("e", "he").alias("e"), F.least("t", "ht").alias("t")).where("w < e and s < t")
+    return out.where((F.col("gx") == cell(F.col("w"), size)) & (F.col("gy") == cell(F.col("s"), size))).drop("gx", "gy")
+
+
+def _lattice_of(boxes: DataFrame, side: int) -> DataFrame:
+    """Middles of side x side cells of each box (columns of ``BOX`` and w, s, e, t): gx, gy, lon, lat."""
+    c = boxes.withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    at = lambda a, b, g: F.col(a) + (F.col(b) - F.col(a)) * (F.col(g) + 0.5) / side
+    return c.select(*BOX, "gx", "gy", at("w", "e", "gx").alias("lon"), at("s", "t", "gy").alias("lat"))
+
+
+def _odd(cells: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with an odd number of edges to their right, of the edges with the same keys."""
+    bands = edges.withColumn("band", F.explode(F.sequence(cell(F.least("y1", "y2"), BAND), cell(F.greatest("y1", "y2"), BAND))))
+    crosses = ((F.col("y1") <= F.col("lat")) != (F.col("y2") <= F.col("lat"))) & (F.col("lon") < F.col("x1") + (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    met = cells.withColumn("band", cell(F.col("lat"), BAND)).join(bands, [*keys, "band"]).where(crosses)
+    by = [*cells.columns, *(["part"] if "part" in edges.columns else [])]
+    return met.groupBy(*by).agg((F.count("*") % 2 == 1).alias("odd")).where("odd").select(*cells.columns).distinct()
+
+
+def _met(cells: DataFrame, edges: DataFrame, parts: DataFrame, homes: DataFrame) -> DataFrame:
+    """Cells whose middle lies in their own region and, where ``in_homes``, in any of the homes' parts that it shares bounds with."""
+    own = _odd(cells, edges.select("region_id", "part", "x1", "y1", "x2", "y2"), ["region_id"])
+    near = parts.select("region_id", "home", *[F.col(c).alias(f"h{c}") for c in "wset"])
+    both = own.where("in_homes").join(near, "region_id").where(F.col("lon").between(F.col("hw"), F.col("he")) & F.col("lat").between(F.col("hs"), F.col("ht"))).select(*cells.columns, "home")
+    theirs = homes.select(F.struct("region_id", "part").alias("home"), "x1", "y1", "x2", "y2")
+    return own.where("not in_homes").unionByName(_odd(both, theirs, ["home"]).select(*cells.columns).distinct())
+
+
+def component_of(mask: np.ndarray) -> np.ndarray:
+    """The cells of the largest piece of a mask, joined by their sides; of equal ones that of the first cell."""
+    n = mask.size
+    label = np.where(mask, np.arange(n).reshape(mask.shape), n)
+    while True:
+        low = label.copy()
+        for a, b in ((np.s_[1:], np.s_[:-1]), (np.s_[:-1], np.s_[1:])):
+            low[a] = np.minimum(low[a], label[b])
+            low[:, a] = np.minimum(low[:, a], label[:, b])
+        low = np.append(low.ravel(), n)
+        low = np.where(mask, low[low[:-1]].reshape(mask.shape), n)  # its label's own label
+        if (low == label).all():
+            return label == np.bincount(label[mask]).argmax()
+        label = low
+
+
+def largest_components(cells: DataFrame, side: int) -> DataFrame:
+    """Of each box's cells those of the largest piece. A box has side x side cells at most."""
+    kind = cells.schema["region_id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        mask = np.zeros((side, side), bool)
+        x, y = t["gx"].to_numpy(), t["gy"].to_numpy()
+        mask[x, y] = True
+        return t.filter(pa.array(component_of(mask)[x, y]))
+
+    return cells.select(*BOX, "gx", "gy", "lon", "lat").groupBy(*BOX).applyInArrow(run, f"region_id {kind}, in_homes boolean, box long, gx int, gy int, lon double, lat double")
+
+
+def _around(pieces: DataFrame, boxes: DataFrame, side: int) -> DataFrame:
+    """Bounds of the pieces of cells with a cell more on each side, inside their boxes, and the number of cells."""
+    b = pieces.groupBy(*BOX).agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"), F.count("*").alias("k")).join(boxes, BOX)
+    at = lambda a, z, g: F.col(a) + (F.col(z) - F.col(a)) * g / side
+    low, high = (lambda g: F.greatest(F.lit(0), F.col(g) - 1)), (lambda g: F.least(F.lit(side), F.col(g) + 2))
+    size = (F.col("k") * (F.col("e") - F.col("w")) * (F.col("t") - F.col("s"))).alias("size")
+    return b.select(*BOX, at("w", "e", low("x0")).alias("w"), at("s", "t", low("y0")).alias("s"), at("w", "e", high("x1")).alias("e"), at("s", "t", high("y1")).alias("t"), size)
+
+
+def _z_order(bits: int) -> Column:
+    """Place of a cell on a curve that keeps near cells together."""
+    return sum((F.shiftleft(F.shiftright("gx", b).bitwiseAND(1), 2 * b) + F.shiftleft(F.shiftright("gy", b).bitwiseAND(1), 2 * b + 1) for b in range(bits)), F.lit(0))
+
+
+def sample_homes(edges: DataFrame, homes: DataFrame, n: int = 9, side: int = 32) -> DataFrame:
+    """n points of each region in the largest piece of what it and any of the homes' regions share, or of the region
+    itself where they share nothing: region_id, sample (numbered by place), lon, lat, in_homes.
+
+    A lattice over the shared bounds (where no cell of it is met, over each single shared part) gives the pieces, and a
+    second lattice, over the bounds of the largest piece only, its cells. These are put in an order that keeps near cells
+    together, and the middles of n equal stretches of it are the points. Pieces too thin for n cells of a lattice, or
+    homes that no lattice meets, take the middles of n levels of the region.
+    """
+    edges, homes = materialized(edges, "edges"), materialized(homes, "homes")
+    own, zero = _boxes(edges, "region_id"), F.lit(0).cast("long").alias("box")
+    parts = materialized(_overlaps(own, _boxes(homes, "region_id", "part")), "shared_bounds")
+    shared = parts.groupBy("region_id").agg(F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("t").alias("t"))
+    corners = ["w", "s", "e", "t"]
+    boxes = shared.select("region_id", F.lit(True).alias("in_homes"), zero, *corners).unionByName(own.select("region_id", F.lit(False).alias("in_homes"), zero, *corners))
+    found = materialized(_around(largest_components(_met(_lattice_of(boxes, side), edges, parts, homes), side), boxes, side), "pieces")
+    missed = parts.join(found.where("in_homes").select("region_id"), "region_id", "left_anti").select("region_id", F.lit(True).alias("in_homes"), F.xxhash64("home").alias("box"), *corners)
+    if missed.limit(1).count():
+        found = found.unionByName(_around(largest_components(_met(_lattice_of(missed, side), edges, parts, homes), side), missed, side))
+    # Homes before the whole region, and the largest of single parts.
+    chosen = found.groupBy("region_id").agg(F.max_by(F.struct("in_homes", "box", *corners), F.struct("in_homes", "size", "box")).alias("b")).select("region_id", "b.*")
+    chosen = materialized(chosen, "boxes")
+    cells = largest_components(_met(_lattice_of(chosen, side), edges, parts, homes), side)
+    by = Window.partitionBy("region_id")
+    cells = cells.withColumn("m", F.count("*").over(by)).withColumn("r", F.row_number().over(by.orderBy(_z_order(side.bit_length() - 1))) - 1)
+    picked = cells.where(F.col("m") >= n).where(F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor((2 * k + 1) * F.col("m") / (2 * n)) == F.col("r")))
+    points = materialized(picked.select("region_id", "lon", "lat", "in_homes"), "places")
+    thin = _places_on_levels(edges.join(points.select("region_id").distinct(), "region_id", "left_anti"), n).select("region_id", "lon", "lat", F.lit(False).alias("in_homes"))
+    return points.unionByName(thin).select("region_id", F.row_number().over(by.orderBy("lon", "lat")).alias("sample"), "lon", "lat", "in_homes")
 
 
 def largest_parts(rings: DataFrame) -> DataFrame:

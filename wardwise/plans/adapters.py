@@ -49,6 +49,24 @@ def ward_rings(spark, d) -> DataFrame:
     return table(spark, d, "nation").select(k.alias("region_id"), F.lit(0).alias("part"), F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("ring"))
 
 
+#: Homes of wards by the ward's number modulo 8: island and corners, as distances from the ward's corner in degrees.
+HOMES = {
+    0: [("a", 0.025, 0.02, 0.071, 0.061), ("b", 0.004, 0.004, 0.012, 0.01)],
+    2: [("a", 0.031, 0.0271, 0.0382, 0.0335)],  # a hundredth of the ward
+    4: [("a", 0.0101, 0.0103, 0.0302, 0.0304), ("a", 0.0253, 0.0202, 0.0454, 0.0403), ("b", 0.0501, 0.0301, 0.0702, 0.0553)],
+    6: [("a", 0.0103, 0.0107, 0.0203, 0.0209), ("b", 0.0511, 0.0411, 0.0631, 0.0522)],
+}
+
+
+def home_rings(spark, d) -> DataFrame:
+    """Residential squares of every second ward, one to three."""
+    k = F.col("n_nationkey")
+    x0, y0 = F.lit(139.56) + F.lit(0.072) * (k % 5), F.lit(35.50) + F.lit(0.064) * F.floor(k / 5)
+    corner = lambda x, y: F.struct((x0 + F.lit(x)).alias("lon"), (y0 + F.lit(y)).alias("lat"))
+    every = [F.when(k % 8 == m, F.struct(F.lit(i).alias("part"), F.array(corner(a, b), corner(c, b), corner(c, e), corner(a, e)).alias("ring"))) for m, boxes in HOMES.items() for i, (_, a, b, c, e) in enumerate(boxes)]
+    return table(spark, d, "nation").select(k.alias("region_id"), F.explode(F.array(*every)).alias("h")).where("h is not null").select("region_id", "h.*")
+
+
 def land_prices(spark, d) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ward"))
     k = F.col("o_orderkey")

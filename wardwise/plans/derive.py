@@ -182,13 +182,7 @@ def largest_parts(s, d):
 
 
 def sample_points(s, d):
-    """Nine points of every locality, in its homes where it has any."""
-    rings = A.ward_rings(s, d)
-    corner = lambda p, x, y: F.struct((p["lon"] + x).alias("lon"), (p["lat"] + y).alias("lat"))
-    p = F.col("ring")[0]
-    homes = rings.where("region_id % 2 = 0").withColumn("ring", F.array(corner(p, F.lit(0.025), F.lit(0.02)), corner(p, F.lit(0.071), F.lit(0.02)), corner(p, F.lit(0.071), F.lit(0.061)), corner(p, F.lit(0.025), F.lit(0.061))))
-    out = spatial.sample_homes(spatial.ring_edges(spatial.largest_parts(rings)), spatial.ring_edges(homes))
-    return Q._round(out.withColumn("sample", F.col("sample").cast("long")), "lon", "lat")
+    return Q._round(Q.sample_places(s, d).withColumn("sample", F.col("sample").cast("long")), "lon", "lat")
 
 
 def topology_edges(s, d):

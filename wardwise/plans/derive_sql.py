@@ -7,7 +7,6 @@ from wardwise import config
 from .derive import PROBE
 from .sql import _dist, q
 
-_RADICAL = "list_sum(list_transform(range(13), lambda k: (floor(i / pow({b}, k)) % {b}) / pow({b}, k + 1)))"
 _MODES = "[" + ", ".join(f"'{m}'" for m in config.MODES) + "]"
 _S, _W, _N, _E = PROBE
 _known = ", ".join(f"('{k}', '{v}')" for k, v in config.WARD_NAMES.items())
@@ -51,9 +50,7 @@ SQL = {
     "clipped_regions": q("SELECT n_regionkey AS region_id, count(*) AS n FROM poi JOIN box ON lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1 JOIN nation ON n_nationkey = region_id WHERE lon < 139.70005::DOUBLE + 0.03::DOUBLE * n_regionkey GROUP BY 1"),
     "lines_from_regions": q(f"SELECT id AS line_id, unnest([1::BIGINT, 2::BIGINT]) AS seq FROM station WHERE (lat BETWEEN {_S} AND {_N} AND lon BETWEEN {_W} AND {_E}) OR EXISTS (SELECT 1 FROM box WHERE region_id % 3 = 0 AND lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1)"),
     "largest_parts": q("SELECT ward AS region_id, id AS part, 2 - id % 2 AS rings FROM station QUALIFY row_number() OVER (PARTITION BY ward ORDER BY round(pow(0.001::DOUBLE * (id % 5 + 1), 2) - CASE WHEN id % 2 = 0 THEN 0.00000025::DOUBLE ELSE 0 END, 12) DESC, id) = 1"),
-    "sample_points": q(f"""SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY x, y) AS sample, round(x, 6) AS lon, round(y, 6) AS lat FROM (
-      SELECT * FROM (SELECT region_id, i, x0, y0, x0 + (x1 - x0) * {_RADICAL.format(b=2)} AS x, y0 + (y1 - y0) * {_RADICAL.format(b=3)} AS y FROM box, range(1, 257) AS r(i))
-      WHERE region_id % 2 = 1 OR (x BETWEEN x0 + 0.025 AND x0 + 0.071 AND y BETWEEN y0 + 0.02 AND y0 + 0.061) QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY i) <= 9)"""),
+    "sample_points": q("SELECT region_id, sample, round(lon, 6) AS lon, round(lat, 6) AS lat, in_homes FROM samplept"),
     "topology_edges": q(f"""WITH hit AS (SELECT s.id, b.region_id AS line, least(1, greatest(0, -(ax * (bx - ax) + ay * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t, * FROM (
         SELECT *, (x0 - lon) * 111320::DOUBLE * cos(radians(lat)) AS ax, (y0 - lat) * 111320::DOUBLE AS ay, (x1 - lon) * 111320::DOUBLE * cos(radians(lat)) AS bx, (y1 - lat) * 111320::DOUBLE AS by_ FROM station, box) s JOIN (SELECT region_id FROM box) b ON b.region_id = s.region_id),
       placed AS (SELECT h.id, line, t * {_dist('p', 'e')} AS pos FROM hit h JOIN (SELECT region_id, x0 AS lon, y0 AS lat FROM box) p ON p.region_id = line JOIN (SELECT region_id, x1 AS lon, y1 AS lat FROM box) e ON e.region_id = line WHERE sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) <= 300),

@@ -64,8 +64,12 @@ def _edges(s, d, which=None):
     return spatial.ring_edges(r if which is None else r.where(which))
 
 
+def _residential(s, d):
+    return spatial.coverage_share(A.anchors(s, d), _edges(s, d, "region_id % 2 = 0"), config.CATCHMENT_M)
+
+
 def coverage_share(s, d):
-    return _round(spatial.coverage_share(A.anchors(s, d), _edges(s, d, "region_id % 2 = 0"), config.CATCHMENT_M, 256), "share")
+    return _round(_residential(s, d), "share")
 
 
 def _grid_lines(s, d):
@@ -74,14 +78,18 @@ def _grid_lines(s, d):
     return A.table(s, d, "nation").select(k.alias("line_id"), x.alias("x1"), y.alias("y1"), (x + F.lit(0.072)).alias("x2"), (y + F.lit(0.064)).alias("y2"))
 
 
+def _exposure(s, d):
+    return spatial.near_line_share(A.anchors(s, d), _grid_lines(s, d), config.CATCHMENT_M, config.LINE_BUFFER_M)
+
+
 def near_line_share(s, d):
-    return _round(spatial.near_line_share(A.anchors(s, d), _grid_lines(s, d), config.CATCHMENT_M, config.LINE_BUFFER_M, 256), "share")
+    return _round(_exposure(s, d), "share")
 
 
 def quietness_proxy(s, d):
     bars = metrics.min_max(amenities(s, d), ["n_bar"]).select("anchor_id", (F.col("norm_n_bar") / 100).alias("night"))
-    zone = coverage_share(s, d).withColumnRenamed("share", "residential")
-    lines = near_line_share(s, d).withColumnRenamed("share", "exposure")
+    zone = _residential(s, d).withColumnRenamed("share", "residential")
+    lines = _exposure(s, d).withColumnRenamed("share", "exposure")
     j = bars.join(zone, "anchor_id").join(lines, "anchor_id")
     return _round(j.select("anchor_id", metrics.quietness(F.col("residential"), F.col("exposure"), F.col("night")).alias("quietness")), "quietness")
 
@@ -236,9 +244,19 @@ def locality_commute(s, d):
     return _round(_commutes(s, d).select("locality", "dest", "minutes", "low", "high"), "minutes", "low", "high")
 
 
-def _locality_shares(s, d):
+def sample_places(s, d):
+    """Nine points of every locality, in the largest piece of its homes where it has any."""
+    edges = spatial.ring_edges(spatial.largest_parts(A.ward_rings(s, d)))
+    return spatial.sample_homes(edges, spatial.ring_edges(A.home_rings(s, d)), config.SAMPLES)
+
+
+def _catchments(s, d):
+    places = materialized(sample_places(s, d), "samples")  # read by each metric
+    return places.select(F.struct(F.col("region_id").alias("locality"), "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+
+
+def _locality_shares(s, d, at):
     """Medians over each locality's samples of the residential, near-line and green shares of their catchments."""
-    at = A.localities(s, d).select(F.struct("locality", "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
     # Region kinds as in coverage_share and points_in_any_region.
     zone = spatial.coverage_share(at, _edges(s, d, "region_id % 2 = 0"), config.CATCHMENT_M).withColumnRenamed("share", "residential")
     lines = spatial.near_line_share(at, _grid_lines(s, d), config.CATCHMENT_M, config.LINE_BUFFER_M).withColumnRenamed("share", "exposure")
@@ -249,11 +267,11 @@ def _locality_shares(s, d):
 
 def _locality_axes(s, d):
     """Scores of each locality by axis, from the medians over its samples."""
-    at = A.localities(s, d).select(F.struct("locality", "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+    at = _catchments(s, d)
     n = spatial.near_counts(at, A.pois(s, d), config.CATCHMENT_M, metrics.amenity_aggregates())
     cols = {"supermarkets": metrics.shop_score(F.col("n_supermarket"), F.col("n_grocery"), F.col("n_convenience")), "restaurants": F.col("n_restaurant") + F.col("n_cafe"), "konbini": F.col("n_convenience"), "cuisine_variety": F.col("n_cuisines"), "late_night": F.col("n_late"), "health": F.col("n_health"), "bars": F.col("n_bar")}
     n = n.fillna(0).select(F.col("anchor_id.locality").alias("locality"), *[c.cast("double").alias(k) for k, c in cols.items()])
-    m = n.groupBy("locality").agg(*[F.percentile(k, 0.5).alias(k) for k in cols]).join(_locality_shares(s, d), "locality")
+    m = n.groupBy("locality").agg(*[F.percentile(k, 0.5).alias(k) for k in cols]).join(_locality_shares(s, d, at), "locality")
     axes = [F.struct(F.lit(k).alias("axis"), metrics.sufficiency(F.col(k), config.TARGETS[k]).alias("score")) for k in cols if k != "bars"]
     axes.append(F.struct(F.lit("quietness").alias("axis"), metrics.locality_quietness(F.col("residential"), F.col("exposure"), F.col("bars")).alias("score")))
     axes.append(F.struct(F.lit("green_space").alias("axis"), metrics.sufficiency(F.col("green"), config.TARGETS["green_space"]).alias("score")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wardwise import config
 
-from .adapters import REQUESTS
+from .adapters import HOMES, REQUESTS
 
 YEAR = 2003
 _LON = "139.56::DOUBLE + (({k} * 7919) % 3600) / 10000::DOUBLE"
@@ -45,12 +45,22 @@ VIEWS = {
     "shopn": "SELECT *, CASE WHEN max(shop) OVER () = min(shop) OVER () THEN 50 ELSE 100 * (shop - min(shop) OVER ()) / (max(shop) OVER () - min(shop) OVER ()) END AS norm_shop, CASE WHEN max(food) OVER () = min(food) OVER () THEN 50 ELSE 100 * (food - min(food) OVER ()) / (max(food) OVER () - min(food) OVER ()) END AS norm_food FROM shop",
     "ward": "SELECT n_nationkey AS region_id, 139.56::DOUBLE + 0.072::DOUBLE * (n_nationkey % 5) AS x0, 35.50::DOUBLE + 0.064::DOUBLE * (n_nationkey // 5) AS y0 FROM nation",
     "box": "SELECT *, x0 + 0.072::DOUBLE AS x1, y0 + 0.064::DOUBLE AS y1 FROM ward",
-    "lattice": """SELECT id AS anchor_id, i, lat + sqrt((i + 0.5::DOUBLE) / 256) * sin(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) AS plat,
-        lon + sqrt((i + 0.5::DOUBLE) / 256) * cos(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) / cos(radians(lat)) AS plon FROM station, range(256) AS r(i)""",
-    "covered": "SELECT id AS anchor_id, round(coalesce(n, 0) / 256::DOUBLE, 6) AS share FROM station LEFT JOIN (SELECT anchor_id, count(DISTINCT i) AS n FROM lattice, box WHERE region_id % 2 = 0 AND plon >= x0 AND plon < x1 AND plat >= y0 AND plat < y1 GROUP BY 1) ON anchor_id = id",
-    "ldist": """SELECT anchor_id, i, region_id, (x0 - plon) * 111320::DOUBLE * cos(radians(plat)) AS ax, (y0 - plat) * 111320::DOUBLE AS ay, (x1 - plon) * 111320::DOUBLE * cos(radians(plat)) AS bx, (y1 - plat) * 111320::DOUBLE AS by_ FROM lattice, box""",
+    "lattice": """SELECT id AS anchor_id, i, lat + sqrt((i + 0.5::DOUBLE) / 1024) * sin(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) AS plat,
+        lon + sqrt((i + 0.5::DOUBLE) / 1024) * cos(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) / cos(radians(lat)) AS plon FROM station, range(1024) AS r(i)""",
+    "covered": "SELECT id AS anchor_id, coalesce(n, 0) / 1024::DOUBLE AS share FROM station LEFT JOIN (SELECT anchor_id, count(DISTINCT i) AS n FROM lattice, box WHERE region_id % 2 = 0 AND plon >= x0 AND plon < x1 AND plat >= y0 AND plat < y1 GROUP BY 1) ON anchor_id = id",
+    "ldist": """SELECT anchor_id, i, region_id, (x0 - plon) * 111320::DOUBLE * cos(radians(plat)) AS ax, (y0 - plat) * 111320::DOUBLE AS ay, (x1 - plon) * 111320::DOUBLE * cos(radians(plat)) AS bx, (y1 - plat) * 111320::DOUBLE AS by_ FROM lattice JOIN box ON x0 - 0.01 < plon AND plon < x1 + 0.01 AND y0 - 0.01 < plat AND plat < y1 + 0.01""",
+    "island": " UNION ALL ".join(f"SELECT region_id, '{g}' AS piece, x0 + {a}::DOUBLE AS a0, y0 + {b}::DOUBLE AS b0, x0 + {c}::DOUBLE AS a1, y0 + {e}::DOUBLE AS b1 FROM ward WHERE region_id % 8 = {m}" for m, boxes in HOMES.items() for g, a, b, c, e in boxes),
+    "bound0": "SELECT region_id, min(a0) AS w, min(b0) AS s, max(a1) AS e, max(b1) AS t FROM island GROUP BY 1",
+    "cell0": "SELECT b.*, gx, gy, piece FROM bound0 b, range(32) AS u(gx), range(32) AS v(gy), island i WHERE i.region_id = b.region_id AND w + (e - w) * (gx + 0.5::DOUBLE) / 32 BETWEEN a0 AND a1 AND s + (t - s) * (gy + 0.5::DOUBLE) / 32 BETWEEN b0 AND b1",
+    "piece0": "SELECT region_id, w, s, e, t, piece, greatest(0, min(gx) - 1) AS p, least(32, max(gx) + 2) AS q, greatest(0, min(gy) - 1) AS u, least(32, max(gy) + 2) AS v FROM cell0 GROUP BY 1, 2, 3, 4, 5, 6 QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY count(DISTINCT gx * 32 + gy) DESC, min(gx * 32 + gy)) = 1",
+    "bound1": "SELECT region_id, w + (e - w) * p / 32 AS w, s + (t - s) * u / 32 AS s, w + (e - w) * q / 32 AS e, s + (t - s) * v / 32 AS t FROM piece0",
+    "cell1": """SELECT DISTINCT b.region_id, gx, gy, piece, w + (e - w) * (gx + 0.5::DOUBLE) / 32 AS lon, s + (t - s) * (gy + 0.5::DOUBLE) / 32 AS lat, true AS in_homes FROM bound1 b, range(32) AS u(gx), range(32) AS v(gy), island i WHERE i.region_id = b.region_id AND w + (e - w) * (gx + 0.5::DOUBLE) / 32 BETWEEN a0 AND a1 AND s + (t - s) * (gy + 0.5::DOUBLE) / 32 BETWEEN b0 AND b1
+      UNION ALL SELECT region_id, gx, gy, '', x0 + (x1 - x0) * (gx + 0.5::DOUBLE) / 32, y0 + (y1 - y0) * (gy + 0.5::DOUBLE) / 32, false FROM box, range(32) AS u(gx), range(32) AS v(gy) WHERE region_id NOT IN (SELECT region_id FROM island)""",
+    "zcell": "SELECT *, count(*) OVER (PARTITION BY region_id) AS m, row_number() OVER (PARTITION BY region_id ORDER BY " + " + ".join(f"(((gx >> {b}) & 1) << {2 * b}) + (((gy >> {b}) & 1) << {2 * b + 1})" for b in range(5)) + ") - 1 AS r FROM cell1 WHERE (region_id, piece) IN (SELECT region_id, first(piece ORDER BY n DESC, f) FROM (SELECT region_id, piece, count(*) AS n, min(gx * 32 + gy) AS f FROM cell1 GROUP BY 1, 2) GROUP BY 1)",
+    "samplept": "SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY lon, lat) AS sample, lon, lat, in_homes FROM zcell WHERE list_contains(list_transform(range(9), lambda k: (2 * k + 1) * m // 18), r)",
+    "sloc": "SELECT region_id AS locality, sample, lon, lat FROM samplept",
     "lined": "SELECT *, least(1, greatest(0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM ldist",
-    "exposed": "SELECT id AS anchor_id, round(coalesce(n, 0) / 256::DOUBLE, 6) AS share FROM station LEFT JOIN (SELECT anchor_id, count(DISTINCT i) AS n FROM lined WHERE sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) <= 100 GROUP BY 1) ON anchor_id = id",
+    "exposed": "SELECT id AS anchor_id, coalesce(n, 0) / 1024::DOUBLE AS share FROM station LEFT JOIN (SELECT anchor_id, count(DISTINCT i) AS n FROM lined WHERE sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) <= 100 GROUP BY 1) ON anchor_id = id",
     "price": f"""SELECT o_orderkey AS price_id, c_nationkey AS ward, {_at('o_orderkey')}, o_totalprice AS price, year(o_orderdate) AS year,
         CASE o_orderstatus WHEN 'O' THEN 'residential' WHEN 'F' THEN 'commercial' ELSE 'industrial' END AS use FROM orders JOIN customer ON c_custkey = o_custkey""",
     "home": "SELECT * FROM price WHERE use = 'residential'",
@@ -79,17 +89,17 @@ VIEWS = {
     "commute": "SELECT locality, dest, max(minutes) FILTER (r = n // 2 + 1) AS minutes, quantile_cont(minutes, 0.25) AS low, quantile_cont(minutes, 0.75) AS high FROM (SELECT *, row_number() OVER (PARTITION BY locality, dest ORDER BY minutes, sample) AS r, count(*) OVER (PARTITION BY locality, dest) AS n FROM transit) GROUP BY 1, 2",
     "sample_counts": f"""SELECT locality, sample, count(*) FILTER (category = 'supermarket') + 0.5 * count(*) FILTER (category = 'grocery') + 0.25 * count(*) FILTER (category = 'convenience') AS supermarkets,
         count(*) FILTER (category IN ('restaurant', 'cafe')) AS restaurants, count(*) FILTER (category = 'convenience') AS konbini, count(DISTINCT CASE WHEN food THEN cuisine END) AS cuisine_variety, count(*) FILTER (food AND late) AS late_night, count(*) FILTER (category = 'health') AS health, count(*) FILTER (category = 'bar') AS bars
-      FROM (SELECT l.locality, l.sample, p.* FROM loc l LEFT JOIN late p ON {_dist('l', 'p')} <= 800) GROUP BY 1, 2""",
+      FROM (SELECT l.locality, l.sample, p.* FROM sloc l LEFT JOIN late p ON {_dist('l', 'p')} <= 800) GROUP BY 1, 2""",
     "medians": "SELECT locality, " + ", ".join(f"quantile_cont({k}::DOUBLE, 0.5) AS {k}" for k in ("supermarkets", "restaurants", "konbini", "cuisine_variety", "late_night", "health", "bars")) + " FROM sample_counts GROUP BY 1",
     "slattice": """SELECT locality, sample, i, lat + sqrt((i + 0.5::DOUBLE) / 1024) * sin(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) AS plat,
-        lon + sqrt((i + 0.5::DOUBLE) / 1024) * cos(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) / cos(radians(lat)) AS plon FROM loc, range(1024) AS r(i)""",
+        lon + sqrt((i + 0.5::DOUBLE) / 1024) * cos(i * 2.399963229728653::DOUBLE) * (800 / 111320::DOUBLE) / cos(radians(lat)) AS plon FROM sloc, range(1024) AS r(i)""",
     "sldist": "SELECT locality, sample, i, (x0 - plon) * 111320::DOUBLE * cos(radians(plat)) AS ax, (y0 - plat) * 111320::DOUBLE AS ay, (x1 - plon) * 111320::DOUBLE * cos(radians(plat)) AS bx, (y1 - plat) * 111320::DOUBLE AS by_ FROM slattice JOIN box ON x0 - 0.01 < plon AND plon < x1 + 0.01 AND y0 - 0.01 < plat AND plat < y1 + 0.01",
     "slined": "SELECT *, least(1, greatest(0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM sldist",
     "sresidential": "SELECT locality, sample, count(DISTINCT i) AS n FROM slattice JOIN box ON plon >= x0 AND plon < x1 AND plat >= y0 AND plat < y1 WHERE region_id % 2 = 0 GROUP BY 1, 2",
     "sgreen": "SELECT locality, sample, count(DISTINCT i) AS n FROM slattice JOIN box ON plon >= x0 AND plon < x1 AND plat >= y0 AND plat < y1 WHERE region_id % 3 = 0 GROUP BY 1, 2",
     "sexposed": "SELECT locality, sample, count(DISTINCT i) AS n FROM slined WHERE sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) <= 100 GROUP BY 1, 2",
     "lshare": """SELECT l.locality, quantile_cont(coalesce(r.n, 0) / 1024::DOUBLE, 0.5) AS residential, quantile_cont(coalesce(e.n, 0) / 1024::DOUBLE, 0.5) AS exposure, quantile_cont(coalesce(g.n, 0) / 1024::DOUBLE, 0.5) AS green
-      FROM loc l LEFT JOIN sresidential r ON r.locality = l.locality AND r.sample = l.sample LEFT JOIN sexposed e ON e.locality = l.locality AND e.sample = l.sample LEFT JOIN sgreen g ON g.locality = l.locality AND g.sample = l.sample GROUP BY 1""",
+      FROM sloc l LEFT JOIN sresidential r ON r.locality = l.locality AND r.sample = l.sample LEFT JOIN sexposed e ON e.locality = l.locality AND e.sample = l.sample LEFT JOIN sgreen g ON g.locality = l.locality AND g.sample = l.sample GROUP BY 1""",
     "axis": " UNION ALL ".join(f"SELECT locality, '{k}' AS axis, least(100, 100 * ln(1 + {k}) / ln(1 + {config.TARGETS[k]}::DOUBLE)) AS score FROM medians" for k in ("supermarkets", "restaurants", "konbini", "cuisine_variety", "late_night", "health"))
     + " UNION ALL SELECT locality, 'quietness', 100 * (0.5 * residential + 0.3 * (1 - exposure) + 0.2 * (1 - least(1, ln(1 + bars) / ln(7::DOUBLE)))) FROM medians JOIN lshare USING (locality) UNION ALL SELECT locality, 'green_space', least(100, 100 * ln(1 + green) / ln(1.15::DOUBLE)) FROM lshare",
     "request": "SELECT * FROM (VALUES " + ", ".join(f"({r}, {t}, {c}, {b}, '{lay}')" for r, t, c, b, lay, _ in REQUESTS) + ") AS t(request_id, dest, max_commute, budget, layout)",
@@ -174,8 +184,8 @@ SQL = {
     "late_night_count": q("SELECT anchor_id, n_late FROM counts"),
     "minmax_norm": q("SELECT anchor_id, round(norm_shop, 6) AS norm_shop, round(norm_food, 6) AS norm_food, 50::DOUBLE AS norm_constant FROM shopn"),
     "sufficiency_scores": q(f"SELECT anchor_id, {_suff('shop', _T['supermarkets'])} AS supermarkets, {_suff('food', _T['restaurants'])} AS restaurants, {_suff('n_convenience', _T['konbini'])} AS konbini, {_suff('n_cuisines', _T['cuisine_variety'])} AS cuisine_variety, {_suff('n_late', _T['late_night'])} AS late_night, {_suff('n_health', _T['health'])} AS health FROM shop"),
-    "coverage_share": q("SELECT * FROM covered"),
-    "near_line_share": q("SELECT * FROM exposed"),
+    "coverage_share": q("SELECT anchor_id, round(share, 6) AS share FROM covered"),
+    "near_line_share": q("SELECT anchor_id, round(share, 6) AS share FROM exposed"),
     "quietness_proxy": q("SELECT c.anchor_id, round(0.5 * v.share + 0.3 * (1 - e.share) + 0.2 * (1 - CASE WHEN max(n_bar) OVER () = min(n_bar) OVER () THEN 0.5 ELSE (n_bar - min(n_bar) OVER ()) / (max(n_bar) OVER () - min(n_bar) OVER ()) END), 6) AS quietness FROM counts c JOIN covered v ON v.anchor_id = c.anchor_id JOIN exposed e ON e.anchor_id = c.anchor_id"),
     "catchment_land_median": q("SELECT anchor_id, round(median_price, 6) AS median_price, points FROM land"),
     "ward_land_median": q("SELECT ward, round(median_price, 6) AS median_price, points FROM wland"),

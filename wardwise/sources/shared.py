@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -31,3 +33,22 @@ def materialized(df: DataFrame, name: str, path: str | None = None) -> DataFrame
     path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache
+def _shipped(application: str, spark: SparkSession) -> None:
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    with tempfile.TemporaryDirectory() as folder:
+        for path, _, names in os.walk(os.path.join(root, "wardwise")):
+            for name in (n for n in names if n.endswith(".py")):
+                to = os.path.join(folder, "package", os.path.relpath(path, root))
+                os.makedirs(to, exist_ok=True)
+                shutil.copy(os.path.join(path, name), to)
+        kept = tempfile.mkdtemp(prefix="wardwise-package-")  # the driver serves it to executors as long as it runs
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(kept, "wardwise"), "zip", os.path.join(folder, "package")))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, once an application, so that their Python finds it wherever the job was started."""
+    _shipped(spark.sparkContext.applicationId, spark)
+    return spark
