@@ -112,6 +112,22 @@ def faulty_seeds(spark, d) -> DataFrame:
     return stations(spark, d).select(F.when(k != 4, F.col("id")).alias("dest"), F.when(k != 5, F.col("id")).alias("node"), walk.alias("walk"))
 
 
+def track_pieces(spark, d) -> DataFrame:
+    """Lines of twenty stations each as pieces in no order, every third the other way round, every fourth in two halves; every third line has a fork."""
+    st = stations(spark, d)
+    a, b = st.select("id", F.col("lon").alias("ax"), F.col("lat").alias("ay")), st.select((F.col("id") - 1).alias("id"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
+    legs = a.join(b, "id").where("id % 20 <> 19").select(F.floor(F.col("id") / 20).alias("line_id"), F.col("id").alias("k"), "ax", "ay", "bx", "by")
+    forks = a.where("id % 20 = 6 and floor(id / 20) % 3 = 1").select(F.floor(F.col("id") / 20).alias("line_id"), (F.col("id") + 1000000).alias("k"), "ax", "ay", (F.col("ax") + 0.0101).alias("bx"), (F.col("ay") + 0.0132).alias("by"))
+    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
+    leg = lambda i, x1, y1, x2, y2: F.struct(F.lit(i).alias("i"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    c = {n: F.col(n) for n in ("ax", "ay", "bx", "by")}
+    one, two = F.array(leg(0, c["ax"], c["ay"], c["bx"], c["by"])), F.array(leg(0, c["ax"], c["ay"], mx, my), leg(1, mx, my, c["bx"], c["by"]))
+    cut = legs.unionByName(forks).withColumn("p", F.explode(F.when(F.col("k") % 4 == 0, two).otherwise(one))).select("line_id", "k", "p.*")
+    turned = F.col("k") % 3 == 0
+    turn = [F.when(turned, F.col(f"{n}{2 if e == 1 else 1}")).otherwise(F.col(f"{n}{e}")).alias(f"{n}{e}") for e in (1, 2) for n in "xy"]
+    return cut.select("line_id", F.sha2(F.concat_ws("-", "k", "i"), 256).alias("piece"), *turn)
+
+
 def stop_times(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     day = F.date_format("ts", "yyyyMMdd")

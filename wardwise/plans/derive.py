@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardwise import config
-from wardwise.operators import cards, quality, rent, spatial, transit
+from wardwise.functions.geo import geo_dist_m
+from wardwise.operators import cards, lines, quality, rent, spatial, transit
 from wardwise.sources import maps
 from wardwise.sources.shared import shared_folder
 
@@ -194,6 +195,23 @@ def topology_edges(s, d):
     return Q._round(e.select("from_id", "to_id", "line", "minutes"), "minutes")
 
 
+def merged_lines(s, d):
+    """Lines put together from their pieces: parts, pieces and length of each."""
+    m = lines.merged_lines(A.track_pieces(s, d))
+    length = geo_dist_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
+    return Q._round(m.groupBy("line_id", "part").agg(F.max("seq").alias("pieces"), F.sum(length).alias("length_m")).groupBy("line_id").agg(F.count("*").alias("parts"), F.max("pieces").alias("longest"), F.sum("length_m").alias("length_m")), "length_m")
+
+
+def merged_topology(s, d):
+    """Rides between neighbours along lines whose pieces come in no order."""
+    whole = lines.merged_lines(A.track_pieces(s, d)).withColumn("line_id", F.struct("line_id", "part"))
+    at = spatial.positions_on_line(A.stations(s, d).select(F.col("id").alias("point_id"), "lon", "lat"), whole, config.MERGE_M)
+    modes = F.get(F.array(*[F.lit(m) for m in config.MODES]), (F.col("line_id.line_id") % len(config.MODES)).cast("int"))
+    e = transit.topology_edges(at, whole.select("line_id", modes.alias("mode")).distinct())
+    e = e.select("from_id", "to_id", F.col("line.line_id").alias("line"), "minutes").groupBy("from_id", "to_id", "line").agg(F.min("minutes").alias("minutes"))
+    return Q._round(e, "minutes")
+
+
 def transfer_edges(s, d):
     return transit.transfer_edges(A.stations(s, d)).select("from_id", "to_id", "minutes", "kind")
 
@@ -210,4 +228,4 @@ def canvas_points(s, d):
     return c.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (derive_report, prerequisites, forbidden_sources, taken_over_sources, data_validation, ward_names_en, locality_card, trip_path_names, clipped_regions, lines_from_regions, largest_parts, sample_points, topology_edges, transfer_edges, line_centres, canvas_points)}
+QUERIES = {f.__name__: f for f in (derive_report, prerequisites, forbidden_sources, taken_over_sources, data_validation, ward_names_en, locality_card, trip_path_names, clipped_regions, lines_from_regions, largest_parts, sample_points, topology_edges, merged_lines, merged_topology, transfer_edges, line_centres, canvas_points)}

@@ -304,9 +304,10 @@ def suggestions(s, d):
 
 
 def _scored(s, d, candidates=None):
-    candidates = _candidates(s, d) if candidates is None else candidates
+    candidates = materialized(_candidates(s, d), "candidates") if candidates is None else candidates  # read for each kind of factor
     feasible = candidates.where("reason is null").select("request_id", "locality", "rent", "commute", "budget", "max_commute")
-    return feasible, scoring.factors(feasible, _locality_axes(s, d), A.preferences(s))
+    axes = materialized(_locality_axes(s, d), "axes")
+    return feasible, scoring.factors(feasible, axes, A.preferences(s))
 
 
 def ranked_shortlist(s, d, candidates=None):

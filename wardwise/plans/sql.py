@@ -15,15 +15,20 @@ def _at(k: str) -> str:
     return f"{_LON.format(k=k)} AS lon, {_LAT.format(k=k)} AS lat"
 
 
-def _dist(a: str, b: str) -> str:
-    """Metres on the spheroid between two aliases with lon and lat."""
-    m = f"radians(({a}.lat + {b}.lat) / 2)"
+def _metres(x1: str, y1: str, x2: str, y2: str) -> str:
+    """Metres on the spheroid between two points."""
+    m = f"radians(({y1} + {y2}) / 2)"
     w = f"(1 - 0.0066943799901413165::DOUBLE * pow(sin({m}), 2))"
-    n = f"(6378137::DOUBLE * (1 - 0.0066943799901413165::DOUBLE)) / pow({w}, 1.5) * radians({b}.lat - {a}.lat)"
-    e = f"6378137::DOUBLE / sqrt({w}) * cos({m}) * radians({b}.lon - {a}.lon)"
+    n = f"(6378137::DOUBLE * (1 - 0.0066943799901413165::DOUBLE)) / pow({w}, 1.5) * radians({y2} - {y1})"
+    e = f"6378137::DOUBLE / sqrt({w}) * cos({m}) * radians({x2} - {x1})"
     return f"sqrt(pow({n}, 2) + pow({e}, 2))"
 
 
+def _dist(a: str, b: str) -> str:
+    """The same between two aliases with lon and lat."""
+    return _metres(f"{a}.lon", f"{a}.lat", f"{b}.lon", f"{b}.lat")
+
+
 def _pick(pairs: list[tuple[str, str]], other: str) -> str:
     return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in pairs) + f" ELSE {other} END"
 
@@ -58,6 +63,14 @@ VIEWS = {
       UNION ALL SELECT region_id, gx, gy, '', x0 + (x1 - x0) * (gx + 0.5::DOUBLE) / 32, y0 + (y1 - y0) * (gy + 0.5::DOUBLE) / 32, false FROM box, range(32) AS u(gx), range(32) AS v(gy) WHERE region_id NOT IN (SELECT region_id FROM island)""",
     "zcell": "SELECT *, count(*) OVER (PARTITION BY region_id) AS m, row_number() OVER (PARTITION BY region_id ORDER BY " + " + ".join(f"(((gx >> {b}) & 1) << {2 * b}) + (((gy >> {b}) & 1) << {2 * b + 1})" for b in range(5)) + ") - 1 AS r FROM cell1 WHERE (region_id, piece) IN (SELECT region_id, first(piece ORDER BY n DESC, f) FROM (SELECT region_id, piece, count(*) AS n, min(gx * 32 + gy) AS f FROM cell1 GROUP BY 1, 2) GROUP BY 1)",
     "samplept": "SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY lon, lat) AS sample, lon, lat, in_homes FROM zcell WHERE list_contains(list_transform(range(9), lambda k: (2 * k + 1) * m // 18), r)",
+    "track": """SELECT a.id AS k, a.id // 20 AS line_id, CASE WHEN (a.id // 20) % 3 = 1 AND a.id % 20 >= 6 THEN 2 ELSE 1 END AS part, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS by_ FROM station a JOIN station b ON b.id = a.id + 1 WHERE a.id % 20 <> 19
+      UNION ALL SELECT id + 1000000, id // 20, 3, lon, lat, lon + 0.0101::DOUBLE, lat + 0.0132::DOUBLE FROM station WHERE id % 20 = 6 AND (id // 20) % 3 = 1""",
+    "tpiece": f"""SELECT *, {_metres("x1", "y1", "x2", "y2")} AS len FROM (SELECT line_id, part, 2 * k AS seq, ax AS x1, ay AS y1, CASE WHEN k % 4 = 0 THEN (ax + bx) / 2 ELSE bx END AS x2, CASE WHEN k % 4 = 0 THEN (ay + by_) / 2 ELSE by_ END AS y2 FROM track
+      UNION ALL SELECT line_id, part, 2 * k + 1, (ax + bx) / 2, (ay + by_) / 2, bx, by_ FROM track WHERE k % 4 = 0)""",
+    "tpos": "SELECT *, coalesce(sum(len) OVER (PARTITION BY line_id, part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tpiece",
+    "thit": """SELECT line_id, part, id, first(before + t * len ORDER BY d, seq) AS pos FROM (SELECT *, sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) AS d FROM (
+      SELECT *, least(1, greatest(0, -(ax * (bx - ax) + ay * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t FROM (
+      SELECT *, (x1 - lon) * 111320::DOUBLE * cos(radians(lat)) AS ax, (y1 - lat) * 111320::DOUBLE AS ay, (x2 - lon) * 111320::DOUBLE * cos(radians(lat)) AS bx, (y2 - lat) * 111320::DOUBLE AS by_ FROM station, tpos))) WHERE d <= 300 GROUP BY 1, 2, 3""",
     "sloc": "SELECT region_id AS locality, sample, lon, lat FROM samplept",
     "lined": "SELECT *, least(1, greatest(0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM ldist",
     "exposed": "SELECT id AS anchor_id, coalesce(n, 0) / 1024::DOUBLE AS share FROM station LEFT JOIN (SELECT anchor_id, count(DISTINCT i) AS n FROM lined WHERE sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) <= 100 GROUP BY 1) ON anchor_id = id",
