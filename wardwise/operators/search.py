@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardwise import config
 from wardwise.functions.text import best_similarity, matches, trigrams
+from wardwise.sources.shared import materialized
 
 
 def place_search(queries: DataFrame, places: DataFrame, limit: int = config.PLACES) -> DataFrame:
@@ -33,9 +34,35 @@ def place_search(queries: DataFrame, places: DataFrame, limit: int = config.PLAC
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _ranked_grams(names: DataFrame, counts: DataFrame, side: str) -> DataFrame:
+    """id, n and grams (trigrams of a name, the rarest of both tables first)."""
+    g = names.select(F.col("id").alias(side), F.explode(trigrams(F.col("name"))).alias("gram"))
+    return g.join(counts, "gram").groupBy(side).agg(F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("g")).select(side, F.size("g").alias(f"n_{side}"), F.transform("g", lambda x: x["gram"]).alias(f"grams_{side}"))
+
+
+def name_candidates(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs of names (id, name) that may be ``least`` similar: a_id, b_id and their trigrams, each pair once.
+
+    Of two names that are similar enough one of the first trigrams is shared, as many as could be
+    missing and one more; these are the rarest, so few names are listed under each. Sizes rule out more.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity is over 0 and at most 1")
+    every = a.select("id", "name").withColumn("side", F.lit(0)).unionByName(b.select("id", "name").withColumn("side", F.lit(1)))
+    counts = every.select(F.explode(trigrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("k"))
+    x, y = materialized(_ranked_grams(a, counts, "a_id"), "grams"), materialized(_ranked_grams(b, counts, "b_id"), "grams")
+
+    def first(df: DataFrame, side: str) -> DataFrame:
+        n = F.col(f"n_{side}")
+        return df.select(side, f"n_{side}", F.explode(F.slice(f"grams_{side}", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("gram"))
+
+    fits = (F.col("n_a_id") >= F.col("n_b_id") * least - 1e-9) & (F.col("n_b_id") >= F.col("n_a_id") * least - 1e-9)
+    pairs = first(x, "a_id").join(first(y, "b_id"), "gram").where(fits).select("a_id", "b_id").distinct()
+    return pairs.join(x, "a_id").join(y, "b_id")
+
+
 def similar_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Pairs of names (id, name) whose trigrams are similar enough, found by shared trigrams."""
-    x = a.select(F.col("id").alias("a_id"), trigrams(F.col("name")).alias("x"))
-    y = b.select(F.col("id").alias("b_id"), trigrams(F.col("name")).alias("y"))
-    shared = x.select("a_id", F.size("x").alias("nx"), F.explode("x").alias("g")).join(y.select("b_id", F.size("y").alias("ny"), F.explode("y").alias("g")), "g").groupBy("a_id", "b_id", "nx", "ny").agg(F.count("*").alias("k"))
-    return shared.withColumn("similarity", F.col("k") / (F.col("nx") + F.col("ny") - F.col("k"))).where(F.col("similarity") >= least).select("a_id", "b_id", "similarity")
+    """Pairs of names (id, name) whose trigrams are similar enough: a_id, b_id, similarity."""
+    shared = F.size(F.array_intersect("grams_a_id", "grams_b_id"))
+    scored = name_candidates(a, b, least).withColumn("similarity", shared / (F.col("n_a_id") + F.col("n_b_id") - shared))
+    return scored.where(F.col("similarity") >= least).select("a_id", "b_id", "similarity")

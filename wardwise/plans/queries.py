@@ -351,10 +351,16 @@ def trigram_similarity(s, d):
 
 
 def similar_station_names(s, d):
-    """Pairs of a station's name and a name made from a nation's that share 0.3 of their trigrams or more."""
+    """Pairs of a station's name and a name made from a nation's that share half of their trigrams or more."""
     a = A.stations(s, d).select("id", "name")
     b = A.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Supplier "), F.col("n_name"), F.lit(" "), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("name"))
-    return _round(search.similar_names(a, b, 0.3), "similarity")
+    return _round(search.similar_names(a, b, 0.5), "similarity")
+
+
+def similar_part_names(s, d):
+    """Pairs of parts whose names with brand and container share three quarters of their trigrams."""
+    p = A.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string"), "p_type").alias("name"))
+    return _round(search.similar_names(p, p, 0.75).where("a_id < b_id"), "similarity")
 
 
 def _batches(s, d):
@@ -622,7 +628,7 @@ QUERIES = {
         points_in_any_region, knn_stations, station_near_lines, transfer_pairs, merged_stations, latest_run, latest_success, source_vintages,
         rent_choice, rent_by_layout, pair_travel_medians, headways, timetable_edges, station_lines, orphan_stations, commute_matrix,
         commute_by_station, locality_commute, locality_scores, hard_filter_counts, suggestions, ranked_shortlist, reasons_top3, factor_extremes,
-        shortlist_concentration, standout_metrics, place_search, trigram_similarity, similar_station_names, sync_upsert, plain_upsert,
+        shortlist_concentration, standout_metrics, place_search, trigram_similarity, similar_station_names, similar_part_names, sync_upsert, plain_upsert,
         replace_by_source, stale_keys, period_sync, array_union_upsert, reference_guard, name_backfill, one_per_name, dq_report, ward_coverage,
         name_audit, reject_split, fallback_share, weekday_services, name_match_cascade, price_vintages, evidence_counts, nested_samples,
         nearby_stations, union_places, walk_seeds, slug_ids, roundings,

@@ -235,7 +235,8 @@ SQL = {
     "place_search": q("""SELECT query_id, rank, place_id, round(similarity, 6) AS similarity FROM (SELECT query_id, place_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY kind <> 'station', similarity DESC, name, place_id) AS rank FROM (
         SELECT *, greatest(""" + _sim("query", "name") + ", coalesce(list_max(list_transform(aliases, lambda al: " + _sim("query", "al") + """)), 0)) AS similarity FROM (VALUES (0, 'Supplier#00000001'), (1, 'small'), (2, 'Brand#1'), (3, 'ECONOMY'), (4, 'ring'), (5, 'zz')) AS t(query_id, query), place WHERE contains(lower(name), lower(query)) OR len(list_filter(aliases, lambda al: contains(lower(al), lower(query)))) > 0)) WHERE rank <= 10"""),
     "trigram_similarity": q("SELECT place_id, round(" + _sim("name", "'Supplier#000000012 west'") + ", 6) AS similarity FROM place WHERE kind = 'station'"),
-    "similar_station_names": q("SELECT a_id, b_id, round(v, 6) AS similarity FROM (SELECT a.id AS a_id, b.n_nationkey AS b_id, " + _sim("a.name", "('Supplier ' || n_name || ' ' || lpad(n_nationkey::VARCHAR, 9, '0'))") + " AS v FROM station a, nation b) WHERE v >= 0.3"),
+    "similar_station_names": q("SELECT a_id, b_id, round(v, 6) AS similarity FROM (SELECT a.id AS a_id, b.n_nationkey AS b_id, " + _sim("a.name", "('Supplier ' || n_name || ' ' || lpad(n_nationkey::VARCHAR, 9, '0'))") + " AS v FROM station a, nation b) WHERE v >= 0.5"),
+    "similar_part_names": "WITH g AS (SELECT p_partkey AS id, " + _GRAMS.format(x="(p_name || ' ' || p_brand || ' ' || p_partkey || ' ' || p_type)") + " AS t FROM part) SELECT a_id, b_id, round(k / (n - k), 6) AS similarity FROM (SELECT a.id AS a_id, b.id AS b_id, len(a.t) + len(b.t) AS n, len(list_intersect(a.t, b.t)) AS k FROM g a JOIN g b ON a.id < b.id) WHERE k / (n - k) >= 0.75",
     "sync_upsert": q("SELECT id, source, v FROM incoming UNION ALL SELECT id, source, v FROM current_rows WHERE source <> 'osm' AND id NOT IN (SELECT id FROM incoming)"),
     "plain_upsert": q("SELECT id, source, v FROM incoming UNION ALL SELECT id, source, v FROM current_rows WHERE id NOT IN (SELECT id FROM incoming)"),
     "replace_by_source": q("SELECT source, count(*) AS n, sum(v)::BIGINT AS v FROM (SELECT source, v FROM incoming UNION ALL SELECT source, v FROM current_rows WHERE source <> 'osm') GROUP BY 1"),
