@@ -122,14 +122,37 @@ def test_sources_and_prerequisites(spark):
     quality.require(checks, "other")
 
 
-def test_steps_run_in_order_and_by_name(spark, tmp_path):
-    steps = {"one": lambda s, d: s.range(3), "two": lambda s, d: s.range(0), "three": lambda s, d: s.read.parquet(f"{tmp_path}/one").union(s.range(2))}
-    got = derive.run_steps(spark, "", str(tmp_path), steps)
-    assert [tuple(r) for r in got.collect()] == [(1, "one", 3), (2, "two", 0), (3, "three", 5)]
-    assert [tuple(r) for r in derive.run_steps(spark, "", str(tmp_path), steps, ["three"]).collect()] == [(1, "three", 5)]
-    assert os.path.isdir(tmp_path / "two")
-    with pytest.raises(ValueError, match="no such steps"):
-        derive.run_steps(spark, "", str(tmp_path), steps, ["four"])
+def test_steps_run_on_the_tables_of_earlier_ones(spark, tmp_path):
+    raw = tmp_path / "sf"
+    spark.range(4).write.parquet(f"{raw}/numbers.parquet")
+    calls = []
+
+    def step(name, build, reads=(), raw=(), needs=lambda s, d, t: []):
+        return derive.Step(name, lambda s, d, t: (calls.append(name), build(s, d, t))[1], ("id",), reads, raw, needs)
+
+    positive = lambda s, d, t: [("three", "rows of one", t["one"].where("id < 0"))]
+    steps = (step("one", lambda s, d, t: s.read.parquet(f"{d}/numbers.parquet"), raw=("numbers",)), step("two", lambda s, d, t: s.range(0)), step("three", lambda s, d, t: t["one"].where("id > 1"), ("one",), needs=positive))
+    store = derive.Store(spark, f"file://{tmp_path}/store")
+
+    def run(*args, **more):
+        calls.clear()
+        return [tuple(r)[1:] for r in derive.run_steps(spark, str(raw), store, *args, **more).collect()], list(calls)
+
+    assert run(steps) == ([("one", 4, "written"), ("two", 0, "written"), ("three", 2, "written")], ["one", "two", "three"])
+    assert run(steps) == ([("one", 4, "skipped"), ("two", 0, "skipped"), ("three", 2, "skipped")], [])
+    assert run(steps, force=True)[0] == [("one", 4, "same"), ("two", 0, "same"), ("three", 2, "same")]
+    spark.range(5, 7).write.mode("append").parquet(f"{raw}/numbers.parquet")
+    assert run(steps) == ([("one", 6, "written"), ("two", 0, "skipped"), ("three", 4, "written")], ["one", "three"])
+    assert run(steps, ["three"], force=True) == ([("three", 4, "same")], ["three"])
+    spark.range(-3, -2).write.mode("append").parquet(f"{raw}/numbers.parquet")
+    with pytest.raises(ValueError, match="three cannot run yet, rows of one: 1 rows"):
+        run(steps)
+    assert store.read("one").count() == 7 and store.read("three").count() == 4
+    for bad, why in (((steps, ["four"]), "no such steps"), ((steps[::-1],), "not before it"), (((steps[0], step("x", lambda s, d, t: t["one"], ("two",)))[::1],), "not before it")):
+        with pytest.raises(ValueError, match=why):
+            run(*bad)
+    with pytest.raises(ValueError, match="have not run"):
+        derive.run_steps(spark, str(raw), derive.Store(spark, f"file://{tmp_path}/other"), steps, ["three"])
 
 
 def test_cards_and_named_paths(spark):

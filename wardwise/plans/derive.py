@@ -2,49 +2,113 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwise import config
 from wardwise.functions.geo import geo_dist_m
 from wardwise.operators import cards, lines, quality, rent, spatial, transit
+from wardwise.operators.store import Store, digest
 from wardwise.sources import maps
 from wardwise.sources.shared import shared_folder
 
 from . import adapters as A
 from . import queries as Q
 
-Step = Callable[[SparkSession, str], DataFrame]
+Tables = dict[str, DataFrame]
+
+
+@dataclass(frozen=True)
+class Step:
+    """A derived table: what it is made of and how. ``reads``: steps before it; ``raw``: the driver's tables; ``needs``: what must not
+    be lacking before it runs, as for ``quality.require``."""
+
+    name: str
+    build: Callable[[SparkSession, str, Tables], DataFrame]
+    keys: tuple[str, ...]
+    reads: tuple[str, ...] = ()
+    raw: tuple[str, ...] = ()
+    needs: Callable[[SparkSession, str, Tables], list[tuple[str, str, DataFrame]]] = lambda s, d, t: []
+
+
+def _as_places(t: DataFrame) -> DataFrame:
+    return t.withColumnRenamed("region_id", "locality")
+
+
+def _axes(s, d, t):
+    return Q._round(Q.axes_of(s, d, t["places"], t["catchments"]), "score")
+
 
 #: Steps of a run in order.
-STEPS: dict[str, Step] = {
-    "amenities": Q.amenities,
-    "quietness": Q.quietness_proxy,
-    "rent": Q.rent_by_layout,
-    "normalization": Q.minmax_norm,
-    "samples": Q.knn_stations,
-    "localities": Q.locality_scores,
-}
-
-
-def run_steps(spark: SparkSession, sf_dir: str, folder: str, steps: dict[str, Step] = STEPS, only: Sequence[str] | None = None) -> DataFrame:
-    """Write each step's table to the folder, all or those named, in order; the rows written are counted on the way: position, step, rows."""
-    unknown = set(only or ()) - set(steps)
+STEPS = (
+    Step("places", lambda s, d, t: Q._round(Q.sample_places(s, d), "lon", "lat"), ("region_id", "sample"), raw=("nation",)),
+    Step("amenities", lambda s, d, t: Q.amenities(s, d), ("anchor_id",), raw=("supplier", "customer", "part")),
+    Step("quietness", lambda s, d, t: Q.quietness(s, d, t["amenities"]), ("anchor_id",), ("amenities",), ("supplier", "nation")),
+    Step("rent", lambda s, d, t: Q.rent_by_layout(s, d), ("anchor_id", "layout"), raw=("supplier", "orders", "customer")),
+    Step("normalization", lambda s, d, t: Q.normalized(t["amenities"]), ("anchor_id",), ("amenities",)),
+    Step("samples", lambda s, d, t: Q.stations_of(s, d, _as_places(t["places"])), ("locality", "sample", "rank"), ("places",), ("supplier",)),
+    Step("catchments", lambda s, d, t: Q.catchments(s, d, t["places"]), ("locality", "sample"), ("places",), ("customer", "part")),
+    Step("localities", _axes, ("locality", "axis"), ("places", "samples", "catchments"), ("nation",), lambda s, d, t: [("localities", "nine samples of the locality", t["places"].groupBy("region_id").count().where(F.col("count") != config.SAMPLES))]),
+)
+STATE = "_steps"  # what each step was made of, and what became of it
+
+
+def _fingerprint(df: DataFrame) -> list[list]:
+    return sorted([r["column"], r["n"], r["sum"], r["xor"]] for r in digest(df).collect())  # a row a column
+
+
+def run_steps(spark: SparkSession, sf_dir: str, store: Store, steps: Sequence[Step] = STEPS, only: Sequence[str] | None = None, force: bool = False, started_at: str = "") -> DataFrame:
+    """Run the steps in order, all or those named, each on the written tables of the steps before: position, step, rows, status.
+
+    A step is ``skipped`` where what it reads is what it read last time (by digests), unless forced; else ``written``, or ``same`` where
+    it gave what was there. It does not run while what it needs is lacking. Its table and the note of what it was made of change together.
+    """
+    names = [s.name for s in steps]
+    unknown = set(only or ()) - set(names)
     if unknown:
         raise ValueError(f"no such steps: {sorted(unknown)}")
-    report = []
-    for name in (n for n in steps if only is None or n in only):
-        seen = Observation(name)
-        steps[name](spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{folder}/{name}")
-        report.append((len(report) + 1, name, seen.get["rows"]))
-    return spark.createDataFrame(report, "position long, step string, rows long")
+    report, raw = [], {}
+    for k, step in enumerate(steps):
+        if only is not None and step.name not in only:
+            continue
+        if late := set(step.reads) - set(names[:k]):
+            raise ValueError(f"{step.name} reads steps that are not before it: {sorted(late)}")
+        state = store.read(STATE)
+        known = {r.step: (r.inputs, r.output) for r in state.collect()} if state is not None else {}
+        tables = {r: store.read(r) for r in step.reads}
+        if missing := [r for r in step.reads if tables[r] is None]:
+            raise ValueError(f"{step.name} reads steps that have not run: {missing}")
+        quality.require(step.needs(spark, sf_dir, tables), step.name)
+        for t in step.raw:
+            raw[t] = raw.get(t) or _fingerprint(A.table(spark, sf_dir, t))
+        inputs = json.dumps([[t, raw[t]] for t in step.raw] + [[r, known[r][1]] for r in step.reads])
+        old = known.get(step.name, (None, None))
+        if old[0] == inputs and not force:
+            held = store.manifest()["tables"][step.name]["buckets"].values()
+            report.append((len(report) + 1, step.name, sum(b["rows"] for b in held), "skipped"))
+            continue
+        with store.run(step.name, started_at) as run:
+            run.replace(step.name, step.build(spark, sf_dir, tables), step.keys)
+            rows, output = run.rows, json.dumps(_fingerprint(run.read(step.name)))
+            run.upsert(STATE, spark.createDataFrame([(step.name, inputs, output)], "step string, inputs string, output string"), ["step"])
+        report.append((len(report) + 1, step.name, rows, "same" if output == old[1] else "written"))
+    return spark.createDataFrame(report, "position long, step string, rows long, status string")
 
 
 def derive_report(s, d):
-    return run_steps(s, d, f"{shared_folder(s)}/derive-{uuid.uuid4().hex}")
+    return run_steps(s, d, Store(s, f"{shared_folder(s)}/derive-{uuid.uuid4().hex}"))
+
+
+def derive_repeat(s, d):
+    """What a second run of all steps on the same tables gives: the same rows."""
+    store = Store(s, f"{shared_folder(s)}/derive-{uuid.uuid4().hex}")
+    run_steps(s, d, store)
+    return run_steps(s, d, store, force=True)
 
 
 def prerequisites(s, d):
@@ -228,4 +292,4 @@ def canvas_points(s, d):
     return c.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (derive_report, prerequisites, forbidden_sources, taken_over_sources, data_validation, ward_names_en, locality_card, trip_path_names, clipped_regions, lines_from_regions, largest_parts, sample_points, topology_edges, merged_lines, merged_topology, transfer_edges, line_centres, canvas_points)}
+QUERIES = {f.__name__: f for f in (derive_report, derive_repeat, prerequisites, forbidden_sources, taken_over_sources, data_validation, ward_names_en, locality_card, trip_path_names, clipped_regions, lines_from_regions, largest_parts, sample_points, topology_edges, merged_lines, merged_topology, transfer_edges, line_centres, canvas_points)}

@@ -10,29 +10,32 @@ from .sql import _dist, q
 _MODES = "[" + ", ".join(f"'{m}'" for m in config.MODES) + "]"
 _S, _W, _N, _E = PROBE
 _known = ", ".join(f"('{k}', '{v}')" for k, v in config.WARD_NAMES.items())
+_USABLE = "(isfinite(x0) AND isfinite(y0) AND isfinite(x1) AND isfinite(y1) AND (x1 - x0) * (y1 - y0) <> 0)"
 _RENTED = "EXISTS (SELECT 1 FROM choice c WHERE c.ward = s.ward)"
 _FORBIDDEN = "SELECT 'stations' AS \"table\", 'seed' AS source, count(*) AS n FROM station WHERE id % 10 = 3 UNION ALL SELECT 'land_prices', 'fixture', count(*) FROM price WHERE price_id % 100 = 7"
+_REPORT = f"""SELECT *, '{{status}}' AS status FROM (SELECT 1 AS position, 'places' AS step, count(*) AS rows FROM samplept UNION ALL SELECT 2, 'amenities', count(*) FROM station UNION ALL SELECT 3, 'quietness', count(*) FROM station
+  UNION ALL SELECT 4, 'rent', count(*) * {len(config.LAYOUTS)} FROM station s WHERE {_RENTED} UNION ALL SELECT 5, 'normalization', count(*) FROM station
+  UNION ALL SELECT 6, 'samples', count(*) FROM sknn UNION ALL SELECT 7, 'catchments', count(*) FROM sloc UNION ALL SELECT 8, 'localities', count(*) FROM axis)"""
 
 SQL = {
-    "derive_report": q(f"""SELECT 1 AS position, 'amenities' AS step, count(*) AS rows FROM station UNION ALL SELECT 2, 'quietness', count(*) FROM station
-      UNION ALL SELECT 3, 'rent', count(*) * {len(config.LAYOUTS)} FROM station s WHERE {_RENTED} UNION ALL SELECT 4, 'normalization', count(*) FROM station
-      UNION ALL SELECT 5, 'samples', count(*) FROM knn UNION ALL SELECT 6, 'localities', count(*) FROM axis"""),
-    "prerequisites": q("""SELECT step, lacking, n, n = 0 AS ready FROM (
+    "derive_report": q(_REPORT.format(status="written")),
+    "derive_repeat": q(_REPORT.format(status="same")),
+    "prerequisites": q(f"""SELECT step, lacking, n, n = 0 AS ready FROM (
       SELECT 'normalization' AS step, 'price near the station' AS lacking, count(*) AS n FROM land WHERE median_price IS NULL
-      UNION ALL SELECT 'localities', 'rent of a station in a ward with rents', 0
+      UNION ALL SELECT 'localities', 'rent of a station in a ward with rents', count(*) FROM station s WHERE {_RENTED} AND NOT EXISTS (SELECT 1 FROM mult m JOIN choice c ON c.ward = m.ward, layout WHERE m.anchor_id = s.id)
       UNION ALL SELECT 'localities', 'station near the sample', count(*) FROM loc l WHERE NOT EXISTS (SELECT 1 FROM knn k WHERE k.locality = l.locality AND k.sample = l.sample)
       UNION ALL SELECT 'commutes', 'ride of the station', count(*) FROM station WHERE id NOT IN (SELECT f FROM edge))"""),
     "forbidden_sources": q(f"SELECT * FROM ({_FORBIDDEN}) WHERE n > 0"),
     "taken_over_sources": q("SELECT * FROM (SELECT 'mlit' AS old_source, 'osm' AS new_source, count(*) AS n FROM current_rows WHERE id % 2 = 0 AND source = 'mlit') WHERE n > 0"),
     "data_validation": q(f"""SELECT label, value::DOUBLE AS value, coalesce(value >= least_, true) AND coalesce(value <= most_, true) AS passed FROM (
-      SELECT 'wards' AS label, count(*) AS value, 23 AS least_, 23 AS most_ FROM nation UNION ALL SELECT 'unusable ward rings', 0, NULL, 0 UNION ALL SELECT 'stations', count(*), 450, 550 FROM station
+      SELECT 'wards' AS label, count(*) AS value, 23 AS least_, 23 AS most_ FROM nation UNION ALL SELECT 'unusable ward rings', count(*) FILTER (NOT {_USABLE}), NULL, 0 FROM box UNION ALL SELECT 'stations', count(*), 450, 550 FROM station
       UNION ALL SELECT 'stations without ward', count(*), NULL, 0 FROM station WHERE ward IS NULL
       UNION ALL SELECT 'lines of unknown mode', count(DISTINCT line), NULL, 0 FROM edge WHERE line % 5 = 4
       UNION ALL SELECT 'stations without ride', count(*), NULL, 0 FROM station WHERE id NOT IN (SELECT f FROM edge)
       UNION ALL SELECT 'rents of the survey', count(*), 23, 23 FROM stat WHERE source = 'estat' AND period = '1995'
       UNION ALL SELECT 'rows of forbidden sources', sum(n), NULL, 0 FROM ({_FORBIDDEN}) UNION ALL SELECT 'residential prices', count(*), 1, NULL FROM home
-      UNION ALL SELECT 'unusable zoning rings', 0, NULL, 0 UNION ALL SELECT 'station scores out of range', count(*) FILTER (norm_shop NOT BETWEEN 0 AND 100 OR norm_food NOT BETWEEN 0 AND 100), NULL, 0 FROM shopn
-      UNION ALL SELECT 'localities that do not cover their middle', 0, NULL, 0 UNION ALL SELECT 'localities', count(*), 1, NULL FROM nation
+      UNION ALL SELECT 'unusable zoning rings', count(*) FILTER (NOT {_USABLE}), NULL, 0 FROM box WHERE region_id % 2 = 0 UNION ALL SELECT 'station scores out of range', count(*) FILTER (norm_shop NOT BETWEEN 0 AND 100 OR norm_food NOT BETWEEN 0 AND 100), NULL, 0 FROM shopn
+      UNION ALL SELECT 'localities that do not cover their middle', count(*) FILTER (NOT (lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1)), NULL, 0 FROM box JOIN loc ON locality = region_id AND sample = 5 UNION ALL SELECT 'localities', count(*), 1, NULL FROM nation
       UNION ALL SELECT 'localities without nine samples inside', count(*), NULL, 0 FROM nation WHERE n_nationkey NOT IN (SELECT locality FROM loc JOIN box ON region_id = locality AND lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1 GROUP BY 1 HAVING count(*) = 9)
       UNION ALL SELECT 'locality scores out of range', count(*) FILTER (score NOT BETWEEN 0 AND 100), NULL, 0 FROM axis
       UNION ALL SELECT 'names that are not romanised', count(*) FILTER (n_nationkey % 5 < 2), NULL, 0 FROM nation)"""),

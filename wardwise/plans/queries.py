@@ -48,7 +48,11 @@ def amenity_score_top20(s, d):
 
 
 def minmax_norm(s, d):
-    a = _shop(amenities(s, d)).withColumn("food", (F.col("n_restaurant") + F.col("n_cafe")).cast("double")).withColumn("constant", F.lit(1.0))
+    return normalized(amenities(s, d))
+
+
+def normalized(of_stations):
+    a = _shop(of_stations).withColumn("food", (F.col("n_restaurant") + F.col("n_cafe")).cast("double")).withColumn("constant", F.lit(1.0))
     return _round(metrics.min_max(a, ["shop", "food", "constant"]).select("anchor_id", "norm_shop", "norm_food", "norm_constant"), "norm_shop", "norm_food")
 
 
@@ -87,7 +91,11 @@ def near_line_share(s, d):
 
 
 def quietness_proxy(s, d):
-    bars = metrics.min_max(amenities(s, d), ["n_bar"]).select("anchor_id", (F.col("norm_n_bar") / 100).alias("night"))
+    return quietness(s, d, amenities(s, d))
+
+
+def quietness(s, d, of_stations):
+    bars = metrics.min_max(of_stations, ["n_bar"]).select("anchor_id", (F.col("norm_n_bar") / 100).alias("night"))
     zone = _residential(s, d).withColumnRenamed("share", "residential")
     lines = _exposure(s, d).withColumnRenamed("share", "exposure")
     j = bars.join(zone, "anchor_id").join(lines, "anchor_id")
@@ -138,7 +146,12 @@ def points_in_any_region(s, d):
 
 
 def knn_stations(s, d):
-    at = A.localities(s, d).select(F.struct("locality", "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+    return stations_of(s, d, A.localities(s, d))
+
+
+def stations_of(s, d, places):
+    """The nearest stations of each place (locality, sample, lon, lat)."""
+    at = places.select(F.struct("locality", "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
     k = spatial.nearest(at, A.stations(s, d).select("id", "lon", "lat"), config.STATIONS_PER_SAMPLE, config.MAX_WALK_M)
     return k.select(F.col("anchor_id.locality").alias("locality"), F.col("anchor_id.sample").alias("sample"), F.col("id").alias("station"), F.col("rank").cast("long").alias("rank"), F.round("dist_m", 3).alias("dist_m"))
 
@@ -250,11 +263,17 @@ def sample_places(s, d):
     return spatial.sample_homes(edges, spatial.ring_edges(A.home_rings(s, d)), config.SAMPLES)
 
 
-def _catchments(s, d):
-    places = materialized(sample_places(s, d), "samples")  # read by each metric
+def _around(places):
     return places.select(F.struct(F.col("region_id").alias("locality"), "sample").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
 
 
+def catchments(s, d, places):
+    """What there is around each sample: locality, sample and a count for each kind."""
+    n = spatial.near_counts(_around(places), A.pois(s, d), config.CATCHMENT_M, metrics.amenity_aggregates())
+    cols = {"supermarkets": metrics.shop_score(F.col("n_supermarket"), F.col("n_grocery"), F.col("n_convenience")), "restaurants": F.col("n_restaurant") + F.col("n_cafe"), "konbini": F.col("n_convenience"), "cuisine_variety": F.col("n_cuisines"), "late_night": F.col("n_late"), "health": F.col("n_health"), "bars": F.col("n_bar")}
+    return n.fillna(0).select("anchor_id.locality", "anchor_id.sample", *[c.cast("double").alias(k) for k, c in cols.items()])
+
+
 def _locality_shares(s, d, at):
     """Medians over each locality's samples of the residential, near-line and green shares of their catchments."""
     # Region kinds as in coverage_share and points_in_any_region.
@@ -266,12 +285,14 @@ def _locality_shares(s, d, at):
 
 
 def _locality_axes(s, d):
+    places = materialized(sample_places(s, d), "samples")  # read by each metric
+    return axes_of(s, d, places, catchments(s, d, places))
+
+
+def axes_of(s, d, places, counts):
     """Scores of each locality by axis, from the medians over its samples."""
-    at = _catchments(s, d)
-    n = spatial.near_counts(at, A.pois(s, d), config.CATCHMENT_M, metrics.amenity_aggregates())
-    cols = {"supermarkets": metrics.shop_score(F.col("n_supermarket"), F.col("n_grocery"), F.col("n_convenience")), "restaurants": F.col("n_restaurant") + F.col("n_cafe"), "konbini": F.col("n_convenience"), "cuisine_variety": F.col("n_cuisines"), "late_night": F.col("n_late"), "health": F.col("n_health"), "bars": F.col("n_bar")}
-    n = n.fillna(0).select(F.col("anchor_id.locality").alias("locality"), *[c.cast("double").alias(k) for k, c in cols.items()])
-    m = n.groupBy("locality").agg(*[F.percentile(k, 0.5).alias(k) for k in cols]).join(_locality_shares(s, d, at), "locality")
+    cols = [c for c in counts.columns if c not in ("locality", "sample")]
+    m = counts.groupBy("locality").agg(*[F.percentile(k, 0.5).alias(k) for k in cols]).join(_locality_shares(s, d, _around(places)), "locality")
     axes = [F.struct(F.lit(k).alias("axis"), metrics.sufficiency(F.col(k), config.TARGETS[k]).alias("score")) for k in cols if k != "bars"]
     axes.append(F.struct(F.lit("quietness").alias("axis"), metrics.locality_quietness(F.col("residential"), F.col("exposure"), F.col("bars")).alias("score")))
     axes.append(F.struct(F.lit("green_space").alias("axis"), metrics.sufficiency(F.col("green"), config.TARGETS["green_space"]).alias("score")))

@@ -84,6 +84,7 @@ VIEWS = {
     "inner_median": f"SELECT locality, sample, quantile_cont(price, 0.5) AS m, count(price) AS n FROM loc l JOIN home h ON {_dist('l', 'h')} <= 1500 GROUP BY 1, 2",
     "two": "SELECT locality, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(n::DOUBLE, 0.5), 6) AS median_count FROM inner_median GROUP BY 1",
     "knn": f"SELECT * FROM (SELECT locality, sample, s.id AS station, round({_dist('l', 's')}, 3) AS dist_m, row_number() OVER (PARTITION BY locality, sample ORDER BY pow(l.lat - s.lat, 2) + pow(l.lon - s.lon, 2), s.id) AS rank FROM loc l JOIN station s ON {_dist('l', 's')} <= 1500) WHERE rank <= 3",
+    "sknn": f"SELECT * FROM (SELECT locality, sample, s.id AS station, round({_dist('l', 's')}, 3) AS dist_m, row_number() OVER (PARTITION BY locality, sample ORDER BY pow(l.lat - s.lat, 2) + pow(l.lon - s.lon, 2), s.id) AS rank FROM sloc l JOIN station s ON {_dist('l', 's')} <= 1500) WHERE rank <= 3",
     "run": "SELECT event_id, event_type AS source, ts AS started_at, CASE WHEN (props->>'$.k')::BIGINT % 3 = 0 THEN 'failed' ELSE 'success' END AS status, value AS rows FROM events",
     "stat": "SELECT ward, source, period, 1000 + (floor(avg(o_totalprice))::BIGINT % 19000)::DOUBLE AS rent_per_sqm, (count(*) % 20000)::DOUBLE AS fee FROM (SELECT c_nationkey AS ward, CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'reins' ELSE 'estat' END AS source, year(o_orderdate)::VARCHAR AS period, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey) GROUP BY 1, 2, 3",
     "choice": f"SELECT * EXCLUDE (r), CASE WHEN source = 'reins' THEN 2 WHEN {YEAR} - left(period, 4)::INT > 5 THEN 0 ELSE 1 END AS base_confidence FROM (SELECT *, row_number() OVER (PARTITION BY ward ORDER BY source = 'reins' DESC, period DESC) AS r FROM stat WHERE source = 'estat' OR {YEAR} - left(period, 4)::INT <= 2) WHERE r = 1",
