@@ -23,6 +23,13 @@ def stations(spark, d) -> DataFrame:
     return table(spark, d, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("ward"), lon_of(k).alias("lon"), lat_of(k).alias("lat"))
 
 
+def stations_and_halts(spark, d) -> DataFrame:
+    """Stations, and beside every seventh a halt within walking distance that no train calls at."""
+    st = stations(spark, d).select("id", "name", "lon", "lat")
+    halts = st.where("id % 7 = 2").select((F.col("id") + 1000000).alias("id"), F.concat("name", F.lit(" halt")).alias("name"), (F.col("lon") + 0.0011).alias("lon"), (F.col("lat") + 0.0012 * (1 + F.col("id") % 3)).alias("lat"))
+    return st.unionByName(halts)
+
+
 def anchors(spark, d) -> DataFrame:
     return stations(spark, d).select(F.col("id").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"), "name", "ward")
 

@@ -277,7 +277,7 @@ def merged_topology(s, d):
 
 
 def transfer_edges(s, d):
-    return transit.transfer_edges(A.stations(s, d)).select("from_id", "to_id", "minutes", "kind")
+    return transit.transfer_edges(A.stations_and_halts(s, d)).select("from_id", "to_id", "minutes", "kind")
 
 
 def line_centres(s, d):

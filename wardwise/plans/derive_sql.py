@@ -61,7 +61,7 @@ SQL = {
       SELECT a AS from_id, b AS to_id, line, round(m, 6) AS minutes FROM ride WHERE b IS NOT NULL UNION ALL SELECT b, a, line, round(m, 6) FROM ride WHERE b IS NOT NULL""").replace("\nWITH hit", ",\nhit"),
     "merged_lines": q("SELECT line_id, count(*) AS parts, max(n) AS longest, round(sum(len), 6) AS length_m FROM (SELECT line_id, part, count(*) AS n, sum(len) AS len FROM tpiece GROUP BY 1, 2) GROUP BY 1"),
     "merged_topology": q(f"""SELECT a AS from_id, b AS to_id, line, round(min(m), 6) AS minutes FROM (WITH ride AS (SELECT id AS a, lead(id) OVER w AS b, line_id AS line, (lead(pos) OVER w - pos) / 1000 / (CASE {_MODES}[line_id % 4 + 1] {" ".join(f"WHEN '{m}' THEN {v}" for m, v in config.SPEED_KMH.items())} END) * 60 AS m FROM thit WINDOW w AS (PARTITION BY line_id, part ORDER BY pos, id)) SELECT a, b, line, m FROM ride UNION ALL SELECT b, a, line, m FROM ride) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2, 3"""),
-    "transfer_edges": q(f"SELECT a.id AS from_id, b.id AS to_id, 0::DOUBLE AS minutes, 'transfer' AS kind FROM station a JOIN station b ON a.id <> b.id AND {_dist('a', 'b')} <= 300"),
+    "transfer_edges": q(f"SELECT a.id AS from_id, b.id AS to_id, 0::DOUBLE AS minutes, 'transfer' AS kind FROM halt a JOIN halt b ON a.id <> b.id AND {_dist('a', 'b')} <= 300"),
     "line_centres": q(f"SELECT ward, round(sum((x + y) / 2 * len) / sum(len), 6) AS lon, round(sum((u + v) / 2 * len) / sum(len), 6) AS lat, round(sum(len), 6) AS length_m FROM (SELECT a.ward, a.lon AS x, b.lon AS y, a.lat AS u, b.lat AS v, {_dist('a', 'b')} AS len FROM station a JOIN (SELECT id, lon + 0.01::DOUBLE * (id % 3 + 1) AS lon, lat + 0.005::DOUBLE AS lat FROM station) b ON a.id = b.id) GROUP BY 1"),
     "canvas_points": q("SELECT id, round((lon - w) * k * (1000 / ((e - w) * k)), 3) AS x, round((n - lat) * (1000 / ((e - w) * k)), 3) AS y FROM (SELECT id, lon, lat, min(lon) OVER () AS w, max(lon) OVER () AS e, max(lat) OVER () AS n, cos(radians((min(lat) OVER () + max(lat) OVER ()) / 2)) AS k FROM station)"),
 }

@@ -227,7 +227,7 @@ def station_lines(s, d):
 
 
 def orphan_stations(s, d):
-    return transit.orphans(A.stations(s, d).select("id"), A.rail_edges(s, d)).select("id")
+    return transit.orphans(A.stations_and_halts(s, d).select("id"), A.rail_edges(s, d)).select("id")
 
 
 def _matrix(s, d):
@@ -515,7 +515,7 @@ def union_places(s, d):
 
 
 def walk_seeds(s, d):
-    at = A.localities(s, d).where("sample = 5").select(F.col("locality").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+    at = A.localities(s, d).select((F.col("locality") * 10 + F.col("sample")).alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
     return transit.access_seeds(at, A.stations(s, d))
 
 

@@ -35,6 +35,7 @@ def _pick(pairs: list[tuple[str, str]], other: str) -> str:
 
 VIEWS = {
     "station": f"SELECT s_suppkey AS id, s_name AS name, s_nationkey AS ward, {_at('s_suppkey')} FROM supplier",
+    "halt": "SELECT id, name, lon, lat FROM station UNION ALL SELECT id + 1000000, name || ' halt', lon + 0.0011::DOUBLE, lat + 0.0012::DOUBLE * (1 + id % 3) FROM station WHERE id % 7 = 2",
     "poi": f"""SELECT 'c' || c_custkey AS poi_id, c_name AS name,
         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'supermarket' WHEN 'BUILDING' THEN 'convenience' WHEN 'FURNITURE' THEN 'bar' WHEN 'MACHINERY' THEN 'cafe' ELSE 'health' END AS category,
         NULL::VARCHAR AS cuisine, NULL::VARCHAR AS opening_hours, {_at('c_custkey')} FROM customer
@@ -221,7 +222,7 @@ SQL = {
     "timetable_edges": q("""SELECT * EXCLUDE (r) FROM (SELECT stop AS from_id, next_stop AS to_id, line, round(coalesce(p, o), 6) AS peak_minutes, round(coalesce(o, p), 6) AS offpeak_minutes, round(CASE WHEN pg IS NULL THEN 4 ELSE least(15, greatest(1, pg / 2)) END, 6) AS peak_wait, round(CASE WHEN og IS NULL THEN 6 ELSE least(15, greatest(1, og / 2)) END, 6) AS offpeak_wait,
         row_number() OVER (PARTITION BY stop, next_stop, line ORDER BY n DESC, l.first_stop, l.route) AS r FROM (SELECT route, first_stop, stop, next_stop, route % 3 AS line, max(median_minutes) FILTER (period = 'peak') AS p, max(median_minutes) FILTER (period = 'offpeak') AS o, sum(n) AS n FROM pair GROUP BY ALL) l LEFT JOIN (SELECT route, first_stop, max(headway) FILTER (period = 'peak') AS pg, max(headway) FILTER (period = 'offpeak') AS og FROM gap GROUP BY ALL) g ON g.route = l.route AND g.first_stop = l.first_stop) WHERE r = 1"""),
     "station_lines": q("SELECT id, string_agg(name, ',' ORDER BY name) AS lines FROM (SELECT DISTINCT f AS id, 'line ' || line AS name FROM edge) GROUP BY 1"),
-    "orphan_stations": q("SELECT id FROM station WHERE id NOT IN (SELECT f FROM edge)"),
+    "orphan_stations": q("SELECT id FROM halt WHERE id NOT IN (SELECT f FROM edge)"),
     "commute_matrix": q("SELECT dest, node, line, round(total, 6) AS total FROM s"),
     "commute_by_station": q("SELECT dest, node, round(total + 8, 6) AS minutes FROM best"),
     "locality_commute": q("SELECT locality, dest, round(minutes, 6) AS minutes, round(low, 6) AS low, round(high, 6) AS high FROM commute"),
@@ -262,7 +263,7 @@ SQL = {
     "nested_samples": q("SELECT locality, count(*) AS n, '[' || string_agg('{\"sample\":' || sample || ',\"stations\":[' || x || ']}', ',' ORDER BY sample) || ']' AS json FROM (SELECT locality, sample, string_agg('{\"rank\":' || rank || ',\"station\":' || station || '}', ',' ORDER BY rank) AS x FROM knn GROUP BY 1, 2) GROUP BY 1"),
     "nearby_stations": q("SELECT * FROM (SELECT locality, station, dist_m, row_number() OVER (PARTITION BY locality ORDER BY dist_m, station) AS rank FROM (SELECT locality, station, min(dist_m) AS dist_m FROM knn GROUP BY 1, 2)) WHERE rank <= 3"),
     "union_places": q("SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM place GROUP BY 1"),
-    "walk_seeds": q(f"SELECT locality AS dest, s.id AS node, ceil({_dist('l', 's')} * 1.3::DOUBLE / 80) AS walk FROM loc l JOIN station s ON l.sample = 5 AND {_dist('l', 's')} <= 1500"),
+    "walk_seeds": q(f"SELECT locality * 10 + sample AS dest, s.id AS node, ceil({_dist('l', 's')} * 1.3::DOUBLE / 80) AS walk FROM loc l JOIN station s ON {_dist('l', 's')} <= 1500"),
     "slug_ids": "SELECT n_nationkey AS id, 'the-' || replace(lower(n_name), '_', '-') || '-ward' AS slug, n_nationkey || ':' || left(sha256(n_name), 16) AS stable FROM nation",
     "roundings": "SELECT sum(floor(x + 0.5))::BIGINT AS half_up, sum(round_even(x, 0))::BIGINT AS half_even, round(sum(floor(x * 10 + 0.5) / 10), 4) AS one_decimal FROM (SELECT o_totalprice / 1000 AS x FROM orders)",
     "merged_stations": q(f"""WITH RECURSIVE m AS (SELECT substr(poi_id, 2)::BIGINT AS id, name, lon, lat FROM poi WHERE category = 'supermarket'),
