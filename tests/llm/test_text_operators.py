@@ -265,6 +265,22 @@ def test_ip_parts_may_begin_with_any_number_of_zeros():
     assert [(a, b) for a, b, k in crf_pii.base_spans(raw) if k == 1] == [(0, 5007), (len(raw) - 11, len(raw))]
 
 
+def test_long_runs_of_digits_and_dots_are_read_once():
+    import re
+    import time
+
+    plain = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(9)
+    for _ in range(3000):
+        raw = "".join(rng.choice("0127.. x") for _ in range(rng.randint(5, 60))).encode()
+        want = [m.span() for m in plain.finditer(raw) if crf_pii.formed("ip", m[0])]
+        assert [(a, b) for a, b, k in crf_pii.base_spans(raw) if k == 1] == want
+    begun = time.time()
+    for raw in (b"7" * 1_000_000 + b".1..1.1", b"1." * 500_000, b"12.34" * 200_000 + b"...", b"." * 1_000_000):
+        crf_pii.base_spans(raw)
+    assert time.time() - begun < 20
+
+
 def test_labelled_lines_are_not_from_the_corpus(spark):
     import glob
 

@@ -32,7 +32,8 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 _after_at = re.compile(rb"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _local = re.compile(rb"[A-Za-z0-9._%+-]")
 _dotted = re.compile(rb"[0-9.]{7,}")
-_ip = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match never begins inside a run of digits: what fails from its beginning fails from there too. So runs are read once.
+_ip = re.compile(rb"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _card = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _not_digit = re.compile(rb"[^0-9]")
