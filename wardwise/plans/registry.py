@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derive, derive_sql, feeds, feeds_sql, queries, sql
+from . import derive, derive_sql, feeds, feeds_sql, imports, imports_sql, queries, sql
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
-QUERIES = queries.QUERIES | derive.QUERIES | feeds.QUERIES
-SQL = sql.SQL | derive_sql.SQL | feeds_sql.SQL
+QUERIES = queries.QUERIES | derive.QUERIES | feeds.QUERIES | imports.QUERIES
+SQL = sql.SQL | derive_sql.SQL | feeds_sql.SQL | imports_sql.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,12 +76,18 @@ def zone(names: DataFrame, codes: DataFrame, rows: DataFrame) -> DataFrame:
     t = F.col("tags")
     raw = first_of(t, ["category", "用途地域", "A29_005", "A29_004", "use_district"])
     r = rows.withColumn("raw", raw).withColumn("flag", F.try_element_at(t, F.lit("is_residential")).try_cast("boolean"))
-    pick = lambda df, tag: F.broadcast(df.select("raw", F.col("category").alias(f"c_{tag}"), F.col("is_residential").alias(f"r_{tag}")))
+    pick = lambda df, tag: df.select("raw", F.col("category").alias(f"c_{tag}"), F.col("is_residential").alias(f"r_{tag}"))
     r = r.join(pick(names, "n"), "raw", "left").join(pick(codes, "c"), "raw", "left")
     by_word = F.when(F.col("raw").contains("住居"), "residential").when(F.col("raw").contains("商業"), "commercial").when(F.col("raw").contains("工業"), "industrial")
     return r.withColumn("category", F.coalesce("c_n", "c_c", by_word)).withColumn("is_residential", F.coalesce("flag", "r_n", "r_c", by_word == "residential")).drop("c_n", "c_c", "r_n", "r_c", "flag")
 
 
+def checked_zones(names: DataFrame, codes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``zone``, and the areas that cannot be used, with the reason."""
+    z = zone(names, codes, rows).withColumn("reason", F.when(F.col("raw").isNull(), "no category").when(F.col("category").isNull(), "unknown category"))
+    return z.where("reason is null").drop("reason"), z.where("reason is not null")
+
+
 def rail_mode(kind: Column, operator_type: Column, operator: Column) -> Column:
     """Mode of a rail line: monorail and the like, subway, commuter rail, else local."""
     return (

@@ -67,6 +67,14 @@ def statistics_cube(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(data["TABLE_INF"]["@id"].alias("table_id"), F.explode(many).alias("c")).select("table_id", F.col("c.`@area`").alias("area"), F.col("c.`@tab`").alias("tab"), F.col("c.`@unit`").alias("unit"), number(F.col("c.`$`")).alias("value"))
 
 
+def cube_problems(cells: DataFrame, table_id: str, expected: DataFrame) -> DataFrame:
+    """Areas that a cube cannot be taken for: of another table, unknown, missing, repeated or without a value: area, problem. expected: area."""
+    n = cells.groupBy("area").agg(F.count("*").alias("n"), F.count_if(F.col("table_id").eqNullSafe(table_id)).alias("own"), F.count("value").alias("values"))
+    j = n.join(expected.select("area").distinct().withColumn("_e", F.lit(True)), "area", "full")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("own") < F.col("n"), "table").when(F.col("_e").isNull(), "unknown").when(F.col("n") > 1, "repeated").when(F.col("values") == 0, "value")
+    return j.withColumn("problem", problem).where("problem is not null").select("area", "problem")
+
+
 def rent_and_fee(rents: DataFrame, fees: DataFrame) -> DataFrame:
     """Two cubes as one row an area; a fee that is not there is 0."""
     return rents.select("area", F.col("value").alias("rent_per_sqm_yen")).join(fees.select("area", F.col("value").alias("management_fee_yen")), "area", "left").fillna(0.0, ["management_fee_yen"])
