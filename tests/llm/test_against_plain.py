@@ -117,3 +117,48 @@ def test_field_on_lines_held_out(monkeypatch):
         getattr(cached, "cache_clear", lambda: None)()
     print(f"field on held-out lines: {right} right of {found} found, {there} labelled")
     assert right / found > 0.8 and right / there > 0.6
+
+
+PERSONAL = """
+phone <phone>2125550187</phone>
+dial <phone>020 7946 0018</phone> tonight
+her mobile, <phone>07700 900123,</phone> is off
+Phone: <phone>(303) 555-0177</phone>
+you can call me on <phone>617 555 0149</phone>
+cell <phone>5125550110,</phone> evenings
+office <phone>0114 496 0999</phone>
+telephone <phone>1-800-555-0199</phone> free
+Card no. <card>4242 4242 4242 4242</card> exp
+visa <card>4000056655665556</card>
+charged to <card>5105105105105100</card> again
+seen from <ip>203.0.113.9!</ip> twice
+mailto <email>kim@example.org;</email>
+order 2125550187 shipped
+invoice 4075550123
+ISBN 978-0-306-40615-7
+population 8336817 in 2020
+row 1 2 3 4 5 6 7 8 9 10 11
+lot 7946 0018
+see pages 1001 1002 1003 1004
+batch 20240131 2024020112
+account 1234567890
+between 1914 1918 and 1939 1945
+measured 123 456 7890 units
+call 911
+the 1000000000 barrels
+"""
+
+
+def test_cues_tell_numbers_apart_on_lines_of_another_form(docs):
+    """Lines that the field was not trained on: other words, other forms, other numbers."""
+    lines = PERSONAL.strip().split("\n")
+    made = set(crf_pii.made_lines())
+    assert not made & set(lines) and len(made) > 300
+    want = set()
+    for i, line in enumerate(lines):
+        for m in re.finditer(r"<(\w+)>(.*?)</\w+>", line):
+            start = len(re.sub(r"</?\w+>", "", line[: m.start()]))
+            want.add((i, f"{m[1]}:{start}:{start + len(m[2].rstrip(',;!'))}"))
+    got = {(r.doc_id, s) for r in crf_pii.find_pii(docs([(i, re.sub(r"</?\w+>", "", x)) for i, x in enumerate(lines)])).collect() for s in r.spans.split(",") if s}
+    assert {(0, "phone:6:16"), (1, "phone:5:18")} <= got
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
