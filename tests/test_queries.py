@@ -10,7 +10,7 @@ from wardwise.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["amenity_counts_800m", "minmax_norm", "sufficiency_scores", "catchment_land_median", "ward_assignment", "points_in_any_region", "transfer_pairs", "latest_run", "rent_choice", "pair_travel_medians", "headways", "orphan_stations", "place_search", "sync_upsert", "array_union_upsert", "dq_report", "name_audit", "slug_ids", "commute_matrix"]
+SOME = ["amenity_counts_800m", "minmax_norm", "sufficiency_scores", "catchment_land_median", "ward_assignment", "points_in_any_region", "transfer_pairs", "latest_run", "rent_choice", "pair_travel_medians", "headways", "orphan_stations", "place_search", "sync_upsert", "array_union_upsert", "dq_report", "name_audit", "slug_ids", "commute_matrix", "graph_rejects", "resolved_names", "cube_read", "zones", "similar_part_names"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
