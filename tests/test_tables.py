@@ -173,3 +173,36 @@ def test_periods_arrays_guards_and_backfill(spark):
     names = spark.createDataFrame([(1, None), (2, "old"), (3, "same")], "k int, name_en string")
     table, report = tables.backfill(names, spark.createDataFrame([(1, "one"), (2, "two"), (3, "same")], names.schema), "k", "name_en")
     assert rows(table) == [(1, "one"), (2, "two"), (3, "same")] and tuple(report.first()) == (3, 2, 1)
+
+
+def test_nullable_references_and_values_filled_in_all_or_none(spark):
+    rows_ = spark.createDataFrame([(1, 7, 8), (2, 9, 7), (3, None, 9)], "id int, a int, b int")
+    gone = spark.createDataFrame([(7,), (7,), (8,)], "k int")
+    assert sorted(map(tuple, tables.without_references(rows_, gone, {"a": "k", "b": "k"}).collect())) == [(1, None, None), (2, 9, None), (3, None, 9)]
+    names = spark.createDataFrame([(1, None), (2, "two")], "k int, name_en string")
+    latin = F.col("name_en").rlike("^[a-z]+$")
+    new = lambda *x: spark.createDataFrame(list(x), names.schema)
+    bad = new((1, "one"), (2, "x"), (2, "y"), (3, "three"), (1, "one"))
+    assert sorted(map(tuple, tables.backfill_problems(names, bad, "k", "name_en", latin).collect())) == [(1, "repeated"), (2, "repeated"), (3, "unknown")]
+    with pytest.raises(ValueError, match="1 invalid, 1 unknown"):
+        tables.backfill_checked(names, new((1, "渋谷"), (5, "five")), "k", "name_en", latin)
+    table, report = tables.backfill_checked(names, new((1, "one")), "k", "name_en", latin)
+    assert sorted(map(tuple, table.collect())) == [(1, "one"), (2, "two")] and report.first().updated == 1
+
+
+def test_fees_that_are_no_numbers_reject_the_row(spark):
+    tags = [{"code": "13101", "period": "2023Q1", "rent_per_sqm_yen": "3,000", "management_fee_yen": fee} if fee is not None else {"code": "13101", "period": "2023Q1", "rent_per_sqm_yen": "3,000"} for fee in ("1,000", "", None, "n/a", "-")]
+    wards = spark.createDataFrame([("13101", "千代田区")], "ward_code string, name string")
+    got = tabular.quarterly_rents(spark.createDataFrame([(t,) for t in tags], "tags map<string,string>"), wards).select("management_fee_yen", "reason")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1000.0, None), (0.0, None), (0.0, None), (None, "fee"), (None, "fee")], key=repr)
+
+
+def test_short_texts_are_searched_by_their_own_length(spark):
+    from wardwise.operators import search
+
+    places = spark.createDataFrame([("p1", "poi", "Ab cd", ["x"]), ("p2", "station", "b", None), ("p3", "poi", None, ["zab"])], "place_id string, kind string, name string, aliases array<string>")
+    asked = spark.createDataFrame([(1, "b"), (2, "AB"), (3, "b cd"), (4, ""), (5, None), (6, "q")], "query_id int, query string")
+    got = {}
+    for r in search.place_search(asked, places).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.place_id)
+    assert {k: sorted(v) for k, v in got.items()} == {1: ["p1", "p2", "p3"], 2: ["p1", "p3"], 3: ["p1"]} and got[1][0] == "p2"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +15,21 @@ from wardwise.sources.shared import materialized
 def place_search(queries: DataFrame, places: DataFrame, limit: int = config.PLACES) -> DataFrame:
     """Places (place_id, kind, name, aliases) that hold each query (query_id, query), the most similar first.
 
-    Queries of three characters or more meet places by a shared piece of three
-    characters, so no pair is looked at that cannot match; the piece chosen is the
-    query's first, and places are listed by each of theirs. Shorter queries are few
-    and are compared with all places.
+    A query meets places by a shared piece: its first three characters, or all of it if it has fewer, so no
+    pair is looked at that cannot match. Empty queries find nothing.
     """
+    every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
 
-    def pieces(text):
+    def pieces(text, size: int):
         t = F.lower(text)
-        return F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - 2)), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-
-    every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    by_piece = places.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(every, pieces)))))
-    long, short = queries.where(F.length("query") >= 3), queries.where(F.length("query") < 3)
-    hits = long.withColumn("piece", F.substring(F.lower("query"), 1, 3)).join(by_piece, "piece").drop("piece").unionByName(F.broadcast(short).join(places, how="cross"))
-    hits = hits.where(matches(F.col("query"), [F.col("name")], [F.col("aliases")]))
+        return F.when(F.length(t) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - size + 1)), lambda i: F.substring(t, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    found = []
+    for size in (1, 2, 3):
+        by_piece = places.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(every, lambda x: pieces(x, size))))))  # noqa: B023
+        asked = queries.where(F.length("query") >= 3 if size == 3 else F.length("query") == size)
+        found.append(asked.withColumn("piece", F.substring(F.lower("query"), 1, size)).join(by_piece, "piece").drop("piece"))
+    hits = reduce(DataFrame.unionByName, found).where(matches(F.col("query"), [F.col("name")], [F.col("aliases")]))
     scored = hits.withColumn("similarity", best_similarity(F.col("query"), [F.col("name")], [F.col("aliases")]))
     first = F.when(F.col("kind") == "station", 0).otherwise(1)
     w = Window.partitionBy("query_id").orderBy(first, F.desc("similarity"), "name", "place_id")

@@ -57,6 +57,31 @@ def blocked(stale_keys: DataFrame, references: dict[str, DataFrame], key: str) -
     return reduce(DataFrame.unionByName, parts)
 
 
+def without_references(rows: DataFrame, gone: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The rows with null where a nullable column points to a key that is to go. columns: column of the rows to key of ``gone``."""
+    out = rows
+    for column, key in columns.items():
+        lost = gone.select(F.col(key).alias(column)).distinct().withColumn("_lost", F.lit(True))
+        out = out.join(lost, column, "left").withColumn(column, F.when(F.col("_lost").isNull(), F.col(column))).drop("_lost")
+    return out.select(*rows.columns)
+
+
+def backfill_problems(current: DataFrame, names: DataFrame, key: str, column: str, valid: Column) -> DataFrame:
+    """Why new values cannot be filled in, all or none: keys that are unknown, there twice, or whose value is not valid: key, problem."""
+    n = names.withColumn("_valid", F.coalesce(valid, F.lit(False))).groupBy(key).agg(F.count("*").alias("_n"), F.min("_valid").alias("_valid"))
+    j = n.join(current.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    problem = F.when(F.col("_known").isNull(), "unknown").when(F.col("_n") > 1, "repeated").when(~F.col("_valid"), "invalid")
+    return j.withColumn("problem", problem).where("problem is not null").select(key, "problem")
+
+
+def backfill_checked(current: DataFrame, names: DataFrame, key: str, column: str, valid: Column) -> tuple[DataFrame, DataFrame]:
+    """As ``backfill``, but an error that names the problems, and nothing filled in, if there is any."""
+    found = [f"{r.n} {r.problem}" for r in backfill_problems(current, names, key, column, valid).groupBy("problem").agg(F.count("*").alias("n")).orderBy("problem").collect()]  # three rows at most
+    if found:
+        raise ValueError(f"{column} cannot be filled in: " + ", ".join(found))
+    return backfill(current, names, key, column)
+
+
 def backfill(current: DataFrame, names: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
     """The table with new values where they differ, and a report."""
     n = names.select(key, F.col(column).alias("_new"))

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from wardwise.functions import numbers, text
-from wardwise.operators import quality
+from wardwise.operators import quality, transit
 from wardwise.sources import maps, tabular, timetable
 from wardwise.sources.shared import shared_folder
 
 from . import adapters as A
+from . import queries as Q
 
 
 def matched_stops(s, d):
@@ -112,4 +113,15 @@ def price_tables(s, d):
     return bad.groupBy("ward", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n")).unionByName(good.groupBy("ward").agg(F.count("*").alias("n")).select("ward", F.lit("").alias("reasons"), "n"))
 
 
-QUERIES = {f.__name__: f for f in (matched_stops, mapped_routes, resolved_names, preferred_names, cube_read, zones, rail_modes, name_keys, price_tables)}
+def import_health(s, d):
+    """Shares of stops without a station, of stations without rides and of rents without near prices, each with its threshold."""
+    checks = [
+        ("unmatched stops", quality.share(matched_stops(s, d), F.col("station").isNull()), 0.5),
+        ("stations without rides", quality.share(A.stations_and_halts(s, d).join(transit.orphans(A.stations_and_halts(s, d).select("id"), A.rail_edges(s, d)).withColumn("orphan", F.lit(True)), "id", "left"), F.col("orphan").isNotNull()), 0.1),
+        ("rents without near prices", quality.share(Q.land_multiplier(s, d), F.col("fallback")), 0.25),
+    ]
+    parts = [df.select(F.lit(label).alias("label"), "bad", "n", F.round("share", 6).alias("share"), (F.col("share") <= most).alias("passed")) for label, df, most in checks]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUERIES = {f.__name__: f for f in (matched_stops, mapped_routes, resolved_names, preferred_names, cube_read, zones, rail_modes, name_keys, price_tables, import_health)}

@@ -25,3 +25,7 @@ SQL = {
     "name_keys": "SELECT s_suppkey AS id, lower(s_name) AS station, '霞ケ' || s_name AS ward, CASE greatest(s_suppkey % 3 - s_suppkey % 2, 0) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, '¥' || format('{:,}', s_suppkey * 1234) AS price FROM supplier",
     "price_tables": q("""SELECT ward, concat_ws(',', CASE WHEN NOT price > 0 THEN 'price' END, CASE WHEN use <> 'residential' THEN 'use' END, CASE WHEN NOT (lat BETWEEN 35.5 AND 35.82 AND lon BETWEEN 139.56 AND 139.92) THEN 'place' END) AS reasons, count(*) AS n FROM price GROUP BY 1, 2"""),
 }
+SQL["import_health"] = q(f"""SELECT label, bad, n, round(bad / n, 6) AS share, bad / n <= most AS passed FROM (
+  SELECT 'unmatched stops' AS label, count(*) FILTER (station IS NULL) AS bad, count(*) AS n, 0.5 AS most FROM (SELECT p.id, m.station FROM station p JOIN (SELECT id, CASE WHEN id % 11 = 5 THEN id + 1 WHEN id % 7 <> 3 AND {_HAVERSINE} <= 300 THEN id END AS station FROM station s) m ON m.id = CASE WHEN p.id % 3 = 1 THEN p.id - 1 ELSE p.id END)
+  UNION ALL SELECT 'stations without rides', count(*) FILTER (id NOT IN (SELECT f FROM edge)), count(*), 0.1 FROM halt
+  UNION ALL SELECT 'rents without near prices', count(*) FILTER (NOT usable), count(*), 0.25 FROM mult)""")

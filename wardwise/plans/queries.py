@@ -433,6 +433,22 @@ def name_backfill(s, d):
     return tables.backfill(n, new, "id", "name_en")[1]
 
 
+def nulled_references(s, d):
+    """Stations and places after wards and categories have gone that they may do without."""
+    gone = A.table(s, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("ward"))
+    left = tables.without_references(A.stations(s, d).select("id", "ward"), gone, {"ward": "ward"})
+    return left.groupBy("ward").agg(F.count("*").alias("n"))
+
+
+def backfill_problems(s, d):
+    """English names that cannot be filled in: of unknown wards, given twice, or not in Latin letters."""
+    n, k = A.table(s, d, "nation"), F.col("n_nationkey")
+    current = n.where("n_nationkey % 7 <> 3").select(k.alias("id"))
+    names = n.select(k.alias("id"), F.when(k % 5 == 1, "渋谷").otherwise(text.title(F.col("n_name"))).alias("name_en"))
+    names = names.unionByName(names.where("id % 4 = 2"))
+    return tables.backfill_problems(current, names, "id", "name_en", F.col("name_en").rlike("^[A-Za-z0-9_ ]+$"))
+
+
 def one_per_name(s, d):
     p = A.table(s, d, "part").select("p_brand", "p_partkey")
     return tables.hashed_pick(p, "p_brand", "p_partkey")
@@ -491,8 +507,13 @@ def price_vintages(s, d):
 
 
 def evidence_counts(s, d):
-    p = A.pois(s, d)
-    return p.agg(F.count("*").alias("places"), F.count_if(F.col("category").isin(*config.FOOD)).alias("food"), F.count_distinct("cuisine").alias("cuisines"), F.count_if(times.late_night(F.col("opening_hours"))).alias("late"), F.count_if(F.col("category") == "health").alias("health"))
+    """What the answers rest on: ten counts in one row."""
+    p, home = A.pois(s, d), F.col("use") == "residential"
+    one = p.agg(F.count("*").alias("places"), F.count_if(F.col("category").isin(*config.FOOD)).alias("food"), F.count_distinct("cuisine").alias("cuisines"), F.count_if(times.late_night(F.col("opening_hours"))).alias("late"), F.count_if(F.col("category") == "health").alias("health"))
+    more = [A.stations(s, d).agg(F.count("*").alias("stations")), A.rail_edges(s, d).agg(F.count_distinct("line").alias("lines")), A.land_prices(s, d).agg(F.count_if(home).alias("home_prices")), A.rent_stats(s, d).agg(F.count_distinct("ward").alias("rented_wards")), A.home_rings(s, d).agg(F.count_distinct("region_id").alias("localities_with_homes"))]
+    for row in more:
+        one = one.crossJoin(F.broadcast(row))  # one row each
+    return one
 
 
 def nested_samples(s, d):
@@ -650,7 +671,7 @@ QUERIES = {
         rent_choice, rent_by_layout, pair_travel_medians, headways, timetable_edges, station_lines, orphan_stations, commute_matrix,
         commute_by_station, locality_commute, locality_scores, hard_filter_counts, suggestions, ranked_shortlist, reasons_top3, factor_extremes,
         shortlist_concentration, standout_metrics, place_search, trigram_similarity, similar_station_names, similar_part_names, sync_upsert, plain_upsert,
-        replace_by_source, stale_keys, period_sync, array_union_upsert, reference_guard, name_backfill, one_per_name, dq_report, ward_coverage,
+        replace_by_source, stale_keys, period_sync, array_union_upsert, reference_guard, nulled_references, name_backfill, backfill_problems, one_per_name, dq_report, ward_coverage,
         name_audit, reject_split, fallback_share, weekday_services, name_match_cascade, price_vintages, evidence_counts, nested_samples,
         nearby_stations, union_places, walk_seeds, slug_ids, roundings,
         station_search, shortlist_funnel, neutral_card, nearby_last_sample, graph_health, unusable_candidates, commute_legs,

@@ -259,7 +259,9 @@ SQL = {
     "weekday_services": "SELECT o_orderstatus AS service, count(*) FILTER (isodow(o_orderdate) < 6) AS workdays, count(*) AS n FROM orders GROUP BY 1",
     "name_match_cascade": "SELECT n_nationkey AS \"row\", CASE WHEN n_nationkey % 3 = 0 OR n_nationkey % 2 = 0 THEN n_nationkey END AS ward, CASE WHEN n_nationkey % 3 = 0 THEN 'code' WHEN n_nationkey % 2 = 0 THEN 'name' ELSE 'none' END AS how FROM nation",
     "price_vintages": q("SELECT anchor_id, newest::INT AS newest, oldest::INT AS oldest FROM land"),
-    "evidence_counts": q("SELECT count(*) AS places, count(*) FILTER (food) AS food, count(DISTINCT cuisine) AS cuisines, count(*) FILTER (late) AS late, count(*) FILTER (category = 'health') AS health FROM late"),
+    "evidence_counts": q("SELECT count(*) AS places, count(*) FILTER (food) AS food, count(DISTINCT cuisine) AS cuisines, count(*) FILTER (late) AS late, count(*) FILTER (category = 'health') AS health, (SELECT count(*) FROM station) AS stations, (SELECT count(DISTINCT line) FROM edge) AS lines, (SELECT count(*) FROM home) AS home_prices, (SELECT count(DISTINCT ward) FROM stat) AS rented_wards, (SELECT count(DISTINCT region_id) FROM island) AS localities_with_homes FROM late"),
+    "nulled_references": q("SELECT CASE WHEN ward % 5 <> 0 THEN ward END AS ward, count(*) AS n FROM station GROUP BY 1"),
+    "backfill_problems": "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 7 = 3 THEN 'unknown' WHEN n_nationkey % 4 = 2 THEN 'repeated' ELSE 'invalid' END AS problem FROM nation WHERE n_nationkey % 7 = 3 OR n_nationkey % 4 = 2 OR n_nationkey % 5 = 1",
     "nested_samples": q("SELECT locality, count(*) AS n, '[' || string_agg('{\"sample\":' || sample || ',\"stations\":[' || x || ']}', ',' ORDER BY sample) || ']' AS json FROM (SELECT locality, sample, string_agg('{\"rank\":' || rank || ',\"station\":' || station || '}', ',' ORDER BY rank) AS x FROM knn GROUP BY 1, 2) GROUP BY 1"),
     "nearby_stations": q("SELECT * FROM (SELECT locality, station, dist_m, row_number() OVER (PARTITION BY locality ORDER BY dist_m, station) AS rank FROM (SELECT locality, station, min(dist_m) AS dist_m FROM knn GROUP BY 1, 2)) WHERE rank <= 3"),
     "union_places": q("SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM place GROUP BY 1"),

@@ -35,7 +35,7 @@ def yearly_rents(tags: DataFrame, wards: DataFrame, period: str, per_tsubo: bool
     """Ward rents of one survey with the reasons why a row cannot be used (null where it can)."""
     t = F.col("tags")
     rent = number(first_of(t, ["家賃(1㎡当たり)", "家賃（1㎡当たり）", "家賃(1平方m当たり)", "家賃(1畳当たり)", "rent_per_sqm_yen"]))
-    rows = tags.select(first_of(t, ["地域コード", "code", "ward_code"]).alias("code"), first_of(t, ["地域", "area", "ward"]).alias("area"), (F.floor(rent / F.lit(config.TSUBO_SQM) + 0.5).cast("double") if per_tsubo else rent).alias("rent_per_sqm_yen"), F.coalesce(number(first_of(t, ["共益費・サービス費", "共益費", "management_fee_yen"])), F.lit(0.0)).alias("management_fee_yen"), F.floor(number(first_of(t, ["標本数", "sample_count"])) + 0.5).cast("int").alias("sample_count"))
+    rows = tags.select(first_of(t, ["地域コード", "code", "ward_code"]).alias("code"), first_of(t, ["地域", "area", "ward"]).alias("area"), (F.floor(rent / F.lit(config.TSUBO_SQM) + 0.5).cast("double") if per_tsubo else rent).alias("rent_per_sqm_yen"), _number_or(first_of(t, ["共益費・サービス費", "共益費", "management_fee_yen"]), 0.0).alias("management_fee_yen"), F.floor(number(first_of(t, ["標本数", "sample_count"])) + 0.5).cast("int").alias("sample_count"))
     return _judged(_matched(rows, wards).withColumn("period", F.lit(period)).withColumn("source", F.lit("estat")))
 
 
@@ -44,11 +44,16 @@ def quarterly_rents(tags: DataFrame, wards: DataFrame) -> DataFrame:
     t = F.col("tags")
     whole = first_of(t, ["period"])
     period = F.coalesce(whole, F.concat(first_of(t, ["year"]), F.lit("Q"), first_of(t, ["quarter"])))
-    rows = tags.select(first_of(t, ["地域コード", "code", "ward_code"]).alias("code"), first_of(t, ["地域", "area", "ward"]).alias("area"), number(first_of(t, ["rent_per_sqm_yen"])).alias("rent_per_sqm_yen"), F.coalesce(number(first_of(t, ["management_fee_yen"])), F.lit(0.0)).alias("management_fee_yen"), number(first_of(t, ["sample_count"])).cast("int").alias("sample_count"), period.alias("period"))
+    rows = tags.select(first_of(t, ["地域コード", "code", "ward_code"]).alias("code"), first_of(t, ["地域", "area", "ward"]).alias("area"), number(first_of(t, ["rent_per_sqm_yen"])).alias("rent_per_sqm_yen"), _number_or(first_of(t, ["management_fee_yen"]), 0.0).alias("management_fee_yen"), number(first_of(t, ["sample_count"])).cast("int").alias("sample_count"), period.alias("period"))
     judged = _judged(_matched(rows, wards).withColumn("source", F.lit("reins")))
     return judged.withColumn("reason", F.when(~F.coalesce(F.col("period").rlike("^\\d{4}Q[1-4]$"), F.lit(False)), "period").otherwise(F.col("reason")))
 
 
+def _number_or(cell: Column, empty: float) -> Column:
+    """A numeric cell, or what an empty one stands for; what is no number stays null, so that the row is rejected."""
+    return F.when(F.coalesce(F.trim(cell), F.lit("")) == "", F.lit(empty)).otherwise(number(cell))
+
+
 def _judged(rows: DataFrame) -> DataFrame:
     def out(c: str, bounds) -> Column:
         return ~F.coalesce(F.col(c).between(*bounds), F.lit(False))
