@@ -102,7 +102,10 @@ def test_rounds_write_only_what_got_better(spark, tmp_path, monkeypatch):
     """A long line: every round betters one state, whatever is known by then."""
     edges = spark.createDataFrame([(i + 1, i, 1, "ride", 1.0, 2.0, 2) for i in range(12)], EDGES)
     monkeypatch.setattr(transit, "shared_folder", lambda spark: f"file://{tmp_path}")
-    m = transit.commute_matrix(edges, spark.createDataFrame([(0, 0, 0.0)], "dest long, node long, walk double"))
+    seeds = spark.createDataFrame([(0, 0, 0.0)], "dest long, node long, walk double")
+    assert transit.commute_matrix(edges, seeds).count() == 13 and not list(tmp_path.glob("commute-*"))  # rounds go when they are put together
+    monkeypatch.setattr(transit, "discard", lambda spark, path: None)
+    m = transit.commute_matrix(edges, seeds)
     rows = [spark.read.parquet(str(p)).count() for p in tmp_path.glob("commute-*/*")]
     assert m.count() == 13 and sorted(rows) == [0, *[1] * 13]
 

@@ -11,7 +11,7 @@ from wardwise import config
 from wardwise.functions.geo import haversine_m, walk_minutes
 from wardwise.functions.numbers import clamp
 from wardwise.functions.times import period as period_of
-from wardwise.sources.shared import materialized, shared_folder
+from wardwise.sources.shared import discard, materialized, shared_folder
 
 from .spatial import near, self_pairs
 
@@ -55,6 +55,14 @@ def timetable_edges(medians: DataFrame, gaps: DataFrame, stops: DataFrame, lines
     return e.withColumn("r", rank).where("r = 1").select("from_id", "to_id", "line", "peak_minutes", "offpeak_minutes", "peak_wait", "offpeak_wait", F.lit("ride").alias("kind"), F.lit(2).alias("confidence"))
 
 
+def timetable_skips(medians: DataFrame, stops: DataFrame, lines: DataFrame) -> DataFrame:
+    """Why legs of a timetable make no edge, and how many: reason, legs, runs. As for ``timetable_edges``."""
+    named = medians.join(lines, "route", "left")
+    named = named.join(stops.select("stop", F.col("station").alias("from_id")), "stop", "left").join(stops.select(F.col("stop").alias("next_stop"), F.col("station").alias("to_id")), "next_stop", "left")
+    reason = F.when(F.col("line").isNull(), "route without line").when(F.col("from_id").isNull() | F.col("to_id").isNull(), "stop without station").when(F.col("from_id") == F.col("to_id"), "one station")
+    return named.groupBy(reason.alias("reason")).agg(F.count("*").alias("legs"), F.sum("n").alias("runs")).where("reason is not null")
+
+
 def topology_edges(positions: DataFrame, lines: DataFrame) -> DataFrame:
     """Ride edges both ways between neighbours along a line: line_id, point_id, pos_m; lines: line_id, mode."""
     w = Window.partitionBy("line_id").orderBy("pos_m", "point_id")
@@ -154,7 +162,9 @@ def commute_matrix(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         improved = offers.join(known, STATE, "left").where(is_better).drop("known")
         better = materialized(improved.observe(seen, F.count(F.lit(1)).alias("n")), "commute", f"{folder}/{len(rounds)}")
         if not seen.get["n"]:
-            return materialized(_best(_together(rounds, folder), better.columns), "states")
+            states = materialized(_best(_together(rounds, folder), better.columns), "states")
+            discard(edges.sparkSession, folder)
+            return states
         rounds.append(better)
 
 

@@ -15,7 +15,7 @@ from wardwise.functions.geo import geo_dist_m
 from wardwise.operators import cards, lines, quality, rent, spatial, transit
 from wardwise.operators.store import Store, digest
 from wardwise.sources import maps
-from wardwise.sources.shared import shared_folder
+from wardwise.sources.shared import discard, shared_folder
 
 from . import adapters as A
 from . import queries as Q
@@ -101,14 +101,19 @@ def run_steps(spark: SparkSession, sf_dir: str, store: Store, steps: Sequence[St
 
 
 def derive_report(s, d):
-    return run_steps(s, d, Store(s, f"{shared_folder(s)}/derive-{uuid.uuid4().hex}"))
+    store = Store(s, f"{shared_folder(s)}/derive-{uuid.uuid4().hex}")
+    report = run_steps(s, d, store)
+    discard(s, store.path)  # the report is a table of its own
+    return report
 
 
 def derive_repeat(s, d):
     """What a second run of all steps on the same tables gives: the same rows."""
     store = Store(s, f"{shared_folder(s)}/derive-{uuid.uuid4().hex}")
     run_steps(s, d, store)
-    return run_steps(s, d, store, force=True)
+    report = run_steps(s, d, store, force=True)
+    discard(s, store.path)
+    return report
 
 
 def prerequisites(s, d):

@@ -220,6 +220,15 @@ def timetable_edges(s, d):
     return _round(e.select("from_id", "to_id", "line", "peak_minutes", "offpeak_minutes", "peak_wait", "offpeak_wait"), "peak_minutes", "offpeak_minutes", "peak_wait", "offpeak_wait")
 
 
+def timetable_skips(s, d):
+    """Legs that make no edge: some routes have no line, one stop has no station, two are one station."""
+    st, routes = A.stop_times(s, d), A.trip_routes(s, d)
+    stop = F.col("stop")
+    stops = st.select("stop").distinct().select("stop", F.when(stop.isin("view", "click"), 1).when(stop == "signup", 2).when(stop == "purchase", 3).alias("station")).where("station is not null")
+    lines = routes.select("route").distinct().where("route % 4 <> 1").select("route", (F.col("route") % 3).alias("line"))
+    return transit.timetable_skips(transit.pair_medians(st, routes), stops, lines)
+
+
 def station_lines(s, d):
     e = A.rail_edges(s, d)
     lines = e.select("line").distinct().withColumn("name", F.concat(F.lit("line "), F.col("line")))
@@ -668,7 +677,7 @@ QUERIES = {
         amenity_score_top20, amenity_counts_800m, cuisine_variety, late_night_count, minmax_norm, sufficiency_scores, coverage_share, near_line_share,
         quietness_proxy, catchment_land_median, ward_land_median, land_multiplier, two_level_median, price_quartiles, ward_assignment,
         points_in_any_region, knn_stations, station_near_lines, transfer_pairs, merged_stations, latest_run, latest_success, source_vintages,
-        rent_choice, rent_by_layout, pair_travel_medians, headways, timetable_edges, station_lines, orphan_stations, commute_matrix,
+        rent_choice, rent_by_layout, pair_travel_medians, headways, timetable_edges, timetable_skips, station_lines, orphan_stations, commute_matrix,
         commute_by_station, locality_commute, locality_scores, hard_filter_counts, suggestions, ranked_shortlist, reasons_top3, factor_extremes,
         shortlist_concentration, standout_metrics, place_search, trigram_similarity, similar_station_names, similar_part_names, sync_upsert, plain_upsert,
         replace_by_source, stale_keys, period_sync, array_union_upsert, reference_guard, nulled_references, name_backfill, backfill_problems, one_per_name, dq_report, ward_coverage,

@@ -221,6 +221,7 @@ SQL = {
     "headways": q("SELECT route, first_stop, period, n, round(headway, 6) AS headway FROM gap"),
     "timetable_edges": q("""SELECT * EXCLUDE (r) FROM (SELECT stop AS from_id, next_stop AS to_id, line, round(coalesce(p, o), 6) AS peak_minutes, round(coalesce(o, p), 6) AS offpeak_minutes, round(CASE WHEN pg IS NULL THEN 4 ELSE least(15, greatest(1, pg / 2)) END, 6) AS peak_wait, round(CASE WHEN og IS NULL THEN 6 ELSE least(15, greatest(1, og / 2)) END, 6) AS offpeak_wait,
         row_number() OVER (PARTITION BY stop, next_stop, line ORDER BY n DESC, l.first_stop, l.route) AS r FROM (SELECT route, first_stop, stop, next_stop, route % 3 AS line, max(median_minutes) FILTER (period = 'peak') AS p, max(median_minutes) FILTER (period = 'offpeak') AS o, sum(n) AS n FROM pair GROUP BY ALL) l LEFT JOIN (SELECT route, first_stop, max(headway) FILTER (period = 'peak') AS pg, max(headway) FILTER (period = 'offpeak') AS og FROM gap GROUP BY ALL) g ON g.route = l.route AND g.first_stop = l.first_stop) WHERE r = 1"""),
+    "timetable_skips": q("""SELECT reason, count(*) AS legs, sum(n)::BIGINT AS runs FROM (SELECT *, CASE WHEN route % 4 = 1 THEN 'route without line' WHEN stop = 'error' OR next_stop = 'error' THEN 'stop without station' WHEN stop IN ('view', 'click') AND next_stop IN ('view', 'click') THEN 'one station' END AS reason FROM pair) WHERE reason IS NOT NULL GROUP BY 1"""),
     "station_lines": q("SELECT id, string_agg(name, ',' ORDER BY name) AS lines FROM (SELECT DISTINCT f AS id, 'line ' || line AS name FROM edge) GROUP BY 1"),
     "orphan_stations": q("SELECT id FROM halt WHERE id NOT IN (SELECT f FROM edge)"),
     "commute_matrix": q("SELECT dest, node, line, round(total, 6) AS total FROM s"),
