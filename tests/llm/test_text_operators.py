@@ -249,6 +249,23 @@ def test_words_that_sums_of_powers_confuse_are_not_alike(docs):
     assert got == near_brute(rows) and [r[2] for r in got] == [1, 2, 1, 4, 5]
 
 
+def test_rows_of_a_group_of_near_copies_follow_its_documents(docs, monkeypatch):
+    """Three hundred texts that are all alike: as many pairs at most are candidates at first, not a share of all 44,850."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    seen, plain = {}, path_join.written
+    monkeypatch.setattr(path_join, "written", lambda df, name: (t := plain(df, name), seen.setdefault(name, t.count()))[0])
+    got = path_join.near_duplicates(docs(list(enumerate(texts)))).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 300
+    assert seen.get("pairs", 0) + seen.get("partners", 0) <= 300
+
+
+
 def test_explored_pairs_are_all_pairs_across_components_of_small_nodes():
     rng = np.random.default_rng(1)
     tokens = np.zeros((30, path_join.TOKENS), np.uint16)

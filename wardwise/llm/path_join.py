@@ -16,8 +16,10 @@ them a pair at the threshold is missed with a probability of about 0.4 ** trees.
 
 Candidates are sifted by their minwise estimate (four deviations below the
 threshold), then confirmed on full sets: those of small nodes and pivots by joins,
-first each document's best partner, then what still lies in different components;
-those of large nodes in the task that has the node, to which its sets are sent.
+first one partner of each document, then one candidate of any two components, then all
+that still lie in different components, so a group of many near copies gives rows for
+its documents and not for its pairs; those of large nodes in the task that has the node,
+to which its sets are sent.
 
 Null and empty texts have no shingles, are linked with nothing and kept; texts of
 fewer words than a shingle are one shingle; rows without doc_id are left out; rows
@@ -42,6 +44,7 @@ TOKENS = 64
 SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 DEPTH = 3  # picks before nodes are counted
 LEAF = 24
+SURE = 56  # shared tokens from which candidates are taken as equally good
 MID = 2048  # documents of a node that a task branches by itself
 MORE = 6  # levels of larger nodes
 DEEPEST = 40  # levels in a task; documents that still share all tokens are compared exhaustively
@@ -212,16 +215,57 @@ def _candidates(t: pa.Table, least: int) -> list[np.ndarray]:
     return [row[np.searchsorted(doc, a[new])], row[np.searchsorted(doc, b[new])], same[new]]
 
 
-def pairs_of(members: DataFrame, least: int) -> DataFrame:
-    """Candidates (a, b, same) of nodes; members: node, doc_id, component_id, tokens."""
+def _of_nodes(members: DataFrame, found, schema: str) -> DataFrame:
+    """What ``found`` gives of tables of whole nodes, whose members are node, doc_id, component_id, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_nodes(batches, ROWS):
-            a, b, same = _candidates(t, least)
-            ids = t["doc_id"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(same, pa.int32())], names=["a", "b", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found(t)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return members.select("node", "doc_id", "component_id", "tokens").repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
+
+
+def partners_of(members: DataFrame, least: int) -> DataFrame:
+    """Of each document one candidate of its nodes in a task (doc_id, other, same): the smallest of those that share SURE tokens, else the best."""
+
+    def found(t: pa.Table) -> list[np.ndarray]:
+        a, b, same = _candidates(t, least)
+        ids = t["doc_id"].to_numpy()
+        doc, other, same = np.append(ids[a], ids[b]), np.append(ids[b], ids[a]), np.append(same, same).astype(np.int32)
+        first = _firsts(doc, order=np.lexsort((other, -np.minimum(same, SURE), doc)))
+        return [doc[first], other[first], same[first]]
+
+    return _of_nodes(members, found, "doc_id long, other long, same int")
+
+
+def between(members: DataFrame, least: int) -> DataFrame:
+    """Of any two components that meet in nodes of a task the best candidate (ca, cb, a, b, same)."""
+
+    def found(t: pa.Table) -> list[np.ndarray]:
+        a, b, same = _candidates(t, least)
+        ids, component = t["doc_id"].to_numpy(), t["component_id"].to_numpy()
+        low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+        first = _firsts(low, high, order=np.lexsort((ids[b], ids[a], -same, high, low)))
+        return [low[first], high[first], ids[a][first], ids[b][first], same[first].astype(np.int32)]
 
-    return members.select("node", "doc_id", "component_id", "tokens").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
+    return _of_nodes(members, found, "ca long, cb long, a long, b long, same int")
+
+
+def _firsts(*keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The first row of each different key, of rows in that order."""
+    new = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))[: len(order)]
+    return order[new]
+
+
+def pairs_of(members: DataFrame, least: int) -> DataFrame:
+    """All candidates (a, b) across components of nodes."""
+
+    def found(t: pa.Table) -> list[np.ndarray]:
+        a, b, _ = _candidates(t, least)
+        ids = t["doc_id"].to_numpy()
+        return [ids[a], ids[b]]
+
+    return _of_nodes(members, found, "a long, b long").distinct()
 
 
 def shared_shingles(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -270,7 +314,7 @@ def links_of(members: DataFrame, sets: DataFrame, least: int, percent: int) -> D
 
 
 def stars(large: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Candidates of large nodes: every member with three pivots."""
+    """Candidates of large nodes (doc_id, other, same): every member with three pivots."""
     pivot = [F.min(F.struct(F.xxhash64("node", "doc_id", F.lit(k)).alias("h"), "doc_id"))["doc_id"].alias(f"pivot{k}") for k in range(3)]
     pivots = large.groupBy("node").agg(F.array_distinct(F.array(*[p for p in pivot])).alias("p")).select("node", F.explode("p").alias("pivot"))
     pivots = pivots.join(classes.select(F.col("doc_id").alias("pivot"), F.col("tokens").alias("theirs")), "pivot")
@@ -280,10 +324,10 @@ def stars(large: DataFrame, classes: DataFrame, least: int) -> DataFrame:
             same = (_tokens(batch.column("tokens")) == _tokens(batch.column("theirs"))).sum(1)
             a, b = batch.column("doc_id").to_numpy(), batch.column("pivot").to_numpy()
             ok = (same >= least) & (a != b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(same[ok], pa.int32())], names=["a", "b", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(same[ok], pa.int32())], names=["doc_id", "other", "same"])
 
     both = large.join(pivots, "node").select("doc_id", "tokens", "pivot", "theirs")
-    return both.mapInArrow(run, "a long, b long, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
+    return both.mapInArrow(run, "doc_id long, other long, same int").distinct()
 
 
 def branched(members: DataFrame) -> DataFrame:
@@ -367,6 +411,11 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id")), "labels")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The documents of pairs."""
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
 def across(pairs: DataFrame, labels: DataFrame, keep: str = "a, b") -> DataFrame:
     """Pairs whose documents lie in different components."""
     both = pairs.join(labels.withColumnsRenamed({"doc_id": "a", "component_id": "ca"}), "a", "left").join(labels.withColumnsRenamed({"doc_id": "b", "component_id": "cb"}), "b", "left")
@@ -428,19 +477,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, trees: i
     classes = written(all_sets.where("n_shingles > 0").join(firsts.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "tokens"), "classes")
     least = int(TOKENS * percent / 100 - 4 * (TOKENS * percent * (100 - percent)) ** 0.5 / 100)  # four deviations below
 
-    def linked(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Labels after the pairs are confirmed: first each document's best, then those across what is left apart."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = written(full_sets(docs, ids, words), "full")
-        best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b")
-        links = written(confirmed(best, sets, percent), "links")
-        labels = components(links) if labels is None else merged(labels, links)
-        return merged(labels, written(confirmed(across(pairs, labels), sets, percent), "links"))
-
     members = written(counted(roots(classes, trees)).join(classes, "doc_id").withColumn("component_id", F.col("doc_id")), "members")
-    large = members.where(F.col("n") > LEAF)
-    pairs = pairs_of(members.where(F.col("n") <= LEAF), least).unionByName(stars(large, classes, least))
-    labels = linked(written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs"), None)
+    small, large = members.where(F.col("n") <= LEAF), members.where(F.col("n") > LEAF)
+    star = written(stars(large, classes, least), "stars")
+    # First one partner of each document.
+    one = partners_of(small, least).unionByName(star).groupBy("doc_id").agg(F.max_by("other", F.struct(F.least("same", F.lit(SURE)), -F.col("other"))).alias("other"))
+    one = written(one.selectExpr("least(doc_id, other) as a", "greatest(doc_id, other) as b").distinct(), "partners")
+    labels = components(written(confirmed(one, written(full_sets(docs, ends(one), words), "full"), percent), "links"))
+    # Then what still lies in different components: the best candidate of any two of them, and all of those left after it.
+    star = star.select(F.col("doc_id").alias("a"), F.col("other").alias("b"), "same")
+    small, star = written(mixed(small, labels), "small"), written(across(star, labels, "a, b, same, ca, cb"), "stars")
+    if small.limit(1).count() or star.limit(1).count():
+        sets = written(full_sets(docs, small.select("doc_id").union(ends(star)).distinct(), words), "full")
+        best = between(small, least).unionByName(star.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "a", "b", "same"))
+        best = best.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("same", -F.col("a"), -F.col("b"))).alias("m")).select("m.*")
+        labels = merged(labels, written(confirmed(best, sets, percent), "links"))
+        rest = pairs_of(mixed(small, labels), least).unionByName(across(star.select("a", "b"), labels)).selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+        labels = merged(labels, written(confirmed(rest, sets, percent), "links"))
     # Large nodes go on while they hold several components; only pairs across these are of use.
     large = written(mixed(large, labels), "large")
     sets = written(full_sets(docs, large.select("doc_id").distinct(), words), "full")
