@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from wardwise.functions.geo import haversine_m
-from wardwise.operators import spatial
+from wardwise.operators import metrics, spatial
 
 
 def star(cx, cy, r, n, phase):
@@ -103,3 +103,21 @@ def test_radius_pairs_at_any_latitude(spark):
         a, b = df.selectExpr("id as a", "lon as alon", "lat as alat"), df.selectExpr("id as b", "lon", "lat")
         every = a.crossJoin(b).where("a <> b").where(spatial.geo_dist_m(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon")) <= 800)
         assert got == {(x.a, x.b) for x in every.select("a", "b").collect()} and got
+
+
+def test_rows_of_one_place_are_looked_at_once(spark, monkeypatch):
+    """Many anchors and points at few places: pairs follow the places, and results are those of all rows."""
+    rng = random.Random(9)
+    spots = [(139.7 + rng.random() * 0.02, 35.6 + rng.random() * 0.02) for _ in range(12)]
+    at = [(i, *spots[i % 4]) for i in range(40)] + [(90, None, 35.6)]
+    pts = [(*rng.choice(spots), rng.choice("xyz"), float(rng.randrange(50))) for _ in range(300)] + [(None, None, "x", 1.0)]
+    anchors, points = spark.createDataFrame(at, "anchor_id int, alon double, alat double"), spark.createDataFrame(pts, "lon double, lat double, kind string, price double")
+    met, plain = [], spatial.near
+    monkeypatch.setattr(spatial, "near", lambda *a: (met.append(plain(*a)), met[-1])[1])
+    here = {"n": F.count("*"), "kinds": F.collect_set("kind"), "prices": F.collect_list("price")}
+    over = {"n": F.sum("n"), "kinds": F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))), "prices": F.sort_array(F.flatten(F.collect_list("prices")))}
+    got = {r.anchor_id: (r.n, r.kinds, r.median) for r in spatial.near_by_place(anchors, points, 800.0, here, over).withColumn("median", metrics.median_of_sorted(F.col("prices"))).collect()}
+    assert 0 < met[0].count() <= 4 * 12
+    rows = plain(anchors, points, 800.0).groupBy("anchor_id").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("k"), F.percentile("price", 0.5).alias("m")).collect()
+    assert got == {r.anchor_id: (r.n, r.k, r.m) for r in rows} | {90: (None, None, None)}
+    assert spatial._lattices(anchors.where("alon is not null"), 800.0, 64).count() == 4 * 64
