@@ -37,3 +37,19 @@ def test_few_pairs_are_looked_at(spark):
     assert met < 200 * 199 / 2 / 20
     with pytest.raises(ValueError):
         search.similar_names(names, names, 0.0)
+
+
+def test_station_names_are_met_from_three_tenths_on(spark, tmp_path):
+    """Names that share between 0.3 and a half of their trigrams are pairs, too."""
+    from wardwise.plans import queries
+
+    spark.createDataFrame([(1, "Supplier KENYA", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, "KENYA")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    found = [tuple(r) for r in queries.similar_station_names(spark, str(tmp_path)).collect()]
+    p, q = grams("Supplier KENYA"), grams("Supplier KENYA 000000007")
+    assert found == [(1, 7, pytest.approx(len(p & q) / len(p | q), abs=1e-6))]
+    spark.createDataFrame([(1, "Supplier#000000007", 0)], "s_suppkey long, s_name string, s_nationkey int").write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, "UNITED KINGDOM OF NAMES")], "n_nationkey int, n_name string").write.mode("overwrite").parquet(f"{tmp_path}/nation.parquet")
+    p, q = grams("Supplier#000000007"), grams("Supplier UNITED KINGDOM OF NAMES 000000007")
+    found = [tuple(r) for r in queries.similar_station_names(spark, str(tmp_path)).collect()]
+    assert 0.3 <= len(p & q) / len(p | q) < 0.5 and found == [(1, 7, pytest.approx(len(p & q) / len(p | q), abs=1e-6))]
