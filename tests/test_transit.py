@@ -149,3 +149,24 @@ def test_rounded_legs_add_up(spark, total, parts):
     legs = transit.leg_roundings(F.lit(total), *[F.lit(x) for x in parts])
     row = spark.range(1).select(*[c.alias(k) for k, c in legs.items()]).first()
     assert sum(row) == 31
+
+
+def test_rounds_send_no_tables_through_the_driver(spark, monkeypatch):
+    """However small a side of a round's joins is: many rounds would add up."""
+    plans, plain = [], transit.materialized
+    monkeypatch.setattr(transit, "materialized", lambda df, name, *rest: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), plain(df, name, *rest))[1])
+    edges = spark.createDataFrame([(i + 1, i, 1, "ride", 1.0, 2.0, 2) for i in range(4)], EDGES)
+    m = transit.commute_matrix(edges, spark.createDataFrame([(0, 0, 0.0)], "dest long, node long, walk double"))
+    transit.jumps(m)
+    rounds = [p for name, p in plans if name in ("commute", "jumps")]
+    assert len(rounds) > 6 and not any("Broadcast" in p for p in rounds)
+
+
+def test_stations_of_one_place_are_one_node(spark, monkeypatch):
+    """Thirty stations at each of three places, two of them near each other, and some that lie nowhere: as many pairs as places have."""
+    rows = [(i, "k" if i % 2 else "j", f"n{i}", 139.7 + 0.001 * (i % 3 == 1) + 0.5 * (i % 3 == 2), 35.6) for i in range(90)] + [(100, "k", "a", None, 35.6), (101, None, "b", 139.7, 35.6)]
+    st = spark.createDataFrame(rows, "id long, name_key string, name string, lon double, lat double")
+    met, plain = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda nodes, pairs: (met.append(pairs.count()), plain(nodes, pairs))[1])
+    got = sorted((r.component, r.members, r.name) for r in graph.merged_stations(st, 300.0).collect())
+    assert got == [(0, 30, "n0"), (1, 30, "n1"), (2, 15, "n2"), (5, 15, "n5"), (100, 1, "a"), (101, 1, "b")] and met == [2]

@@ -39,7 +39,7 @@ def _ranked(steps: DataFrame) -> DataFrame:
     found = materialized(steps.select(*HALF, "next_piece", "next_end", F.when(F.col("next_piece").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("hops"), end.alias("last")), "ranks")
     while found.where("next_piece is not null").limit(1).count():
         far = found.toDF("line_id", "next_piece", "next_end", "far_piece", "far_end", "far_hops", "far_last")
-        found = materialized(found.join(far, ["line_id", "next_piece", "next_end"], "left").select(*HALF, F.col("far_piece").alias("next_piece"), F.col("far_end").alias("next_end"), (F.col("hops") + F.coalesce("far_hops", F.lit(0))).alias("hops"), F.coalesce("far_last", "last").alias("last")), "ranks")
+        found = materialized(found.join(far.hint("shuffle_hash"), ["line_id", "next_piece", "next_end"], "left").select(*HALF, F.col("far_piece").alias("next_piece"), F.col("far_end").alias("next_end"), (F.col("hops") + F.coalesce("far_hops", F.lit(0))).alias("hops"), F.coalesce("far_last", "last").alias("last")), "ranks")
     return found
 
 
