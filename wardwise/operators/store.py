@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wardwise.sources.shared import discard, materialized
+
 from .tables import upsert
 
 BUCKET = "_bucket"
@@ -112,8 +114,11 @@ class Changes:
         return self.store.read(table, self.manifest)
 
     def replace(self, table: str, rows: DataFrame, keys: Sequence[str]) -> None:
-        """All rows of a table."""
+        """All rows of a table. They are made once, into a draft, as the number of buckets follows the number of rows."""
+        draft = f"{self.store.path}/drafts/{uuid.uuid4().hex}"
+        rows = materialized(rows, "draft", draft)
         self._write(table, rows, keys, self._layout(rows.count()), {})
+        discard(self.store.spark, draft)
 
     def upsert(self, table: str, rows: DataFrame, keys: Sequence[str]) -> None:
         """New rows win by key. Only the buckets of their keys are read and written."""
@@ -157,6 +162,11 @@ def digest(df: DataFrame) -> DataFrame:
     names = sorted(flat.columns)
     hashes = [F.xxhash64(F.lit(n), F.col(f"`{n}`"), F.col(f"`{n}`").isNull()) for n in names]
     whole = F.xxhash64(*[F.struct(F.col(f"`{n}`"), F.col(f"`{n}`").isNull()) for n in names])
-    parts = [F.struct(F.lit(n).alias("column"), h.alias("h")) for n, h in zip([*names, "*"], [*hashes, whole])]
-    each = flat.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
-    return each.groupBy("column").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor("h").alias("xor"))
+    # Sums of three parts of a hash are longs, which add up faster than decimals.
+    pieces = lambda h: (F.shiftright(h, 44), F.shiftright(h, 22).bitwiseAND(F.lit(0x3FFFFF)), h.bitwiseAND(F.lit(0x3FFFFF)))
+    each = [(n, h, f"_{k}") for k, (n, h) in enumerate(zip([*names, "*"], [*hashes, whole]))]
+    one = flat.select(*[h.alias(c) for _, h, c in each]).agg(F.count("*").alias("n"), *[F.sum(p).alias(f"s{j}{c}") for *_, c in each for j, p in enumerate(pieces(F.col(c)))], *[F.bit_xor(c).alias(f"x{c}") for *_, c in each])
+    at = lambda c: F.col(c).cast("decimal(20,0)")
+    total = lambda c: (((at(f"s0{c}") * F.lit(1 << 22)).cast("decimal(30,0)") + at(f"s1{c}")).cast("decimal(30,0)") * F.lit(1 << 22)).cast("decimal(38,0)") + at(f"s2{c}")
+    rows = [F.struct(F.lit(n).alias("column"), F.col("n"), total(c).cast("decimal(38,0)").cast("string").alias("sum"), F.col(f"x{c}").alias("xor")) for n, _, c in each]
+    return one.where("n > 0").select(F.explode(F.array(*rows)).alias("p")).select("p.*")
