@@ -39,6 +39,15 @@ def test_few_pairs_are_looked_at(spark):
         search.similar_names(names, names, 0.0)
 
 
+def test_names_of_few_words_and_a_number_meet_by_two_trigrams(spark):
+    names = [(i, f"{w} ring Brand#{b} {i} LARGE") for i, (w, b) in enumerate((w, b) for w in ("large", "small") for b in (1, 12) for _ in range(150))]
+    df = spark.createDataFrame(names, "id long, name string")
+    g = {i: grams(n) for i, n in names}
+    want = {(i, j): len(g[i] & g[j]) / len(g[i] | g[j]) for i in g for j in g if i < j and len(g[i] & g[j]) / len(g[i] | g[j]) >= 0.75}
+    assert {(r.a_id, r.b_id): r.similarity for r in search.similar_pairs(df, 0.75).collect()} == pytest.approx(want) and want
+    assert search.name_candidates(df, df, 0.75).where("a_id < b_id").count() < 4 * len(want)
+
+
 def test_station_names_are_met_from_three_tenths_on(spark, tmp_path):
     """Names that share between 0.3 and a half of their trigrams are pairs, too."""
     from wardwise.plans import queries
