@@ -86,6 +86,20 @@ def test_rings_and_lines(spark):
     assert set(pos) == {1, 2} and abs(pos[1] / c.length_m - 0.15) < 0.001 and abs(pos[2] / c.length_m - 0.75) < 0.001
 
 
+def test_long_segments_go_to_the_cells_near_them(spark):
+    r = random.Random(8)
+    ends = [(139.6, 35.5, 139.9, 35.8), (139.9, 35.52, 139.6, 35.6), (139.7, 35.8, 139.7, 35.5), (139.75, 35.5, 139.7500001, 35.8), (139.6, 35.7, 139.9, 35.7), (139.65, 35.65, 139.65, 35.65)]
+    seg = spark.createDataFrame([(k, 1, *e) for k, e in enumerate(ends)], "line_id long, seq int, x1 double, y1 double, x2 double, y2 double")
+    assert spatial.line_cells(seg.where("line_id = 0"), 300.0).count() < 400  # of 3,800 in its bounds
+    xy = [(139.55 + 0.4 * r.random(), 35.45 + 0.4 * r.random()) for _ in range(700)]
+    pts = spark.createDataFrame([(i, *p) for i, p in enumerate(xy + xy[:50])], "point_id long, lon double, lat double")
+    far = F.col("line_m") <= 300.0
+    d = spatial.segment_distance_m(*(F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")))
+    want = {(x.line_id, x.point_id) for x in pts.crossJoin(seg).withColumn("line_m", d).where(far).collect()}
+    assert want and {(x.line_id, x.point_id) for x in spatial.near_lines(pts, seg, 300.0).collect()} == want
+    assert sorted((x.line_id, x.point_id) for x in spatial.positions_on_line(pts, seg, 300.0).collect()) == sorted(want)
+
+
 def test_nearest_breaks_ties_by_id(spark):
     a = spark.createDataFrame([(1, 139.7, 35.6)], "anchor_id int, alon double, alat double")
     p = spark.createDataFrame([(i, 139.7 + d, 35.6) for i, d in ((5, 0.001), (3, 0.001), (2, 0.002), (1, 0.1))], "id int, lon double, lat double")
