@@ -105,3 +105,13 @@ def test_digests(spark):
     assert {c for c in swapped if swapped[c] != of(two)[c]} == {"*"}
     assert of(spark.createDataFrame([(None, 0)], "a int, b int")) != of(spark.createDataFrame([(0, None)], "a int, b int"))
     assert of(two.union(two)) != of(two) and of(two.limit(0)) == {}
+
+
+def test_a_replacement_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    kept = F.udf(lambda x: made.add(1) is None, "boolean")
+    store = Store(spark, f"file://{tmp_path}/once")
+    with store.run("x", "2026-01-01") as run:
+        run.replace("t", spark.range(40).where(kept("id")), ["id"])
+    assert store.read("t").count() == 40 and made.value == 40
+    assert digest(spark.range(0)).count() == 0
