@@ -110,6 +110,20 @@ def test_rounds_write_only_what_got_better(spark, tmp_path, monkeypatch):
     assert m.count() == 13 and sorted(rows) == [0, *[1] * 13]
 
 
+def test_offers_of_a_round_are_made_once(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 0, 1, "ride", 1.0, 2.0, 2), (2, 1, 1, "ride", 1.0, 2.0, 2), (2, 0, 2, "ride", 1.0, 2.0, 2)], EDGES)
+    plans, write = [], transit.materialized
+
+    def noted(df, name, path=None):
+        if name == "commute":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, path)
+
+    monkeypatch.setattr(transit, "materialized", noted)
+    transit.commute_matrix(edges, spark.createDataFrame([(0, 0, 0.0)], "dest long, node long, walk double"))
+    assert len(plans) > 2 and all(p.count("Join Inner") == 1 for p in plans[1:])
+
+
 def test_timetable_statistics(spark):
     rows = [("a", 1, "s", 480.0, 480.0), ("a", 2, "d", 485.0, 485.0), ("b", 1, "s", 490.0, 490.0), ("b", 2, "d", 494.0, 494.0), ("c", 1, "s", 500.0, 500.0), ("c", 2, "d", 506.0, 506.0), ("e", 1, "s", 700.0, 700.0), ("e", 2, "d", 702.5, 702.5)]
     times = spark.createDataFrame(rows, "trip_id string, stop_sequence int, stop string, arrival double, departure double")
