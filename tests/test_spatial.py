@@ -135,3 +135,9 @@ def test_rows_of_one_place_are_looked_at_once(spark, monkeypatch):
     rows = plain(anchors, points, 800.0).groupBy("anchor_id").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("k"), F.percentile("price", 0.5).alias("m")).collect()
     assert got == {r.anchor_id: (r.n, r.k, r.m) for r in rows} | {90: (None, None, None)}
     assert spatial._lattices(anchors.where("alon is not null"), 800.0, 64).count() == 4 * 64
+
+
+def test_a_task_has_as_many_lattice_points_however_many_places_there_are(spark):
+    at = spark.createDataFrame([(139.6 + i / 2000, 35.6) for i in range(640)], "alon double, alat double")
+    dealt = spatial._lattices(at, 800.0, 1024)
+    assert dealt.count() == 640 * 1024 and dealt.rdd.getNumPartitions() == 640 * 1024 // spatial.TASK_POINTS > int(spark.conf.get("spark.sql.shuffle.partitions"))
