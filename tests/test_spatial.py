@@ -141,3 +141,12 @@ def test_a_task_has_as_many_lattice_points_however_many_places_there_are(spark):
     at = spark.createDataFrame([(139.6 + i / 2000, 35.6) for i in range(640)], "alon double, alat double")
     dealt = spatial._lattices(at, 800.0, 1024)
     assert dealt.count() == 640 * 1024 and dealt.rdd.getNumPartitions() == 640 * 1024 // spatial.TASK_POINTS > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_medians_and_not_prices_go_to_the_anchors(spark):
+    anchors = spark.createDataFrame([(1, 139.7, 35.6), (2, 139.7, 35.6), (3, 139.9, 35.6)], "anchor_id int, alon double, alat double")
+    points = spark.createDataFrame([(139.7, 35.6, 3.0), (139.7, 35.6, 1.0), (139.701, 35.6, 8.0)], "lon double, lat double, v double")
+    over = {"all": F.sort_array(F.flatten(F.collect_list("vs")))}
+    got = spatial.near_by_place(anchors, points, 800.0, {"vs": F.collect_list("v")}, over, {"median": metrics.median_of_sorted(F.col("all"))})
+    assert got.columns == ["anchor_id", "alon", "alat", "median"] and sorted((r.anchor_id, r.median) for r in got.collect()) == [(1, 3.0), (2, 3.0), (3, None)]
+    assert "all" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0]
