@@ -104,6 +104,13 @@ def test_links_of_clusters(spark, monkeypatch, mid, small):
     assert pairs < 70 * len(near)  # trees, not all pairs
 
 
+def test_exploded_rows_are_not_broadcast(spark):
+    rows = S.signatures(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    for met in (S.shared(rows), S.shared(S.halves(S.shared(rows)))):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_roots_by_flips_equal_roots_by_pairs(monkeypatch):
     rng = np.random.default_rng(2)
     fp = np.unique(rng.integers(0, 1 << 18, 900).astype(np.uint64) << np.uint64(5))

@@ -158,9 +158,12 @@ def signatures(prints: DataFrame) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """node, fp and n of nodes with several members, and both values of their open bit if they have one."""
+    """node, fp and n of nodes with several members, and both values of their open bit if they have one.
+
+    The join is hinted: Spark takes rows for as few as there were before they were exploded, and would send them all through the driver.
+    """
     some = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("bit").alias("low"), F.max("bit").alias("high")).where("n > 1 and (low is null or low <> high)")
-    return rows.select("node", "fp").join(some.select("node", "n"), "node")
+    return rows.select("node", "fp").join(some.select("node", "n").hint("merge"), "node")
 
 
 def halves(large: DataFrame) -> DataFrame:
