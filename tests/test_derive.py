@@ -167,3 +167,35 @@ def test_cards_and_named_paths(spark):
     paths = spark.createDataFrame([(1, [(4, 2), (9, None), (4, 3)])], "k long, path array<struct<node:long,line:long>>")
     named = cards.named_paths(paths, ["k"], spark.createDataFrame([(4, "S")], "node long, node_name string"), spark.createDataFrame([(2, "L")], "line long, line_name string")).first()
     assert [(h.node_name, h.line_name) for h in named.path] == [("S", "L"), ("9", None), ("S", "3")]
+
+
+def test_lines_run_towards_their_larger_station_and_are_placed_once(spark, tmp_path, monkeypatch):
+    """Stations 28,800 apart are at one place, so what follows what there depends on the way a line runs."""
+    duckdb = pytest.importorskip("duckdb")
+    from wardwise.plans import derive_sql
+
+    spark.range(80).select(F.when(F.col("id") < 40, F.col("id")).otherwise(F.col("id") + 28760).alias("s_suppkey"), F.lit("s").alias("s_name"), F.lit(1).alias("s_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    placed, plain = [], spatial.positions_on_line
+    monkeypatch.setattr(spatial, "positions_on_line", lambda points, segments, *a: placed.append(segments) or plain(points, segments, *a))
+    got = sorted(map(tuple, derive.merged_topology(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    assert got == sorted(con.execute(derive_sql.SQL["merged_topology"]).fetchall()) and {r[2] for r in got} == {0, 1, 1440, 1441}
+    assert {r.line_id for r in placed[0].collect()} == {0, 1}
+
+
+def test_positions_are_made_in_many_tasks_and_not_sent_to_the_driver(spark):
+    seg = spark.createDataFrame([(1, 1, 139.6, 35.5, 139.9, 35.8)], "line_id long, seq int, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(1, 139.7, 35.6)], "point_id long, lon double, lat double")
+    plan = spatial.positions_on_line(pts, seg, 300.0)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastExchange" not in plan
+
+
+def test_ends_without_a_point_come_last(spark):
+    from wardwise.operators import lines
+
+    rows = [(1, p, k, float(k - 1), float(p), float(k), float(p)) for p in (1, 2, 3, 4) for k in (1, 2)]
+    chains = spark.createDataFrame(rows, "line_id long, part int, seq long, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(5, 0.0, 1.0), (9, 0.0, 1.0), (7, 2.0, 1.0), (7, 0.0, 2.0), (5, 2.0, 2.0), (6, 2.0, 2.0), (1, 2.0, 3.0)], "point_id long, lon double, lat double")
+    first = {r.part: (r.x1, r.x2) for r in lines.directed(chains, pts).where("seq = 1").collect()}
+    assert first == {1: (0.0, 1.0), 2: (2.0, 1.0), 3: (2.0, 1.0), 4: (0.0, 1.0)}

@@ -71,3 +71,26 @@ def merged_lines(pieces: DataFrame) -> DataFrame:
     chains = best.groupBy("line_id", "last").agg(F.max("hops").alias("most"), F.first("goal").alias("goal"))
     chains = chains.withColumn("part", F.row_number().over(Window.partitionBy("line_id").orderBy("goal")))
     return best.join(chains.select("line_id", "last", "most", "part"), ["line_id", "last"]).select("line_id", "part", (F.col("most") - F.col("hops") + 1).alias("seq"), "x1", "y1", "x2", "y2")
+
+
+def directed(chains: DataFrame, points: DataFrame) -> DataFrame:
+    """Chains (as from ``merged_lines``), each run through towards the end with the larger point; an end without one comes last.
+
+    points: point_id, lon, lat; of several at one end the least counts. A chain that they do not settle stays as it is.
+    """
+    part, at = ["line_id", "part"], lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    least = points.groupBy(at("lon", "lat").alias("at")).agg(F.min("point_id").alias("id"))
+    ends = chains.groupBy(*part).agg(F.max("seq").alias("n"), F.min_by(at("x1", "y1"), "seq").alias("a"), F.max_by(at("x2", "y2"), "seq").alias("b"))
+    for e in "ab":
+        ends = ends.join(least.select(F.col("at").alias(e), F.col("id").alias(f"{e}_id")), e, "left")
+    turned = F.col("b_id").isNotNull() & (F.col("a_id").isNull() | (F.col("a_id") > F.col("b_id")))
+    turn = [F.when(F.col("turned"), F.col(f"{n}{3 - e}")).otherwise(F.col(f"{n}{e}")).alias(f"{n}{e}") for e in (1, 2) for n in "xy"]
+    return chains.join(ends.select(*part, "n", turned.alias("turned")), part).select(*part, F.when(F.col("turned"), F.col("n") + 1 - F.col("seq")).otherwise(F.col("seq")).alias("seq"), *turn)
+
+
+def alike(chains: DataFrame, lines: DataFrame) -> DataFrame:
+    """line_id and, as ``like``, the least line that has the same course and the same else. lines: line_id, more."""
+    more = [c for c in lines.columns if c != "line_id"]
+    course = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("part", "seq", "x1", "y1", "x2", "y2")))), 256)
+    of = chains.groupBy("line_id").agg(course.alias("course")).join(lines, "line_id").withColumn("course", F.struct("course", *more))
+    return of.join(of.groupBy("course").agg(F.min("line_id").alias("like")), "course").select("line_id", "like")
