@@ -184,3 +184,28 @@ def test_stations_of_one_place_are_one_node(spark, monkeypatch):
     monkeypatch.setattr(graph, "components", lambda nodes, pairs: (met.append(pairs.count()), plain(nodes, pairs))[1])
     got = sorted((r.component, r.members, r.name) for r in graph.merged_stations(st, 300.0).collect())
     assert got == [(0, 30, "n0"), (1, 30, "n1"), (2, 15, "n2"), (5, 15, "n5"), (100, 1, "a"), (101, 1, "b")] and met == [2]
+
+
+@pytest.mark.parametrize("dests, block", [(32, 1 << 21), (2, 1)])
+def test_totals_of_many_destinations_equal_those_of_the_matrix(spark, monkeypatch, dests, block):
+    monkeypatch.setattr(transit, "DESTS", dests)
+    monkeypatch.setattr(transit, "BLOCK", block)
+    r = random.Random(5)
+    edges = [(r.randrange(30), r.randrange(30), r.choice([0, 3, 7, 1000]), "ride", r.random() * 9, r.random() * 4, 2) for _ in range(110)]
+    edges += [(a, (a + 7) % 30, -1, "transfer", 0.1, -1.0, 1) for a in range(0, 30, 4)]
+    edges += [(1, 2, -1, "ride", 1.0, 1.0, 1), (1, 2, 3, "ride", -5.0, 1.0, 1), (1, None, 3, "ride", 1.0, 1.0, 1)]
+    edges = spark.createDataFrame(edges, EDGES)
+    seeds = spark.createDataFrame([(i, i + 3, 0.3 * i) for i in range(9)] + [(4, 1, 0.2), (4, 7, 9.0), (5, 99, 1.0), (6, None, 1.0), (7, 2, -1.0)], "dest long, node long, walk double")
+    rows = lambda df: sorted(map(tuple, df.select("dest", "node", "line", "total").collect()))
+    got = rows(transit.commute_totals(edges, seeds))
+    assert got == rows(transit.commute_matrix(edges, seeds)) and len(got) > 300 and (5, 99, -1, 1.0) in got
+    assert rows(transit.commute_totals(edges.where("false"), seeds.where("dest = 4"))) == [(4, 1, -1, 0.2), (4, 7, -1, 1.2)]
+    assert rows(transit.commute_totals(edges, seeds.where("false"))) == []
+
+
+def test_a_faulty_graph_is_searched_without_rounds(spark, tmp_path, monkeypatch):
+    from wardwise.plans import queries
+
+    spark.range(40).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name"), F.lit(1).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(transit, "commute_matrix", None)
+    assert {r.dest for r in queries.faulty_graph_matrix(spark, str(tmp_path)).collect()} == {0, 20}
